@@ -74,7 +74,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "up" not in _POW or len(_POW["up"]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         for key, base in (("up", _BASE), ("down", _BASE_INV)):
             p = np.full(size, base, dtype=np.uint64)
             p[0] = 1
@@ -97,10 +97,17 @@ class Words:
         self.owner = np.searchsorted(ends, self.start, side="right")
         self.first = np.searchsorted(self.owner, np.arange(len(texts)))
         self.count = np.bincount(self.owner, minlength=len(texts)) if len(texts) else np.zeros(0, dtype=np.int64)
-        up, down = _powers(len(raw) + 1)
-        total = np.zeros(len(raw) + 1, dtype=np.uint64)
-        np.cumsum((raw.astype(np.uint64) + _U(1)) * up[:-1], dtype=np.uint64, out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        self.hash = np.empty(len(self.start), dtype=np.uint64)
+        lo = 0
+        while lo < len(self.start):  # in pieces that stay in the processor's cache
+            hi = max(lo + 1, int(np.searchsorted(self.end, self.start[lo] + (1 << 17), side="right")))
+            base = self.start[lo]
+            s, e = self.start[lo:hi] - base, self.end[lo:hi] - base
+            up, down = _powers(int(e[-1]))
+            total = np.zeros(int(e[-1]) + 1, dtype=np.uint64)
+            np.cumsum((raw[base : base + e[-1]].astype(np.uint64) + _U(1)) * up, dtype=np.uint64, out=total[1:])
+            self.hash[lo:hi] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+            lo = hi
 
     def grams(self, n: int) -> np.ndarray:
         """Hash of the ``n`` words from each word on; those that leave a text are meaningless."""

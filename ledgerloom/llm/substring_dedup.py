@@ -12,7 +12,7 @@ of a window therefore meet in one bucket, where sorting finds every window that
   different words, these windows are grouped by their words instead.
 
 Defined results: a null or empty text has no words; a null ``doc_id`` sorts after all others; rows that repeat a
-``doc_id`` with another text are documents of their own, ordered by a hash of the text; wholly equal rows get
+``doc_id`` with another text are documents of their own, ordered by a 32-bit hash of the text; wholly equal rows get
 equal results and do not remove each other. Other columns are carried along; ``n_words``, ``n_removed`` and
 ``kept_text`` replace columns of these names. An empty table gives an empty result.
 """
@@ -64,14 +64,14 @@ def _count(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.Rec
 
 def _blob(doc: np.ndarray, key: np.ndarray, start: np.ndarray, parts: list[bytes], pack: zstandard.ZstdCompressor) -> bytes:
     head = np.array([len(doc)], dtype=np.int64).tobytes()
-    return pack.compress(head + doc.tobytes() + key.tobytes() + start.tobytes() + b"\n".join(parts))
+    return pack.compress(head + doc.tobytes() + start.tobytes() + key.astype(np.uint32).tobytes() + b"\n".join(parts))
 
 
-def _unblob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+def _unblob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    doc, key, start = (np.frombuffer(raw, np.int64, n, 8 + 8 * n * i) for i in range(3))
-    return doc, key, start, raw[8 + 24 * n :]
+    doc, start = (np.frombuffer(raw, np.int64, n, 8 + 8 * n * i) for i in range(2))
+    return doc, np.frombuffer(raw, np.uint32, n, 8 + 16 * n).astype(np.int64), start, raw[8 + 20 * n :]
 
 
 _SPREAD = pa.schema([("bucket", pa.int64()), ("doc_key", pa.int64()), ("text_key", pa.int64()), ("blob", pa.binary())])
@@ -224,10 +224,10 @@ def _apply(batches: Iterator[pa.RecordBatch], k: int, schema: pa.Schema, text_at
 
 
 def _text_key(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+    return F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def dedup_substrings(docs: DataFrame, k: int = 20, m: int = 4, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 100_000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, k: int = 20, m: int = 2, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 100_000) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed`` and ``kept_text`` (kept words joined by one space).
 
     ``per_bucket`` is the number of super-k-mers that a bucket should hold.
