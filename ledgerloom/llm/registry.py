@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import op9_byte_bpe
 from .common import load
+from .packing import op7_packing
 from .substring_dedup import op1_substring_dedup
 
 _ROWS = r"""
@@ -32,7 +34,11 @@ def _documents(f: Callable[[DataFrame], DataFrame], table: str = "documents") ->
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": _documents(op1_substring_dedup)}
+    return {
+        "op1_substring_dedup": _documents(op1_substring_dedup),
+        "op7_packing": _documents(op7_packing),
+        "op9_byte_bpe": _documents(op9_byte_bpe),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
