@@ -7,7 +7,7 @@ between cuts are then encoded in parallel and their ids joined in order. Where n
 (one very long pre-token), the rest of that text stays one piece. A shorter text is one chunk.
 
 Pre-tokens that a single space between two non-space characters begins never depend on what is before it, so ids are
-kept by space-delimited unit and each distinct unit is pre-tokenised and merged once per worker.
+kept by space-delimited unit and by pre-token, and each distinct one is split and merged once per worker.
 
 Defined results: a null text is empty (no ids); repeated rows give repeated results; other columns are dropped but
 for those named in ``keep``.
@@ -32,23 +32,38 @@ _CACHED: dict = {}
 
 
 class UnitCache(dict):
-    """Ids (little-endian unsigned 32-bit) of ``" " + unit``; emptied when it is full."""
+    """Ids (little-endian unsigned 32-bit) of ``" " + unit``; a new unit is split by ``pattern`` and joined from the
+    ids of its pre-tokens, of which there are fewer. Both are emptied when they are full."""
+
+    def __init__(self, encode: Callable[[str], bytes], pattern: str | None = None, limit: int = 600_000):
+        import regex
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = 400_000):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.pieces = encode, limit, {}
+        self.split = regex.compile(pattern).findall if pattern else lambda unit: [unit]
+
+    def unit(self, unit: str) -> bytes:
+        known, out = self.pieces, []
+        for piece in self.split(unit):
+            ids = known.get(piece)
+            if ids is None:
+                if len(known) >= self.limit:
+                    known.clear()
+                ids = known[piece] = self.encode(piece)
+            out.append(ids)
+        return b"".join(out)
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        ids = self[unit] = self.encode(" " + unit)
+        ids = self[unit] = self.unit(" " + unit)
         return ids
 
     def text(self, text: str) -> bytes:
         if not text:
             return b""
         units = (_SAFE.split if _UNSAFE.search(text) else lambda t: t.split(" "))(text)
-        return self.encode(units[0]) + b"".join(map(self.__getitem__, units[1:]))
+        return self.unit(units[0]) + b"".join(map(self.__getitem__, units[1:]))
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -61,7 +76,7 @@ def _encoder(path: str, pattern: str) -> UnitCache:
         import tiktoken
 
         merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
-        _CACHED["ranks", path] = UnitCache(lambda t: np.array(merge.encode_ordinary(t), dtype="<u4").tobytes())
+        _CACHED["ranks", path] = UnitCache(lambda t: np.array(merge.encode_ordinary(t), dtype="<u4").tobytes(), pattern)
     return _CACHED["ranks", path]
 
 
@@ -135,7 +150,7 @@ def _stitch(overlap: int) -> Callable:
     return run
 
 
-def encode_documents(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), chunk: int = 16_384, overlap: int = 1_024) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), chunk: int = 65_536, overlap: int = 1_024) -> DataFrame:
     """``id_col``, the columns in ``keep`` and ``ids``, the token ids as little-endian unsigned 32-bit integers."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = docs.select(id_col, *keep, text.alias("__text"))

@@ -35,7 +35,7 @@ from .common import materialize, shuffle_partitions
 _CACHED: dict[str, tuple] = {}
 
 
-def _tokenizer(path: str) -> tuple:
+def _tokenizer(path: str, pattern: str | None) -> tuple:
     if path not in _CACHED:
         from tokenizers import Tokenizer
 
@@ -45,13 +45,13 @@ def _tokenizer(path: str) -> tuple:
             return np.array(t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
         special = [x.content for x in t.get_added_tokens_decoder().values()]
-        _CACHED[path] = (UnitCache(whole), whole, special)
+        _CACHED[path] = (UnitCache(whole, pattern), whole, special)
     return _CACHED[path]
 
 
-def tokenize(text: str | None, path: str) -> bytes:
-    """Ids of ``text`` as the tokenizer gives them, little-endian unsigned 32-bit."""
-    units, whole, special = _tokenizer(path)
+def tokenize(text: str | None, path: str, pattern: str | None = None) -> bytes:
+    """Ids of ``text`` as the tokenizer gives them, little-endian unsigned 32-bit. pattern: its pre-tokens, if known."""
+    units, whole, special = _tokenizer(path, pattern)
     if not text:
         return b""
     return whole(text) if any(x in text for x in special) else units.text(text)
@@ -60,7 +60,7 @@ def tokenize(text: str | None, path: str) -> bytes:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, pattern: str | None, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     end = np.array([end_id], dtype="<u4").tobytes()
     step = 4 * capacity
     for b in batches:
@@ -68,7 +68,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
         for lo in range(0, len(ids), 1000):
             rows: list[tuple] = []
             for doc, text in zip(ids[lo : lo + 1000], texts[lo : lo + 1000]):
-                raw = tokenize(text, path) + end
+                raw = tokenize(text, path, pattern) + end
                 total = len(raw) // 4
                 for at in range(0, len(raw), step):
                     part = raw[at : at + step]
@@ -161,11 +161,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 OUT = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, pattern: str | None = None, capacity: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = materialize(texts.mapInArrow(lambda it: _pieces(it, tokenizer, capacity, end_id), PIECES), "pieces")
+    pieces = materialize(texts.mapInArrow(lambda it: _pieces(it, tokenizer, pattern, capacity, end_id), PIECES), "pieces")
     parts = min(1024, 4 * shuffle_partitions(spark))
     slim = pieces.drop("ids").withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)))
     counts = slim.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -233,4 +233,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
 def op7_packing(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
