@@ -35,7 +35,7 @@ class UnitCache(dict):
     """Ids (little-endian unsigned 32-bit) of ``" " + unit``; a new unit is split by ``pattern`` and joined from the
     ids of its pre-tokens, of which there are fewer. Both are emptied when they are full."""
 
-    def __init__(self, encode: Callable[[str], bytes], pattern: str | None = None, limit: int = 600_000):
+    def __init__(self, encode: Callable[[str], bytes], pattern: str | None = None, limit: int = 250_000):
         import regex
 
         super().__init__()
@@ -98,8 +98,10 @@ def _map_column(make: Callable[[], Callable], source: str, target: str, schema:
         f = make()
         for b in batches:
             at = b.schema.get_field_index(source)
-            new = pa.array([f(x) for x in b.column(at).to_pylist()], pa.binary())
-            yield pa.record_batch([new if n == target else b.column(b.schema.get_field_index(n)) for n in arrow.names], schema=arrow)
+            for lo in range(0, len(b), 500):
+                part = b.slice(lo, 500)
+                new = pa.array([f(x) for x in part.column(at).to_pylist()], pa.binary())
+                yield pa.record_batch([new if n == target else part.column(b.schema.get_field_index(n)) for n in arrow.names], schema=arrow)
 
     return run
 

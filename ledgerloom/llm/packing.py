@@ -44,11 +44,34 @@ def _tokenizer(path: str, pattern: str | None) -> tuple:
         def whole(text: str) -> bytes:
             return np.array(t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+        piece = _ranked(t, pattern) or whole
         special = [x.content for x in t.get_added_tokens_decoder().values()]
-        _CACHED[path] = (UnitCache(whole, pattern), whole, special)
+        _CACHED[path] = (UnitCache(piece, pattern, 400_000), whole, special)
     return _CACHED[path]
 
 
+def _ranked(t, pattern: str | None):
+    """A faster merger of single pre-tokens for a byte-level BPE whose merges rank as their ids do; else None."""
+    import json
+
+    import tiktoken
+
+    model = json.loads(t.to_str())["model"]
+    if pattern is None or model.get("type") != "BPE" or model.get("dropout") or model.get("ignore_merges") or model.get("byte_fallback"):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow 255
+    hidden = [b for b in range(256) if b not in set(shown)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    special = {x.content for x in t.get_added_tokens_decoder().values()}
+    vocabulary = {w: i for w, i in model["vocab"].items() if w not in special}
+    made = [vocabulary["".join(m if not isinstance(m, str) else m.split(" "))] for m in model["merges"]]
+    if made != sorted(made) or any(c not in byte_of for w in vocabulary for c in w):
+        return None
+    ranks = {bytes(byte_of[c] for c in w): i for w, i in vocabulary.items()}
+    merge = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return lambda piece: np.array(merge.encode_ordinary(piece), dtype="<u4").tobytes()
+
+
 def tokenize(text: str | None, path: str, pattern: str | None = None) -> bytes:
     """Ids of ``text`` as the tokenizer gives them, little-endian unsigned 32-bit. pattern: its pre-tokens, if known."""
     units, whole, special = _tokenizer(path, pattern)
