@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op9_byte_bpe
 from .common import load
+from .order_minhash import op8_order_minhash
 from .packing import op7_packing
+from .quality import op5_quality
 from .substring_dedup import op1_substring_dedup
 
 _ROWS = r"""
@@ -36,7 +38,9 @@ def _documents(f: Callable[[DataFrame], DataFrame], table: str = "documents") ->
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": _documents(op1_substring_dedup),
+        "op5_quality": op5_quality,
         "op7_packing": _documents(op7_packing),
+        "op8_order_minhash": _documents(op8_order_minhash),
         "op9_byte_bpe": _documents(op9_byte_bpe),
     }
 
