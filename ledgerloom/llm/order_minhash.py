@@ -5,7 +5,7 @@ of them are selected, put back in text order and hashed together; the fingerprin
 hold the same k-mers in another order share few of them.
 
 Defined results: a null or empty text has no k-mers and one fixed fingerprint; a text shorter than k is one k-mer;
-two texts have likeness 1 if their fingerprints are equal. Rows are ordered by descending doc_id, then text; a null
+two texts have likeness 1 if their fingerprints are equal. Rows are ordered by descending doc_id, then a hash of the text; a null
 doc_id comes last. The only document is its own next.
 """
 
@@ -93,7 +93,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op8_order_minhash(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_last()]
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("tie"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
     fields = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return with_neighbours(rows, order, lambda r: {"text": r["text"]}, _compare, fields, circular=True)

@@ -24,8 +24,12 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import Words, column_bytes, load, slices
 
 
+#: Bands of the share of words that repeat the word before; each is a term of its own.
+REPEATED = ((0.1, 0.3), (0.3, 0.6), (0.6, 1.1))
+
+
 def term_counts(texts: list[bytes], terms: int) -> np.ndarray:
-    """Dampened term counts, one row per text; the last column counts words equal to the word before."""
+    """Dampened term counts, one row per text; the last columns count words equal to the word before, by the share of such words."""
     data = np.frombuffer(b"\x00\x00".join(texts) + b"\x00\x00", dtype=np.uint8).astype(np.uint32)
     size = np.array([len(t) + 2 for t in texts])
     owner = np.repeat(np.arange(len(texts), dtype=np.int64), size)[:-2]
@@ -39,7 +43,9 @@ def term_counts(texts: list[bytes], terms: int) -> np.ndarray:
     if len(w.hash) > 1:
         same = (w.hash[1:] == w.hash[:-1]) & (w.owner[1:] == w.owner[:-1])
         again = np.bincount(w.owner[1:][same], minlength=len(texts))
-    return np.log1p(np.hstack([counts, again[:, None].astype(np.float32)]))
+    share = again / np.maximum(w.count, 1)
+    bands = np.stack([again * ((share >= lo) & (share < hi)) for lo, hi in REPEATED], axis=1).astype(np.float32)
+    return np.hstack([np.log1p(counts), 8 * np.log1p(bands)])
 
 
 def _features(batches: Iterator[pa.RecordBatch], terms: int) -> Iterator[pa.RecordBatch]:
@@ -92,7 +98,7 @@ def score_documents(docs: DataFrame, model: dict[str, np.ndarray], text_col: str
     """``docs`` with ``score``, the likelihood of label 1."""
     docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    terms = len(model["weight"]) - 1 if "weight" in model else 16
+    terms = len(model["weight"]) - len(REPEATED) if "weight" in model else 16
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
     arrow = to_arrow_schema(schema)
 

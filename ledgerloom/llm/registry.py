@@ -11,6 +11,8 @@ from .common import load
 from .order_minhash import op8_order_minhash
 from .packing import op7_packing
 from .quality import op5_quality
+from .vector_search import op10_top_k
+from .warc_zip import op6_warc_zip
 from .substring_dedup import op1_substring_dedup
 
 _ROWS = r"""
@@ -27,6 +29,23 @@ words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN cov USING (doc_id, p) GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
+""",
+    "op6_warc_zip": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes, sha1(body) AS h, max(page_id) OVER (PARTITION BY sha1(body)) AS last FROM p),
+nib AS (SELECT *, list_transform(range(0, 40), lambda i: instr('0123456789abcdef', substr(h, CAST(i AS INT) + 1, 1)) - 1) AS x FROM d)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((x[(5 * i) // 4 + 1] * 16 + CASE WHEN (5 * i) // 4 + 2 <= 40 THEN x[(5 * i) // 4 + 2] ELSE 0 END) // CAST(pow(2, 3 - (5 * i) % 4) AS INT)) % 32 AS INT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM nib
+""",
+    "op10_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,
 }
 
@@ -39,9 +58,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": _documents(op1_substring_dedup),
         "op5_quality": op5_quality,
+        "op6_warc_zip": _documents(op6_warc_zip, "pages"),
         "op7_packing": _documents(op7_packing),
         "op8_order_minhash": _documents(op8_order_minhash),
         "op9_byte_bpe": _documents(op9_byte_bpe),
+        "op10_top_k": _documents(op10_top_k, "embeddings"),
     }
 
 
