@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op9_byte_bpe
 from .common import load
+from .html_extract import op3_html_extract
+from .near_dedup import op2_near_dedup
 from .order_minhash import op8_order_minhash
 from .packing import op7_packing
 from .quality import op5_quality
+from .secret_scan import op4_secret_scan
 from .vector_search import op10_top_k
 from .warc_zip import op6_warc_zip
 from .substring_dedup import op1_substring_dedup
@@ -29,6 +32,16 @@ words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN cov USING (doc_id, p) GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
+""",
+    "op2_near_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+inter AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM inter JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT c.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
 """,
     "op6_warc_zip": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
@@ -57,6 +70,9 @@ def _documents(f: Callable[[DataFrame], DataFrame], table: str = "documents") ->
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": _documents(op1_substring_dedup),
+        "op2_near_dedup": _documents(op2_near_dedup),
+        "op3_html_extract": _documents(op3_html_extract, "pages"),
+        "op4_secret_scan": _documents(op4_secret_scan),
         "op5_quality": op5_quality,
         "op6_warc_zip": _documents(op6_warc_zip, "pages"),
         "op7_packing": _documents(op7_packing),
