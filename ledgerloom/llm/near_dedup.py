@@ -1,18 +1,22 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
-1. Each text gives its set of word shingles, a 128-bit name of that set, and a signature of ``coords`` minima. Texts with
-   one set form a class; one vertex stands for it.
+1. Each text gives its set of word shingles, a 128-bit name of that set, and a signature of ``coords`` coordinates, each
+   the joint hash of ``depth`` minima (so that a shared line seldom matches). Texts with one set form a class; one
+   vertex stands for it.
 2. A pair that matches in at least ``threshold`` coordinates matches in one of any ``coords - threshold + 1``: only
    this prefix of coordinates is posted, as (coordinate, value) lists.
 3. Leader round: each list's most central member (whose values have the longest lists) is its leader; members are
    paired with leaders, never with each other. Pairs below the threshold are skipped, the others confirmed on the
    full sets. In a group of near copies nearly all fall into one component here.
-4. Cross round: lists whose members lie in one component are merged and skipped. In the others, pairs across
-   components are compared by signature inside the join and confirmed on the full sets, so no link between
+4. Cross round: lists whose members lie in one component are merged and skipped. Members of the others are joined
+   across components by their full sets: a shingle's list holds only the texts that have it among their rarest (the
+   prefix that a pair at the limit must share), a list's largest component is never paired with itself, and the join
+   skips pairs whose positions leave too few common shingles. What is left is confirmed, so no link between
    components is lost; a link inside a component changes nothing.
 5. Components of the confirmed links by label propagation with pointer jumping.
 
-With 64 coordinates and threshold 36, a pair of similarity 0.85 is missed with probability below 1e-6.
+The threshold lies 5.2 standard deviations below what a pair at the limit of similarity is expected to match, so such
+a pair is missed with a probability of the order of 1e-7.
 Defined results: a null text or one without words has an empty set, is linked with nothing and is its own component;
 with fewer words than a shingle, the whole sequence is the one shingle; repeated rows are linked; a null doc_id
 has a null component unless it is linked with a row that has one.
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, column_bytes, materialize, mix, shuffle_partitions, slices
+from .common import Words, column_bytes, materialize, mix, slices
 
 _U = np.uint64
 
@@ -49,8 +53,8 @@ def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return owner[new], value[new]
 
 
-def _sign(batches: Iterator[pa.RecordBatch], n: int, coords: int) -> Iterator[pa.RecordBatch]:
-    salts = mix(np.arange(1, coords + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F)) | _U(1)
+def _sign(batches: Iterator[pa.RecordBatch], n: int, coords: int, depth: int) -> Iterator[pa.RecordBatch]:
+    salts = mix(np.arange(1, coords * depth + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F)) | _U(1)
     for b in batches:
         texts = column_bytes(b.column(2))
         for lo, hi in slices(texts, 1 << 20):
@@ -60,9 +64,12 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, coords: int) -> Iterator[pa
             begin = np.searchsorted(owner, have)
             sig = np.zeros((hi - lo, coords), dtype=np.uint32)
             for c in range(coords if len(have) else 0):
-                v = value * salts[c]
-                v ^= v >> _U(29)
-                sig[have, c] = np.minimum.reduceat(v * _U(0xBF58476D1CE4E5B9) >> _U(32), begin)
+                joint = np.zeros(len(have), dtype=np.uint64)
+                for salt in salts[c * depth : (c + 1) * depth]:
+                    v = value * salt
+                    v ^= v >> _U(29)
+                    joint = mix(joint + np.minimum.reduceat(v * _U(0xBF58476D1CE4E5B9), begin))
+                sig[have, c] = joint >> _U(32)
             end = np.append(begin[1:], len(value))
             name: list[bytes | None] = [None] * (hi - lo)
             for i, x, y in zip(have.tolist(), begin.tolist(), end.tolist()):
@@ -73,6 +80,16 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, coords: int) -> Iterator[pa
             ], names=["doc_id", "tk", "n", "c", "sig"])
 
 
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = column_bytes(b.column("text"))
+        for lo, hi in slices(texts, 1 << 20):
+            owner, value = shingle_sets(texts[lo:hi], n)
+            size = np.bincount(owner, minlength=hi - lo)
+            at = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+            yield pa.record_batch([b.column("c").slice(lo, hi - lo), b.column("home").slice(lo, hi - lo), pa.array(size, pa.int32()), pa.ListArray.from_arrays(at, pa.array(value.view(np.int64)))], names=["c", "home", "n", "tokens"])
+
+
 def _confirm(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         one, two = column_bytes(b.column("text_a")), column_bytes(b.column("text_b"))
@@ -107,12 +124,13 @@ def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
             return label
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords: int = 64, threshold: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords: int = 32, depth: int = 3, threshold: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row. Links have 100 * intersection >= percent * union."""
-    threshold = threshold or {85: 36, 80: 32}.get(percent, max(1, int(coords * percent / 100 - 19)))
+    chance = (percent / 100) ** depth  # that a coordinate of a pair at the limit matches
+    threshold = threshold or max(1, int(coords * chance - 5.2 * (coords * chance * (1 - chance)) ** 0.5))
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tk"), text.alias("text"))
-    signed = materialize(rows.mapInArrow(lambda it: _sign(it, shingle, coords), "doc_id long, tk long, n long, c binary, sig array<int>"), "signatures")
+    signed = materialize(rows.mapInArrow(lambda it: _sign(it, shingle, coords, depth), "doc_id long, tk long, n long, c binary, sig array<int>"), "signatures")
     classes = signed.where("n > 0 and doc_id is not null").groupBy("c").agg(F.min(F.struct("doc_id", "tk")).alias("rep"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes.select("c", "rep.doc_id", "rep.tk", "sig", "copies"), "classes")
 
@@ -146,9 +164,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords
     home = F.coalesce(F.col("label.c"), F.col("c")).alias("home")
     homes = materialize(shared.select("key", "c").join(label, "c", "left").select("key", "c", home), "homes")
     mixed = materialize(homes.groupBy("key").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo <> hi").select("key"), "mixed")
-    left = materialize(homes.join(mixed, "key").join(sigs.withColumnRenamed("v", "c"), "c"), "left")
-    cross = left.select("key", F.col("c").alias("a"), F.col("home").alias("home_a"), F.col("sig").alias("sig_a")).join(left.select("key", F.col("c").alias("b"), F.col("home").alias("home_b"), F.col("sig").alias("sig_b")), "key")
-    cross = cross.where((F.col("a") < F.col("b")) & (F.col("home_a") != F.col("home_b")) & (matches("sig_a", "sig_b") >= threshold)).select("a", "b").distinct()
+    members = homes.join(mixed, "key").select("c", "home").distinct()
+    members = materialize(members.join(texts, "c").groupBy("c", "home").agg(F.first("text").alias("text")), "members")
+    sets = members.mapInArrow(lambda it: _sets(it, shingle), "c binary, home binary, n int, tokens array<long>")
+    sets = materialize(sets, "sets")
+    tokens = sets.select("c", F.explode("tokens").alias("token"))
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    order = tokens.join(common, "token").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("order"))
+    head = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1  # tokens that no other text has come first in the order of rarity
+    alone = (F.col("n") - F.size("order")).alias("alone")
+    posts = sets.select("c", "home", "n").join(order, "c").select("c", "home", "n", alone, head.cast("int").alias("head"), "order").where("head > alone")
+    posts = posts.select("c", "home", "n", "alone", F.posexplode(F.slice("order", F.lit(1), F.col("head") - F.col("alone"))).alias("i", "o"))
+    posts = materialize(posts.select("c", "home", "n", (F.col("alone") + F.col("i")).alias("pos"), "o.token"), "prefixes")
+    largest = posts.groupBy("token", "home").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("home", F.struct("k", "home")).alias("main"), F.count(F.lit(1)).alias("homes")).where("homes > 1")
+    largest = materialize(largest.select("token", "main"), "mains")
+    few = materialize(posts.join(largest, "token").where("home <> main").drop("main"), "few")
+    one = few.select("token", F.col("c").alias("a"), F.col("home").alias("home_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"))
+    two = posts.select("token", F.col("c").alias("b"), F.col("home").alias("home_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
+    most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))  # of common shingles, from here on
+    cross = one.join(two, (one["token"] == two["token"]) & (F.col("home_a") != F.col("home_b")) & ((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))))
+    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = confirmed(cross, "cross")
     if not more.isEmpty():
         label = components(classes.select("c", "doc_id"), links.union(more))
