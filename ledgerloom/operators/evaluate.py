@@ -7,12 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.shape import message, value_shape
+from ..functions.shape import phrase, value_shape
 from ..plans.rules import ALL, Rule, check
 
-RANK = {"fatal": 3, "error": 3, "warning": 1}
-PATHS = {"document": "/{root}[1]", "line": "/{root}[1]/line[{line}]", "subtotal": "/{root}[1]/subtotal"}
-
 
 def findings(rows: DataFrame, grain: str, rules: list[Rule] = ALL, key: str = "k") -> DataFrame:
     """Fired rules of one grain: key, node, rule_id, severity, term, failure_class, outcome, shape, message.
@@ -27,11 +24,13 @@ def findings(rows: DataFrame, grain: str, rules: list[Rule] = ALL, key: str = "k
         verdict = F.when(holds.isNull(), "no_verdict").when(~holds, "fail" if r.severity != "warning" else "warn")
         fired.append(F.struct(
             F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.term).cast("string").alias("term"), F.lit(r.failure).alias("failure_class"),
-            verdict.alias("outcome"), value_shape(value).alias("shape"), message(r.expected, value).alias("message"),
+            verdict.alias("outcome"), value.alias("value"), F.lit(r.expected).alias("expected"),
         ))
     node = F.col("line") if grain == "line" else F.lit(0)
     hits = F.filter(F.array(*fired), lambda x: x["outcome"].isNotNull())
-    return rows.select(key, node.cast("int").alias("node"), F.explode(hits).alias("x")).select(key, "node", "x.*")
+    hit = rows.select(key, node.cast("int").alias("node"), F.explode(hits).alias("x")).select(key, "node", "x.*")
+    said = F.concat(F.lit("Expected "), F.col("expected"), F.lit("; received "), phrase(F.col("value")), F.lit("."))
+    return hit.select(key, "node", "rule_id", "severity", "term", "failure_class", "outcome", value_shape(F.col("value")).alias("shape"), said.alias("message"))
 
 
 def subtotals(lines: DataFrame) -> DataFrame:
@@ -49,7 +48,7 @@ def outcomes(invoices: DataFrame, found: DataFrame) -> DataFrame:
     """k and outcome of every document: no_verdict, fail, warn or pass."""
     rank = F.when(F.col("outcome") == "no_verdict", 3).when(F.col("outcome") == "fail", 2).otherwise(1)
     worst = found.groupBy("k").agg(F.max(rank).alias("worst"))
-    name = F.coalesce(F.element_at(F.array(F.lit("warn"), F.lit("fail"), F.lit("no_verdict")), F.col("worst")), F.lit("pass"))
+    name = F.when(F.col("worst") == 3, "no_verdict").when(F.col("worst") == 2, "fail").when(F.col("worst") == 1, "warn").otherwise("pass")
     return invoices.select("k").join(worst, "k", "left").select("k", name.alias("outcome"))
 
 

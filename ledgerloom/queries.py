@@ -180,7 +180,7 @@ def oracle_sql() -> dict[str, str]:
         "minor_roundtrip": f"{_SCALED} SELECT currency, count(*) AS lines, count(minor) AS same FROM scaled GROUP BY 1",
         "line_buckets": f"{DUCK_WITH} SELECT CASE WHEN n_lines <= 1 THEN '1' WHEN n_lines <= 5 THEN '2-5' WHEN n_lines <= 20 THEN '6-20' WHEN n_lines <= 100 THEN '21-100' ELSE '100+' END AS bucket, count(*) AS documents FROM invoices GROUP BY 1",
         "recurrence_keys": f"{_FOUND} SELECT sha256(concat(custkey, chr(31), rule_id, chr(31), coalesce(term, ''), chr(31), coalesce({_CLASS.format('v')}, 'no-shape'))) AS recurrence_key, count(*) AS occurrences, count(DISTINCT k) AS documents FROM found JOIN (SELECT k, custkey FROM invoices) USING (k) GROUP BY 1",
-        "supplier_readiness": f"{_FOUND}, f AS (SELECT custkey, k, rule_id FROM found JOIN (SELECT k, custkey FROM invoices) USING (k) WHERE outcome = 'fail'), t AS (SELECT custkey, rule_id, row_number() OVER (PARTITION BY custkey ORDER BY count(*) DESC, rule_id) AS n FROM f GROUP BY ALL), g AS (SELECT custkey, count(DISTINCT k) AS failed FROM f GROUP BY 1), d AS (SELECT custkey, count(*) AS documents FROM invoices GROUP BY 1) SELECT custkey, documents, round(coalesce(failed, 0) / documents, 4) AS fail_rate, rule_id AS top_rule FROM d LEFT JOIN g USING (custkey) LEFT JOIN (SELECT custkey, rule_id FROM t WHERE n = 1) USING (custkey)",
+        "supplier_readiness": f"{_FOUND}, f AS (SELECT custkey, k, rule_id FROM found JOIN (SELECT k, custkey FROM invoices) USING (k) WHERE outcome = 'fail'), u AS (SELECT custkey, rule_id, count(*) AS m FROM f GROUP BY ALL), t AS (SELECT custkey, rule_id, row_number() OVER (PARTITION BY custkey ORDER BY m DESC, rule_id) AS n FROM u), g AS (SELECT custkey, count(DISTINCT k) AS failed FROM f GROUP BY 1), d AS (SELECT custkey, count(*) AS documents FROM invoices GROUP BY 1) SELECT custkey, documents, round(coalesce(failed, 0) / documents, 4) AS fail_rate, rule_id AS top_rule FROM d LEFT JOIN g USING (custkey) LEFT JOIN (SELECT custkey, rule_id FROM t WHERE n = 1) USING (custkey)",
         "reconcile_ledger": f"{DUCK_WITH}, i AS (SELECT k AS ref, {_CENTS} AS a FROM invoices), l AS (SELECT CASE WHEN ref % 19 = 0 THEN -ref ELSE ref END AS ref, a + CASE WHEN ref % 11 = 0 THEN 1 WHEN ref % 17 = 0 THEN 500 ELSE 0 END AS b FROM i WHERE ref % 13 <> 0) SELECT ref, CASE WHEN b IS NULL THEN 'invoice_not_in_ledger' WHEN a IS NULL THEN 'ledger_not_in_invoice' WHEN abs(a - b) = 1 THEN 'rounding_drift' ELSE 'amount_mismatch' END AS divergence FROM i FULL JOIN l USING (ref) WHERE a IS NULL OR b IS NULL OR a <> b",
         "catalogue_diff": "WITH o AS (SELECT p_partkey AS rule_id, sha256(p_name) AS h FROM part WHERE p_partkey % 11 <> 0), n AS (SELECT p_partkey AS rule_id, sha256(CASE WHEN p_partkey % 7 = 0 THEN concat(p_name, '!') ELSE p_name END) AS g FROM part WHERE p_partkey % 13 <> 0) SELECT rule_id, CASE WHEN h IS NULL THEN 'added' WHEN g IS NULL THEN 'removed' WHEN h <> g THEN 'changed' ELSE 'same' END AS state FROM o FULL JOIN n USING (rule_id)",
         "latest_profile": "SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders) WHERE n = 1",
