@@ -72,7 +72,7 @@ def _best(ids: list[int], queries: np.ndarray, known: list[list[int]], score: np
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 32, block: int = 2048, query_block: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k greatest inner products of each query (vec_id, v) with all vectors but its own row's."""
     out = None
-    for size in [r[0] for r in vectors.select(F.size("v").alias("n")).distinct().orderBy("n").limit(64).collect()]:
+    for size in [r[0] for r in vectors.select(F.size("v").alias("n")).distinct().orderBy("n").collect()]:
         found = _top_k(vectors.where(F.size("v") == size), queries.where(F.size("v") == size), k, pivots, block, query_block)
         out = found if out is None else out.unionByName(found)
     if out is None:
