@@ -13,7 +13,8 @@
    prefix that a pair at the limit must share), a list's largest component is never paired with itself, and the join
    skips pairs whose positions leave too few common shingles. What is left is confirmed, so no link between
    components is lost; a link inside a component changes nothing.
-5. Components of the confirmed links by label propagation with pointer jumping.
+5. Components of the confirmed links by label propagation with pointer jumping; a component of the leader round is one
+   vertex when the links across are followed.
 
 The threshold lies 5.2 standard deviations below what a pair at the limit of similarity is expected to match, so such
 a pair is missed with a probability of the order of 1e-7.
@@ -105,18 +106,18 @@ def _confirm(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterato
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * both >= percent * (len(x) + len(y) - both))
         mask = pa.array(keep, pa.bool_())
-        yield pa.record_batch([b.column("a"), b.column("b")], names=["a", "b"]).filter(mask)
+        yield b.drop_columns(["text_a", "text_b"]).filter(mask)
 
 
 def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
     """c and label (least (doc_id, c) that it reaches) of the linked vertices. links: a, b; vertices: c, doc_id."""
-    both = materialize(links.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(links.select("b", "a")).distinct(), "links")
+    both = links.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(links.select("b", "a"))
     label = vertices.join(both.select(F.col("src").alias("c")).distinct(), "c").select("c", F.struct("doc_id", "c").alias("label"))
     label = materialize(label, "labels")
     while True:
         near = both.join(label.withColumnRenamed("c", "dst"), "dst").groupBy("src").agg(F.min("label").alias("near")).withColumnRenamed("src", "c")
         step = label.join(near, "c").select("c", F.col("label").alias("was"), F.least("label", "near").alias("to"))
-        jump = step.select(F.col("c").alias("at"), F.col("to").alias("beyond"))
+        jump = label.select(F.col("c").alias("at"), F.col("label").alias("beyond"))
         step = step.join(jump, F.col("to")["c"] == F.col("at"), "left").select("c", "was", F.least("to", F.coalesce("beyond", "to")).alias("label"))
         step = materialize(step, "labels")
         label = step.select("c", "label")
@@ -139,10 +140,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords
     key = F.xxhash64("coord", "value").alias("key")
     posts = classes.select("c", posted).select("c", key)
     long_lists = materialize(posts.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "lists")
-    shared = materialize(posts.join(long_lists, "key").select("key", "c", "size"), "posts")
-    central = shared.groupBy("c").agg(F.sum("size").alias("weight"))
-    shared = shared.join(central, "c").select("key", "c", "weight")
-    shared = materialize(shared, "weighted")
+    central = posts.join(long_lists, "key").groupBy("c").agg(F.collect_list("key").alias("keys"), F.sum("size").alias("weight"))  # at most ``prefix`` keys
+    shared = materialize(central.select(F.explode("keys").alias("key"), "c", "weight"), "posts")
     leaders = materialize(shared.groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), "c")).alias("lead")).select("key", F.col("lead.c").alias("lead")), "leaders")
 
     matches = lambda x, y: F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda p: p))
@@ -151,10 +150,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         wanted = materialize(pairs, f"{name}-pairs")
+        more = "".join(f", {f.name} binary" for f in wanted.schema if f.name not in "ab")
         ends = wanted.select(F.col("a").alias("c")).union(wanted.select("b")).distinct()
         needed = materialize(texts.join(ends, "c").groupBy("c").agg(F.first("text").alias("text")), f"{name}-texts")
         both = wanted.join(needed.select(F.col("c").alias("a"), F.col("text").alias("text_a")), "a").join(needed.select(F.col("c").alias("b"), F.col("text").alias("text_b")), "b")
-        return materialize(both.mapInArrow(lambda it: _confirm(it, shingle, percent), "a binary, b binary"), name)
+        return materialize(both.mapInArrow(lambda it: _confirm(it, shingle, percent), f"a binary, b binary{more}"), name)
 
     led = shared.join(leaders, "key").where("c <> lead").select(F.least("c", "lead").alias("a"), F.greatest("c", "lead").alias("b")).distinct()
     led = led.join(sigs.select(F.col("v").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("v").alias("b"), F.col("sig").alias("sig_b")), "b")
@@ -183,10 +183,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords
     two = posts.select("token", F.col("c").alias("b"), F.col("home").alias("home_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
     most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))  # of common shingles, from here on
     cross = one.join(two, (one["token"] == two["token"]) & (F.col("home_a") != F.col("home_b")) & ((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))))
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ends = F.least(*(F.struct(F.col(x).alias("a"), F.col(f"home_{x}").alias("h")) for x in "ab")), F.greatest(*(F.struct(F.col(x).alias("a"), F.col(f"home_{x}").alias("h")) for x in "ab"))
+    cross = cross.select(ends[0].alias("x"), ends[1].alias("y")).select("x.a", F.col("y.a").alias("b"), F.col("x.h").alias("home_a"), F.col("y.h").alias("home_b")).distinct()
     more = confirmed(cross, "cross")
-    if not more.isEmpty():
-        label = components(classes.select("c", "doc_id"), links.union(more))
+    if not more.isEmpty():  # a component of the leader round is one vertex now
+        joined = materialize(more.select(F.least("home_a", "home_b").alias("a"), F.greatest("home_a", "home_b").alias("b")).distinct(), "joined")
+        beyond = components(classes.select("c", "doc_id"), joined).select(F.col("c").alias("home"), F.col("label").alias("beyond"))
+        label = classes.select("c").join(label, "c", "left").select("c", "label", home).join(beyond, "home", "left")
+        label = label.select("c", F.coalesce("beyond", "label").alias("label")).where("label is not null")
 
     found = classes.join(label, "c", "left").withColumn("component_id", F.coalesce("label.doc_id", "doc_id"))
     found = materialize(found.where("copies > 1 or component_id <> doc_id").select(F.col("c").alias("of"), "component_id"), "components")
