@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions.hashing import recurrence_key
 from .operators import assemble, declared, gates, scores
 from .operators.evaluate import all_findings
+from .plans.rules import ALL
 from .sources.fixtures import DUCK_WITH, invoices, lines
 from .sources.tabular import EXPORT, export_rows, resolve_headers
 
@@ -83,11 +84,32 @@ def first_errors(spark: SparkSession, d: str) -> DataFrame:
     return gates.until_first_error(all_findings(invoices(spark, d), lines(spark, d)), "k", ["rule_id", "node"]).groupBy("rule_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
+def expectations(docs: DataFrame) -> DataFrame:
+    """What ``check_expectations`` expects of every invoice, from the defects that the fixtures plant by its key. Keys
+    divisible by 47 carry the seeded case as well, which expects R-041 and R-040 and forbids R-011 and R-018."""
+    k = F.col("k")
+    by = lambda *n: F.greatest(*[k % x == 0 for x in n]) if len(n) > 1 else k % n[0] == 0
+    on_line = lambda hit: F.exists(F.sequence(F.lit(1), "n_lines"), hit)
+    planted = {
+        "R-001": by(97, 101), "R-003": by(53), "R-006": by(71) & ~by(89), "R-007": by(89), "R-009": by(83), "R-011": by(37) & ~by(73), "R-012": by(127), "R-013": by(131), "R-014": by(73),
+        "R-017": on_line(lambda i: ((k + i) % 41 == 0) & ((k + i) % 31 != 0)), "R-018": on_line(lambda i: (k + i) % 31 == 0), "R-019": on_line(lambda i: (k + i) % 29 == 0), "R-021": on_line(lambda i: (k + i) % 79 == 0),
+        "R-022": (F.col("root") == "CreditNote") & by(5), "R-023": by(61) & ~by(53), "R-024": on_line(lambda i: (k + i) % 31 == 0), "R-025": by(127) & ~by(131), "R-026": by(67),
+        "R-041": by(47, 59) & ~by(43), "R-042": by(43), "R-043": by(103), "R-044": by(109), "R-045": by(107), "R-060": by(109), "R-061": by(113), "R-062": ~by(3),
+    }
+    rules = F.array_compact(F.array(*[F.when(hit, F.lit(rule)) for rule, hit in planted.items()]))
+    warnings = F.array(*[F.lit(r.id) for r in ALL if r.severity == "warning"])
+    none, seeded, case, not_in_case = F.array().cast("array<string>"), by(47), F.array(F.lit("R-041"), F.lit("R-040")), F.array(F.lit("R-011"), F.lit("R-018"))
+    outcome = F.when(seeded | (F.size(F.array_except("rules", warnings)) > 0), "fail").when(F.size("rules") > 0, "warn").otherwise("pass")
+    others = F.array_except(F.array(*[F.lit(r.id) for r in ALL]), F.array_union("rules", case))
+    return docs.select("k", rules.alias("rules")).select(
+        "k", outcome.alias("outcome"), F.when(seeded, "superset").otherwise("exact").alias("match"), F.array_union("rules", F.when(seeded, case).otherwise(none)).alias("fired_rules"),
+        F.when(seeded, F.array_union(others, not_in_case)).otherwise(none).alias("must_not_fire"),
+    )
+
+
 def golden_check(spark: SparkSession, d: str) -> DataFrame:
     docs = invoices(spark, d)
-    found = all_findings(docs, lines(spark, d)).where("k % 47 = 0")
-    expected = docs.where("k % 47 = 0").select("k", F.lit("fail").alias("outcome"), F.lit("superset").alias("match"), F.array(F.lit("R-041"), F.lit("R-040")).alias("fired_rules"), F.array(F.lit("R-011"), F.lit("R-018")).alias("must_not_fire"))
-    return scores.check_expectations(expected, found)
+    return scores.check_expectations(expectations(docs), all_findings(docs, lines(spark, d)))
 
 
 def readiness_score(spark: SparkSession, d: str) -> DataFrame:
