@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 
@@ -31,13 +35,39 @@ def latest(df: DataFrame, key: list[str], version: str) -> DataFrame:
 
 
 def ttl_dedup(arrivals: DataFrame, key: list[str], at: str, days: int) -> DataFrame:
-    """stored: whether each arrival is kept. The time to live restarts at each stored arrival, so a fold over the
-    sorted arrivals of a key decides; a key's arrivals are one small array of timestamps."""
-    limit = F.lit(days * 86_400_000_000)
-    times = arrivals.groupBy(*key).agg(F.array_sort(F.collect_list(F.unix_micros(F.col(at).cast("timestamp")))).alias("times"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("kept"))
-    fold = F.aggregate("times", start, lambda s, t: F.when(s["last"].isNull() | (t - s["last"] >= limit), F.struct(t.alias("last"), F.concat(s["kept"], F.array(t)).alias("kept"))).otherwise(s))
-    return times.select(*key, F.size("times").alias("arrivals"), F.size(fold["kept"]).alias("stored"))
+    """arrivals and stored: how many arrivals each key has and how many are kept. The time to live restarts at each stored
+    arrival, so a fold over the sorted times of a key decides. It holds a key's last stored time and two counters only;
+    arrivals without a time are not counted."""
+    limit, width = days * 86_400_000_000, len(key)
+    times = arrivals.select(*key, F.unix_micros(F.col(at).cast("timestamp")).alias("__t")).groupBy(*key, "__t").agg(F.count("__t").alias("__n"))
+    fields = StructType([*times.select(*key).schema, StructField("arrivals", IntegerType()), StructField("stored", IntegerType())])
+
+    def same(a: tuple, b: tuple) -> bool:
+        return all(x == y or (x != x and y != y) for x, y in zip(a, b))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = last = kinds = None
+        n = kept = 0
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), [*kinds, pa.int32(), pa.int32()])], names=fields.names)
+
+        for b in batches:
+            kinds, done = b.schema.types[:width], []
+            for *of, t, count in zip(*(c.to_pylist() for c in b.columns)):
+                if now is None or not same(now, of):
+                    if now is not None:
+                        done.append((*now, n, kept))
+                    now, last, n, kept = of, None, 0, 0
+                n += count
+                if t is not None and (last is None or t - last >= limit):
+                    last, kept = t, kept + 1
+            if done:
+                yield batch(done)
+        if now is not None:
+            yield batch([(*now, n, kept)])
+
+    return times.repartition(*key).sortWithinPartitions(*key, "__t").mapInArrow(fold, fields)
 
 
 def supplier_readiness(found: DataFrame, documents: DataFrame, key: str) -> DataFrame:
