@@ -23,7 +23,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", lambda spark, docs, sf_dir: op7_packing(docs)),
 ]
 
-#: Signatures, forests and tokenizers are beyond SQL; tests compare each stage with a plain version.
+#: Signatures, forests and tokenizers are beyond SQL; no test compares the stages with plain versions yet.
 ORACLE_SQL: str | None = None
 
 
