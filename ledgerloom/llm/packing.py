@@ -3,25 +3,28 @@
 1. Every document is tokenised once, ends with the end id, and is cut into full pieces of ``capacity`` ids and one rest.
    Pieces go to a table in the shared folder.
 2. The histogram of piece lengths (at most ``capacity`` numbers, whatever the corpus holds) is the demand of a
-   cutting-stock linear program. Columns are patterns, multisets of lengths that fit one sequence; a knapsack dynamic
-   program over the dual values prices them, and a revised simplex takes the best one in, until no pattern is worth
-   more than one sequence (or the proven gap is below ``gap``).
-3. Patterns that fill a sequence are rounded down to whole numbers. Pieces of each length are ranked over the cluster
-   (a rank within each of several parts plus the parts' offsets, so that a length that a third of the documents share
-   is spread), and ranks are dealt to patterns by a table of ranges of at most a few thousand rows.
-4. Pieces beyond the rounded patterns, and those that only patterns with padding would take, are laid end to end by
-   rank and cut where a sequence ends; what remains of the last one goes to sequences whose length is a power of two,
-   which need no padding. So nothing is padded, and few pieces are cut.
-
-Defined results: a null or empty text is the end id alone; repeated rows are packed each by itself; an empty table
-gives an empty result.
+   cutting-stock linear program. Columns are patterns, multisets of lengths that fit one sequence. The first basis comes
+   from knapsacks at volume prices, each of which uses up one length; a knapsack dynamic program over smoothed dual
+   values prices further columns, and a revised simplex takes them in, until the gap to the dual bound is at most
+   ``gap`` (or a hundredth of a sequence for each length), no pattern is worth more than one sequence, or ``patience``
+   rounds in a row save nothing.
+3. Patterns that fill a sequence are rounded down to whole numbers; what rounding leaves (at most one sequence a basis
+   column) is dealt by further knapsack patterns that fill a sequence exactly. Pieces of each length are ranked over the
+   cluster (a rank within each of several parts plus the parts' offsets, so that a length that a third of the documents
+   share is spread), and ranks are dealt to patterns by a table of ranges of at most a few thousand rows.
+4. The pieces that no exact pattern takes (at most a few a length) are laid end to end by rank and cut where a
+   sequence ends; what remains of the last one goes to sequences whose length is a power of two, which need no padding.
+   So nothing is padded, and very few pieces are cut: ``plan`` gives the numbers dealt.
+
+Defined results: a null or empty text is the end id alone; repeated rows are packed each by itself; a very long text
+is many full pieces and a rest; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .byte_bpe import UnitCache
 from .common import materialize, shuffle_partitions
 
 _CACHED: dict[str, tuple] = {}
 
 
+#: Fixed value: the pre-token pattern of byte-level tokenizers that name none of their own.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_NO_TOKEN = "<|no token of the vocabulary|>"
+
+
 def _tokenizer(path: str, pattern: str | None) -> tuple:
     if path not in _CACHED:
         from tokenizers import Tokenizer
@@ -44,40 +51,46 @@ def _tokenizer(path: str, pattern: str | None) -> tuple:
         def whole(text: str) -> bytes:
             return np.array(t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-        piece = _ranked(t, pattern) or whole
-        special = [x.content for x in t.get_added_tokens_decoder().values()]
-        _CACHED[path] = (UnitCache(piece, pattern, 400_000), whole, special)
+        added = [x.content for x in t.get_added_tokens_decoder().values()]
+        _CACHED[path] = (_ranked(t, pattern) or whole, whole, added)
     return _CACHED[path]
 
 
-def _ranked(t, pattern: str | None):
-    """A faster merger of single pre-tokens for a byte-level BPE whose merges rank as their ids do; else None."""
+def _ranked(t, pattern: str | None) -> Callable[[str], bytes] | None:
+    """A faster encoder for a byte-level BPE that merges in the order of its ids and cuts by ``pattern``; else None."""
     import json
 
     import tiktoken
 
-    model = json.loads(t.to_str())["model"]
-    if pattern is None or model.get("type") != "BPE" or model.get("dropout") or model.get("ignore_merges") or model.get("byte_fallback"):
+    spec = json.loads(t.to_str())
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and pattern == BYTE_LEVEL and not spec.get("normalizer")
+    if not plain or model.get("type") != "BPE" or model.get("dropout") or model.get("ignore_merges") or model.get("byte_fallback"):
         return None
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow 255
     hidden = [b for b in range(256) if b not in set(shown)]
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-    special = {x.content for x in t.get_added_tokens_decoder().values()}
-    vocabulary = {w: i for w, i in model["vocab"].items() if w not in special}
+    added = {x.content for x in t.get_added_tokens_decoder().values()}
+    vocabulary = {w: i for w, i in model["vocab"].items() if w not in added}
     made = [vocabulary["".join(m if not isinstance(m, str) else m.split(" "))] for m in model["merges"]]
     if made != sorted(made) or any(c not in byte_of for w in vocabulary for c in w):
         return None
     ranks = {bytes(byte_of[c] for c in w): i for w, i in vocabulary.items()}
-    merge = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda piece: np.array(merge.encode_ordinary(piece), dtype="<u4").tobytes()
+    merge = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={_NO_TOKEN: 1 << 30})
+    return lambda text: merge.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
 
 def tokenize(text: str | None, path: str, pattern: str | None = None) -> bytes:
     """Ids of ``text`` as the tokenizer gives them, little-endian unsigned 32-bit. pattern: its pre-tokens, if known."""
-    units, whole, special = _tokenizer(path, pattern)
+    fast, whole, added = _tokenizer(path, pattern)
     if not text:
         return b""
-    return whole(text) if any(x in text for x in special) else units.text(text)
+    if any(x in text for x in added):
+        return whole(text)
+    try:
+        return fast(text)
+    except ValueError:  # the faster one's pattern matcher gives up on white space of a million characters
+        return whole(text)
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
@@ -99,70 +112,131 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, pattern: str | None, c
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 5 + [pa.binary()])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
 
-def best_pattern(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
-    """Unbounded knapsack: the multiset of lengths of the greatest value that fits. Gives index -> number."""
-    order = np.argsort(lengths)
-    size, worth = lengths[order], value[order]
+def fill(number: dict[int, int], capacity: int) -> list[int]:
+    """Knapsack at volume prices: lengths, each at most ``number`` times, of the greatest sum that fits. Longer ones come first."""
+    reach, took, room, copy = 1, {}, (2 << capacity) - 1, 0  # bit c: a sum of c can be made
+    while not reach >> capacity & 1:
+        copy, had = copy + 1, reach
+        for x in sorted((x for x, n in number.items() if n >= copy), reverse=True):  # one more of each
+            new = (reach << x) & room & ~reach
+            reach |= new
+            while new:
+                low = new & -new
+                took[low.bit_length() - 1] = x
+                new ^= low
+            if reach >> capacity & 1:
+                break
+        if reach == had:
+            break
+    c, out = reach.bit_length() - 1, []
+    while c:
+        out.append(took[c])
+        c -= took[c]
+    return out
+
+
+def best_values(size: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack over ascending sizes: the greatest value of every capacity and the size taken last (-1: none)."""
     best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     fits = np.searchsorted(size, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
+        best[c] = best[c - 1]
         if n := fits[c]:
             v = best[c - size[:n]] + worth[:n]
             i = int(v.argmax())
-            if v[i] > best[c - 1] + 1e-12:
+            if v[i] > best[c] + 1e-12:
                 best[c], took[c] = v[i], i
-                continue
-        best[c] = best[c - 1]
-    counts: Counter = Counter()
-    c = capacity
+    return best, took
+
+
+def _pattern(took: np.ndarray, size: np.ndarray, capacity: int, first: int) -> dict[int, int]:
+    """The best pattern that holds size ``first``: index -> number."""
+    counts = Counter([first])
+    c = capacity - int(size[first])
     while c > 0:
         if took[c] < 0:
             c -= 1
             continue
-        counts[int(order[took[c]])] += 1
+        counts[int(took[c])] += 1
         c -= int(size[took[c]])
-    return float(best[capacity]), dict(counts)
-
-
-def cutting_stock(demand: dict[int, int], capacity: int, gap: float = 1e-3, rounds: int = 600) -> list[tuple[dict[int, int], float]]:
-    """Patterns (length -> number) of the linear program's solution and how often each is used."""
-    lengths = np.array(sorted(demand), dtype=np.int64)
-    if not len(lengths):
-        return []
-    need = np.array([demand[int(x)] for x in lengths], dtype=np.float64)
-    patterns = [{i: int(capacity // x)} for i, x in enumerate(lengths)]
-    inverse = np.diag(1.0 / (capacity // lengths))
-    use = inverse @ need
-    for _ in range(rounds):
-        dual = inverse.sum(axis=0)
-        worth, pattern = best_pattern(lengths, np.maximum(dual, 0), capacity)
-        if worth <= 1 + gap:  # dual / worth is feasible, so need @ dual / worth bounds any solution from below
-            break
-        at = np.fromiter(pattern, dtype=np.int64)
-        column = inverse[:, at] @ np.array([pattern[int(i)] for i in at], dtype=np.float64)
-        ratio = np.where(column > 1e-9, np.maximum(use, 0) / np.where(column > 1e-9, column, 1), np.inf)
-        out = int(ratio.argmin())
-        pivot = inverse[out] / column[out]
-        hit = np.flatnonzero(np.abs(column) > 1e-12)
-        inverse[hit] -= np.outer(column[hit], pivot)
-        inverse[out] = pivot
-        amount = ratio[out]
-        use = use - amount * column
-        use[out] = amount
-        patterns[out] = pattern
-    return [({int(lengths[i]): n for i, n in p.items()}, float(x)) for p, x in zip(patterns, use) if x > 0]
+    return dict(counts)
+
+
+def _first_basis(size: np.ndarray, need: np.ndarray, capacity: int) -> tuple[list[dict[int, int]], np.ndarray]:
+    """Patterns, each of which uses up one length that no later pattern holds: a triangular basis."""
+    left, at = need.copy(), {int(x): i for i, x in enumerate(size)}
+    patterns: list[dict[int, int]] = [{} for _ in size]
+    use, there = np.zeros(len(size)), dict.fromkeys(map(int, size[::-1]), capacity)
+    while there:
+        longest = next(iter(there))
+        counts = Counter(at[x] for x in [longest, *fill(there, capacity - longest)])
+        times, i = min((left[i] / n, i) for i, n in counts.items())
+        for j, n in counts.items():
+            left[j] -= n * times
+        del there[int(size[i])]
+        patterns[i], use[i] = dict(counts), times
+    return patterns, use
+
+
+def cutting_stock(demand: dict[int, int], capacity: int, gap: float = 1e-3, patience: int = 60, columns: int = 40) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """Patterns (length -> number) of the linear program's solution with how often each is used, and the proven gap."""
+    size = np.array(sorted(demand), dtype=np.int64)
+    if not len(size):
+        return [], 0.0
+    need = np.array([demand[int(x)] for x in size], dtype=np.float64)
+    patterns, use = _first_basis(size, need, capacity)
+    centre = size / capacity  # feasible dual values of the best bound so far
+    bound, smooth, idle, inverse = float(centre @ need), 0.7, 0, None
+    while use.sum() - bound > max(gap * bound, 0.01 * len(size)) and idle < patience:  # rounding costs up to 1 a length
+        if inverse is None:
+            basis = np.zeros((len(size), len(size)))
+            for j, p in enumerate(patterns):
+                basis[list(p), j] = list(p.values())
+            inverse = np.linalg.inv(basis)
+        dual, before = inverse.sum(axis=0), use.sum()
+        worth = np.maximum(smooth * centre + (1 - smooth) * dual, 0)
+        best, took = best_values(size, worth, capacity)
+        scale = max(best[capacity], 1.0)  # worth / scale is feasible, so need @ worth / scale bounds any solution from below
+        if need @ worth / scale > bound:
+            bound, centre = float(need @ worth / scale), worth / scale
+        rich = np.argsort(-(worth + best[capacity - size]))[:columns]
+        found = list({tuple(sorted(p.items())): p for p in (_pattern(took, size, capacity, int(i)) for i in rich)}.values())
+        table = np.zeros((len(found), len(size)))
+        for j, p in enumerate(found):
+            table[j, list(p)] = list(p.values())
+        entered = 0
+        while True:
+            value = table @ dual
+            j = int(value.argmax())
+            if value[j] <= 1 + 1e-6:
+                break
+            column = inverse @ table[j]
+            ratio = np.where(column > 1e-9, np.maximum(use, 0) / np.where(column > 1e-9, column, 1), np.inf)
+            out = int(ratio.argmin())
+            pivot, hit = inverse[out] / column[out], np.flatnonzero(np.abs(column) > 1e-12)
+            inverse[hit] -= np.outer(column[hit], pivot)
+            inverse[out] = pivot
+            amount = ratio[out]
+            use = use - amount * column
+            use[out], patterns[out] = amount, found[j]
+            table[j] = 0
+            entered += 1
+            dual = inverse.sum(axis=0)
+        idle = 0 if use.sum() < before - 1e-4 * before * gap else idle + 1
+        if not entered:
+            if smooth == 0:
+                break  # no pattern is worth more than one sequence
+            smooth = smooth / 2 if smooth > 0.05 else 0.0
+    solution = [({int(size[i]): n for i, n in p.items()}, float(x)) for p, x in zip(patterns, use) if x > 1e-9]
+    return solution, float(use.sum() / bound - 1)
 
 
 def plan(demand: dict[int, int], capacity: int) -> tuple[list[tuple], dict[int, int], int]:
     """Ranges (length, low, high, times, first sequence, offset, step) of ranks, ranks dealt by length, sequences used."""
     left, ranges, sequence = dict(demand), [], 0
-    for pattern, used in sorted(cutting_stock(demand, capacity), key=lambda x: -x[1]):
-        total = sum(n * length for length, n in pattern.items())
-        if total != capacity and total & (total - 1):
-            continue
-        times = min([int(used + 1e-6), *(left[length] // n for length, n in pattern.items())])
-        if times < 1:
-            continue
+
+    def deal(pattern: dict[int, int], times: int) -> None:
+        nonlocal sequence
         offset = 0
         for length, n in sorted(pattern.items()):
             low = demand[length] - left[length]
@@ -170,6 +244,22 @@ def plan(demand: dict[int, int], capacity: int) -> tuple[list[tuple], dict[int,
             left[length] -= n * times
             offset += n * length
         sequence += times
+
+    exact = lambda pattern: sum(n * length for length, n in pattern.items()) == capacity
+    for pattern, used in sorted(cutting_stock(demand, capacity)[0], key=lambda x: -x[1]):
+        times = min([int(used + 1e-6), *(left[length] // n for length, n in pattern.items())])
+        if times and exact(pattern):
+            deal(pattern, times)
+    there = {x: left[x] for x in sorted(left, reverse=True) if left[x]}  # what rounding leaves
+    while there:
+        longest = next(iter(there))
+        there[longest] -= 1
+        counts = Counter([longest, *fill(there, capacity - longest)])
+        if exact(counts):
+            deal(counts, min(left[length] // n for length, n in counts.items()))
+            there = {x: left[x] for x in there if left[x]}
+        else:
+            del there[longest]  # no exact pattern holds it any more
     return ranges, {x: demand[x] - left[x] for x in demand}, sequence
 
 
