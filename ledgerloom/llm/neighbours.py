@@ -92,7 +92,7 @@ def with_neighbours(df: DataFrame, order: list, context: Callable[[dict], dict],
     return both.where("__pid is null").select(*names).unionByName(edges.mapInArrow(outer, fields))
 
 
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "binary": pa.binary()}
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
 
 
 def _batch(rows: list[dict], fields: str, edges: bool = True) -> pa.RecordBatch:
