@@ -4,10 +4,12 @@ A window is ``k`` consecutive words. Consecutive windows of a document that shar
 their ``m``-word runs) form a super-k-mer, which travels as one packed string to its minimiser's bucket; all copies
 of a window therefore meet in one bucket, where sorting finds every window that starts earlier elsewhere.
 
-* Skew: a first pass counts super-k-mers by minimiser over all texts. A minimiser with more of them than an average
-  bucket holds is *hot*; there are at most as many of these as buckets, so their list can be broadcast. Windows
-  of a hot minimiser travel one by one, by their own hash, and only the first of each batch does: the later ones
-  of that batch are known to be repeats already. Whole texts that repeat within a batch are settled the same way.
+* Skew: a first pass counts the super-k-mers of all texts in many more counters than there are buckets, by minimiser.
+  A counter only ever says too much, so every minimiser with more super-k-mers than an average bucket holds lies in a
+  *hot* one. The hot ones are broadcast as one bit a counter (``counters`` bits at most, 32 MB). Windows of hot
+  minimisers travel one by one, by their own hash, and only the first of each slice does: the later ones of
+  that slice are known to be repeats already. Whole texts that repeat within a slice are settled the same way. So a
+  window that stands in every slice (8 MB of text) costs its bucket one short row a slice.
 * Exactness: windows are grouped by a 64-bit hash and then compared word by word; where a hash is shared by
   different words, these windows are grouped by their words instead.
 
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NO_ID, Words, column_bytes, shuffle_partitions, sliding_min, slices
+from .common import NO_ID, Words, column_bytes, materialize, shuffle_partitions, sliding_min, slices
 
 ADDED = ("n_words", "n_removed", "kept_text")
 
@@ -48,18 +50,17 @@ def _runs(w: Words, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return at[begin], np.diff(np.append(begin, len(at))), value[begin]
 
 
-def _count(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.RecordBatch]:
-    """Super-k-mers by minimiser; a minimiser seen once in a slice is only added to the total (key null)."""
+def _count(batches: Iterator[pa.RecordBatch], k: int, m: int, counters: int) -> Iterator[pa.RecordBatch]:
+    """Super-k-mers by counter, which the minimiser names."""
     for b in batches:
         texts = column_bytes(b.column(0))
         for lo, hi in slices(texts):
-            _, _, value = _runs(Words(texts[lo:hi]), k, m)
-            key, n = np.unique(value, return_counts=True)
-            often = n > 3
-            yield pa.record_batch({
-                "minimiser": pa.array([*key[often].view(np.int64).tolist(), None], pa.int64()),
-                "n": pa.array([*n[often].tolist(), int(n.sum())], pa.int64()),
-            })
+            counter, n = np.unique(_counter(_runs(Words(texts[lo:hi]), k, m)[2], counters), return_counts=True)
+            yield pa.record_batch([pa.array(counter), pa.array(n.astype(np.int64))], names=["counter", "n"])
+
+
+def _counter(value: np.ndarray, counters: int) -> np.ndarray:
+    return (value >> np.uint64(20)).astype(np.int64) % counters
 
 
 def _blob(doc: np.ndarray, key: np.ndarray, start: np.ndarray, parts: list[bytes], pack: zstandard.ZstdCompressor) -> bytes:
@@ -77,8 +78,8 @@ def _unblob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
 _SPREAD = pa.schema([("bucket", pa.int64()), ("doc_key", pa.int64()), ("text_key", pa.int64()), ("blob", pa.binary())])
 
 
-def _spread(batches: Iterator[pa.RecordBatch], k: int, m: int, buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row per bucket and slice with its packed super-k-mers; rows with a ``doc_key`` carry settled repeats."""
+def _spread(batches: Iterator[pa.RecordBatch], k: int, m: int, buckets: int, counters: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row per bucket and slice with its packed super-k-mers; rows with a ``doc_key`` carry settled repeats. hot: a bit a counter."""
     pack = zstandard.ZstdCompressor(level=3)
     for b in batches:
         ids = b.column(0).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
@@ -106,7 +107,8 @@ def _spread(batches: Iterator[pa.RecordBatch], k: int, m: int, buckets: int, hot
             at, n, value = _runs(w, k, m)
             chosen = np.array(keep, dtype=bool)[w.owner[at]] if len(at) else np.zeros(0, dtype=bool)
             at, n, value = at[chosen], n[chosen], value[chosen]
-            is_hot = np.isin(value, hot)
+            c = _counter(value, counters)
+            is_hot = (hot[c >> 3] >> (c & 7).astype(np.uint8) & 1).astype(bool)
             goes = (value % np.uint64(buckets)).astype(np.int64)
             if is_hot.any():
                 single = np.repeat(at[is_hot], n[is_hot]) + np.concatenate([np.arange(x) for x in n[is_hot]])
@@ -227,26 +229,31 @@ def _text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def dedup_substrings(docs: DataFrame, k: int = 20, m: int = 2, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 100_000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, k: int = 20, m: int = 2, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 100_000, counters: int = 1 << 28) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed`` and ``kept_text`` (kept words joined by one space).
 
-    ``per_bucket`` is the number of super-k-mers that a bucket should hold.
+    ``per_bucket`` is the number of super-k-mers that a bucket should hold, ``counters`` the most counters for them.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
     docs = docs.drop(*ADDED)
     text = F.col(text_col).cast("string")
-    counts = docs.select(text.alias("text")).mapInArrow(lambda it: _count(it, k, m), "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n")).cache()
-    total = counts.where("minimiser is null").agg(F.sum("n")).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    likely = max(4 * shuffle_partitions(spark), size // 60 // per_bucket + 1)  # buckets, at some 60 bytes a super-k-mer
+    counters = min(counters, 1 << (16 * likely).bit_length())
+    counts = docs.select(text.alias("text")).mapInArrow(lambda it: _count(it, k, m, counters), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    counts = materialize(counts, "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
     buckets = max(4 * shuffle_partitions(spark), total // per_bucket + 1)
     limit = max(1000, total // buckets)
-    hot = np.array([r[0] for r in counts.where((F.col("n") > limit) & F.col("minimiser").isNotNull()).select("minimiser").collect()], dtype=np.int64).view(np.uint64)
-    counts.unpersist()
-    shared = spark.sparkContext.broadcast(np.sort(hot))
+    hot = np.zeros(counters // 8 + 1, dtype=np.uint8)
+    for (c,) in counts.where(F.col("n") > limit).select("counter").collect():  # fewer than buckets, as each holds more than an average one
+        hot[c >> 3] |= 1 << (c & 7)
+    shared = spark.sparkContext.broadcast(hot)
     spread = (
         docs.select(F.col(id_col).cast("long").alias("doc_key"), _text_key(text).alias("text_key"), text.alias("text"))
-        .mapInArrow(lambda it: _spread(it, k, m, buckets, shared.value), "bucket long, doc_key long, text_key long, blob binary")
+        .mapInArrow(lambda it: _spread(it, k, m, buckets, counters, shared.value), "bucket long, doc_key long, text_key long, blob binary")
     )
     repeats = spread.groupBy("bucket").applyInArrow(lambda t: _repeats(t, k), "doc_key long, text_key long, spans binary")
     spans = repeats.groupBy("doc_key", "text_key").agg(F.collect_list("spans").alias("__spans")).withColumnsRenamed({"doc_key": "__of_doc", "text_key": "__of_text"})
