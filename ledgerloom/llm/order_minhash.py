@@ -12,6 +12,7 @@ doc_id comes last. The only document is its own next.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -64,6 +65,9 @@ def sketch(text: str, k: int = 8, m: int = 24, width: int = 2) -> str:
     return value.astype(">u8").view(np.uint8).reshape(m, 8)[:, :4].tobytes().hex()
 
 
+_sketched = lru_cache(maxsize=2)(sketch)  # a text is its own, then the next of the row after it
+
+
 def likeness(a: str, b: str) -> float:
     """Share of equal hashes of two fingerprints."""
     m = len(a) // 8
@@ -74,7 +78,7 @@ def _compare(row: dict, before: dict | None, after: dict | None) -> dict:
     text, following = row["text"] or "", (after or {}).get("text") or ""
     n = len(text) // 3
     edited = text[: len(text) - n] + following[:n]
-    own, other, following_print = sketch(text), sketch(edited), sketch(following)
+    own, other, following_print = _sketched(text), sketch(edited), _sketched(following)
     return {
         "doc_id": row["doc_id"], "n_chars": len(text), "edited_sha256": hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(),
         "fingerprint": own, "edited_fingerprint": other, "near_edited": likeness(own, other), "near_next": likeness(own, following_print),
