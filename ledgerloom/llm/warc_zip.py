@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import materialize, shared_dir, shuffle_partitions
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 
@@ -163,10 +163,10 @@ def _read(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa.Recor
                     yield pa.record_batch([pa.array([r[c] for r in rows], t) for c, t in zip(names, types)], names=names)
 
 
-def read_packages(packages: DataFrame, payload: bool = False) -> DataFrame:
-    """The records of the packages at ``path``."""
+def read_packages(packages: DataFrame, payload: bool = False, tasks: int | None = None) -> DataFrame:
+    """The records of the packages at ``path``, read by ``tasks`` tasks (a number keeps few bytes of paths from one task)."""
     fields = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
-    return packages.select("path").repartition("path").mapInArrow(lambda it: _read(it, payload), fields)
+    return packages.select("path").repartition(tasks or shuffle_partitions(packages.sparkSession), "path").mapInArrow(lambda it: _read(it, payload), fields)
 
 
 def mark_revisits(pages: DataFrame, least: int = 0, salts: int = 16) -> DataFrame:
