@@ -50,13 +50,34 @@ def _runs(w: Words, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return at[begin], np.diff(np.append(begin, len(at))), value[begin]
 
 
+SEGMENT = 4096  # counters that travel as one row
+
+
 def _count(batches: Iterator[pa.RecordBatch], k: int, m: int, counters: int) -> Iterator[pa.RecordBatch]:
-    """Super-k-mers by counter, which the minimiser names."""
+    """Super-k-mers by counter, which the minimiser names: for each slice and segment, packed pairs of counter and number."""
     for b in batches:
         texts = column_bytes(b.column(0))
         for lo, hi in slices(texts):
             counter, n = np.unique(_counter(_runs(Words(texts[lo:hi]), k, m)[2], counters), return_counts=True)
-            yield pa.record_batch([pa.array(counter), pa.array(n.astype(np.int64))], names=["counter", "n"])
+            pairs = np.stack([counter, n], axis=1).astype(np.int64)
+            cut = np.flatnonzero(np.diff(counter // SEGMENT)) + 1
+            parts = [x for x in np.split(pairs, cut) if len(x)]
+            yield pa.record_batch([pa.array([int(x[0, 0]) // SEGMENT for x in parts], pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["segment", "pairs"])
+
+
+def _add(t: pa.Table) -> pa.Table:
+    """The numbers of one segment added up."""
+    pairs = np.frombuffer(b"".join(t.column("pairs").to_pylist()), np.int64).reshape(-1, 2)
+    first = int(t.column("segment")[0].as_py()) * SEGMENT
+    n = np.zeros(SEGMENT, dtype=np.int64)
+    np.add.at(n, pairs[:, 0] - first, pairs[:, 1])
+    return pa.table({"first": pa.array([first], pa.int64()), "total": pa.array([int(n.sum())], pa.int64()), "n": pa.array([n.tobytes()], pa.binary())})
+
+
+def _above(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        hot = [first + np.flatnonzero(np.frombuffer(n, np.int64) > limit) for first, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *hot]))], names=["counter"])
 
 
 def _counter(value: np.ndarray, counters: int) -> np.ndarray:
@@ -242,13 +263,13 @@ def dedup_substrings(docs: DataFrame, k: int = 20, m: int = 2, id_col: str = "do
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     likely = max(4 * shuffle_partitions(spark), size // 60 // per_bucket + 1)  # buckets, at some 60 bytes a super-k-mer
     counters = min(counters, 1 << (16 * likely).bit_length())
-    counts = docs.select(text.alias("text")).mapInArrow(lambda it: _count(it, k, m, counters), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
-    counts = materialize(counts, "counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    counts = docs.select(text.alias("text")).mapInArrow(lambda it: _count(it, k, m, counters), "segment long, pairs binary")
+    counts = materialize(counts.groupBy("segment").applyInArrow(_add, "first long, total long, n binary"), "counts")
+    total = counts.agg(F.sum("total")).first()[0] or 0
     buckets = max(4 * shuffle_partitions(spark), total // per_bucket + 1)
     limit = max(1000, total // buckets)
     hot = np.zeros(counters // 8 + 1, dtype=np.uint8)
-    for (c,) in counts.where(F.col("n") > limit).select("counter").collect():  # fewer than buckets, as each holds more than an average one
+    for (c,) in counts.select("first", "n").mapInArrow(lambda it: _above(it, limit), "counter long").collect():  # fewer than buckets, as each holds more than an average one
         hot[c >> 3] |= 1 << (c & 7)
     shared = spark.sparkContext.broadcast(hot)
     spread = (
