@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 # Number of minor digits by currency; others are unknown, never guessed.
 EXPONENT = {"AED": 2, "EUR": 2, "GBP": 2, "INR": 2, "PLN": 2, "SAR": 2, "USD": 2, "BHD": 3, "OMR": 3}
-FORM = r"^([+-]?)(\d*)(?:\.(\d*))?\z"
+FORM = r"^[+-]?(\d+(\.\d*)?|\.\d+)\z"
+BLANK = " \t\n\r\v\f\u00a0\u2028\u2029\ufeff"
 
 
 def exponent(currency: Column) -> Column:
+    """Minor digits of a currency, in any case; NULL if unknown."""
+    currency = F.upper(currency)
     out = F.lit(None).cast("int")
     for e in sorted(set(EXPONENT.values())):
         out = F.when(currency.isin([c for c, x in EXPONENT.items() if x == e]), e).otherwise(out)
@@ -19,16 +22,18 @@ def exponent(currency: Column) -> Column:
 
 def to_minor(amount: Column, currency: Column) -> Column:
     """struct<minor:bigint, reason:string>: reason is NULL, ``malformed`` or ``unknown_currency``."""
-    text = F.replace(F.trim(amount), F.lit(","), F.lit(""))
+    trimmed = F.btrim(amount, F.lit(BLANK))
+    text = F.replace(trimmed, F.lit(","), F.lit(""))
     e = exponent(currency)
-    whole, fraction = F.regexp_extract(text, FORM, 2), F.regexp_replace(F.regexp_extract(text, FORM, 3), "0+$", "")
-    blank = F.coalesce(F.trim(amount), F.lit("")) == ""
-    ok = text.rlike(FORM) & (F.concat(whole, F.regexp_extract(text, FORM, 3)) != "") & (F.length(fraction) <= e)
-    number = F.concat(whole, F.rpad(fraction, e, "0")).try_cast("decimal(38,0)")
-    value = F.when(F.startswith(text, F.lit("-")), -number).otherwise(number)
-    good = ok & (F.abs(value) <= F.lit(2**53 - 1))
+    value = F.when(text.rlike(FORM), text.try_cast("decimal(38,18)"))
+    plain = F.rtrim(text, F.lit("0"))  # zeros at the end of a fraction say nothing
+    point = F.instr(text, ".")
+    fits = (point == 0) | (F.length(plain) - point <= e)
+    scaled = (value * F.when(e == 3, 1000).otherwise(100)).try_cast("decimal(38,0)")
+    good = fits & (F.abs(scaled) <= F.lit(2**53 - 1))
+    blank = F.coalesce(trimmed, F.lit("")) == ""
     reason = F.when(blank, "malformed").when(e.isNull(), "unknown_currency").when(~F.coalesce(good, F.lit(False)), "malformed")
-    return F.struct(F.when(reason.isNull(), value.cast("bigint")).alias("minor"), reason.alias("reason"))
+    return F.struct(F.when(reason.isNull(), scaled.cast("bigint")).alias("minor"), reason.alias("reason"))
 
 
 def minor_to_decimal(minor: Column, currency: Column) -> Column:

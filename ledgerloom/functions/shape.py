@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 RUN_CAP = 12
 RUNS = r"[0-9]+|[A-Z]+|[a-z]+|\s+|[^A-Za-z0-9\s]+"
-# Raw-value patterns.
-RAW = {"fifteen_digits": r"\b\d{15}\b", "iban": r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"}
+# Raw-value patterns; \w is any letter, digit or underscore of Unicode.
+RAW = {"fifteen_digits": r"(?U)\b\d{15}\b", "iban": r"[A-Z]{2}(?U:\d{2})[A-Z0-9]{11,30}", "email": r"(?U)\b[\w.+-]+@[\w-]+\.[\w.]+\b"}
 
 
 def charset(v: Column) -> Column:
@@ -37,11 +37,18 @@ def value_shape(v: Column, expected: str | None = None) -> Column:
 
 
 def phrase(v: Column) -> Column:
-    return F.when(v.isNull(), "nothing").when(v == "", "empty").otherwise(F.concat(F.length(v).cast("string"), F.lit(" characters ("), charset(v), F.lit(")")))
+    """What was received, from its length and class alone; a field that would echo the value is left out."""
+    s = value_shape(v)
+    long = F.concat(s["len"].cast("string"), F.lit(" characters"))
+    full = F.concat(long, F.lit(" ("), s["charset"], F.lit(")"))
+    return (
+        F.when(v.isNull(), "nothing").when(v == "", "empty").when(s["len"].isNull(), F.concat(F.lit("a "), s["charset"], F.lit(" value")))
+        .when(s["charset"].isNull(), long).otherwise(full)
+    )
 
 
-def message(description: str, v: Column) -> Column:
-    return F.concat(F.lit(f"Expected {description}; received "), phrase(v), F.lit("."))
+def message(expected: Column | str, v: Column) -> Column:
+    return F.concat(F.lit("Expected "), F.lit(expected) if isinstance(expected, str) else expected, F.lit("; received "), phrase(v), F.lit("."))
 
 
 def holds_raw(v: Column) -> Column:

@@ -6,31 +6,42 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+SPACE = " \t\r\n"
+DATE = r"^\d{4}-\d{2}-\d{2}\z"
+DECIMAL = r"^[+-]?(\d+(\.\d*)?|\.\d+)\z"
+EXACT = r"^[+-]?(\d{1,29}(\.\d{0,9})?|\.\d{1,9})\z"
+
+
+def edged(c: Column) -> Column:
+    """Without white space at the ends; absent becomes empty. Tells empty from filled without a regular expression."""
+    return F.coalesce(F.btrim(c, F.lit(SPACE)), F.lit(""))
+
+
 def ns(c: Column) -> Column:
     """White space normalised; absent becomes empty."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[ \t\r\n]+", " "))
+    return F.regexp_replace(edged(c), r"[ \t\r\n]+", " ")
 
 
 def filled(c: Column) -> Column:
-    return ns(c) != ""
+    return edged(c) != ""
 
 
 def is_date(c: Column) -> Column:
     """ISO calendar date, by form first and value second."""
-    return F.coalesce(F.trim(c).rlike(r"^\d{4}-\d{2}-\d{2}\z") & F.expr("true") & F.to_date(F.when(F.trim(c).rlike(r"^\d{4}-\d{2}-\d{2}\z"), F.try_to_timestamp(F.trim(c), F.lit("yyyy-MM-dd")))).isNotNull(), F.lit(False))
+    return to_date(c).isNotNull()
 
 
 def to_date(c: Column) -> Column:
-    return F.when(is_date(c), F.to_date(F.try_to_timestamp(F.trim(c), F.lit("yyyy-MM-dd"))))
+    return F.when(F.trim(c).rlike(DATE), F.trim(c).try_cast("date"))
 
 
 def is_decimal(c: Column) -> Column:
-    return F.coalesce(F.trim(c).rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)\z"), F.lit(False))
+    return F.coalesce(F.trim(c).rlike(DECIMAL), F.lit(False))
 
 
 def to_decimal(c: Column) -> Column:
     """Exact decimal; NULL unless the text is one that fits 29 digits before and 9 after the point."""
-    return F.when(is_decimal(c) & F.trim(c).rlike(r"^[+-]?\d{0,29}(\.\d{0,9})?\z"), F.trim(c).try_cast("decimal(38,9)"))
+    return F.when(F.trim(c).rlike(EXACT), F.trim(c).try_cast("decimal(38,9)"))
 
 
 def xml_escape(c: Column) -> Column:

@@ -13,6 +13,7 @@ from ..functions.shape import value_shape
 TYPES = ("invoice", "credit_note", "debit_note", "self_billed")
 SCENARIOS = ("standard", "zero_rated", "exempt", "reverse_charge", "designated_zone", "export")
 KEY = ["file", "invoice_number"]
+SHAPE = "struct<len:int,charset:string,regex_class:string,expected:string>"
 
 
 def plain_name(c: Column) -> Column:
@@ -21,16 +22,19 @@ def plain_name(c: Column) -> Column:
 
 def number_rows(rows: DataFrame, currency: str = "AED") -> DataFrame:
     """Rows with ``accepted`` (number and ISO-shaped date present), and for these the document's currency, whether the
-    row's own contradicts it, whether it makes a line, and the line's number. An invoice's rows are one small group."""
+    row's own contradicts it (a blank one stands for the default), whether it makes a line, and the line's number. An
+    invoice's rows are one small group; a rejected row is a group of its own."""
     ok = F.col("invoice_number").isNotNull() & F.coalesce(F.col("issue_date").rlike(r"^\d{4}-\d{2}-\d{2}\z"), F.lit(False))
-    w = Window.partitionBy(*KEY, "accepted").orderBy("row_idx")
+    w = Window.partitionBy(*KEY, "accepted", "alone").orderBy("row_idx")
+    rows = rows.withColumn("alone", F.when(~ok, F.col("row_idx")))
     out = rows.withColumn("accepted", ok).withColumn("n", F.row_number().over(w))
     out = out.withColumn("doc_currency", F.coalesce(F.first("currency").over(w), F.lit(currency)))
-    out = out.withColumn("conflict", F.col("accepted") & F.coalesce(F.col("currency") != F.col("doc_currency"), F.lit(False)))
+    out = out.withColumn("conflict", F.col("accepted") & (F.coalesce(F.col("currency"), F.lit(currency)) != F.col("doc_currency")))
+    out = out.withColumn("own_currency", F.coalesce(F.col("currency"), F.lit(currency)))
     filled = F.coalesce("line_net", "line_description", "line_quantity").isNotNull()
     out = out.withColumn("admitted", F.col("accepted") & ~F.col("conflict") & ((F.col("n") == 1) | filled))
     at = F.sum(F.col("admitted").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("line", F.when(F.col("admitted"), F.coalesce(F.col("line_number").try_cast("int"), at.cast("int"))))
+    return out.withColumn("line", F.when(F.col("admitted"), F.coalesce(F.col("line_number").try_cast("int"), at.cast("int")))).drop("alone")
 
 
 def line_rows(numbered: DataFrame) -> DataFrame:
@@ -57,20 +61,23 @@ def documents(numbered: DataFrame) -> DataFrame:
 
 
 def defects(numbered: DataFrame) -> DataFrame:
-    """file, row_idx, defect_class and shape of each defect of rows, lines and documents."""
+    """file, row_idx, defect_class and shape of each defect of rows, lines and documents. What can't be read has no shape; a
+    stated line number that is no number is such a defect, and its line is numbered by position."""
     kind, scene = plain_name(F.col("doc_type")), plain_name(F.col("scenario"))
     of = lambda when, name, value: F.when(when, F.struct(F.lit(name).alias("defect_class"), value_shape(value).alias("shape")))
+    unread = lambda when: F.when(when, F.struct(F.lit("parse_error").alias("defect_class"), F.lit(None).cast(SHAPE).alias("shape")))
     nothing, known = F.lit(None).cast("string"), to_minor(F.col("line_net"), F.col("doc_currency"))
     first = F.col("accepted") & (F.col("n") == 1)
     typed = F.coalesce(kind.isin(*TYPES), F.lit(True))
-    w = Window.partitionBy(*KEY, "accepted")
+    w = Window.partitionBy(*KEY, "accepted", F.when(~F.col("accepted"), F.col("row_idx")))
     bare = F.bool_and(F.when(F.col("admitted"), F.col("line_tax_category").isNull())).over(w)
     found = F.array(
-        of(~F.col("accepted"), "parse_error", F.when(F.col("invoice_number").isNotNull(), F.col("issue_date"))),
-        of(F.col("conflict"), "currency_inconsistent", F.col("currency")),
+        unread(~F.col("accepted")),
+        unread(F.col("admitted") & F.col("line_number").isNotNull() & F.col("line_number").try_cast("int").isNull()),
+        of(F.col("conflict"), "currency_inconsistent", F.col("own_currency")),
         of(F.col("admitted") & ~F.coalesce(F.col("line_unit").rlike(r"^[A-Z0-9]{2,3}\z"), F.lit(True)), "unit_code_freetext", F.col("line_unit")),
         of(F.col("admitted") & F.col("line_net").isNotNull() & (known["reason"] == "unknown_currency"), "currency_inconsistent", F.col("doc_currency")),
-        of(first & ~typed, "parse_error", F.col("doc_type")),
+        unread(first & ~typed),
         of(first & typed & ~F.coalesce(scene.isin(*SCENARIOS), F.lit(True)), "identifier_inconsistent", F.col("scenario")),
         of(first & typed & F.col("buyer_trn").isNull(), "trn_missing", nothing),
         of(first & typed & F.coalesce("bare", F.lit(False)), "tax_category_unmapped", nothing),

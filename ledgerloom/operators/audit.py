@@ -70,15 +70,16 @@ def ttl_dedup(arrivals: DataFrame, key: list[str], at: str, days: int) -> DataFr
     return times.repartition(*key).sortWithinPartitions(*key, "__t").mapInArrow(fold, fields)
 
 
-def supplier_readiness(found: DataFrame, documents: DataFrame, key: str) -> DataFrame:
-    """*Ours*: documents, failing share and most frequent failing rule (lowest id on a tie) of each ``key``."""
-    failing = found.where("outcome = 'fail'").join(documents.select("k", key), "k")
-    rules = failing.groupBy(key, "rule_id").agg(F.count(F.lit(1)).alias("n"))
-    top = rules.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("n"), "rule_id")).alias("top")).select(key, F.col("top.rule_id").alias("top_rule"))
-    failed = failing.select(key, "k").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("failed"))
+def supplier_readiness(found: DataFrame, documents: DataFrame, key: str, at: str) -> DataFrame:
+    """*Ours*: documents, failing share, most frequent failing rule (lowest id on a tie) and time of the last failing
+    document of each ``key``. found and documents: k, ``key``, ``at``. Findings are counted once per key and rule."""
+    failing = found.where("outcome = 'fail'").groupBy("k", key, "rule_id").agg(F.count(F.lit(1)).alias("n"), F.max(at).alias("at"))
+    failing = failing.withColumn("first", F.row_number().over(Window.partitionBy("k").orderBy("rule_id")) == 1)  # a document counts once
+    rules = failing.groupBy(key, "rule_id").agg(F.sum("n").alias("n"), F.count_if("first").alias("failed"), F.max("at").alias("at"))
+    worst = rules.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("n"), "rule_id")).alias("top"), F.sum("failed").alias("failed"), F.max("at").alias("last_breach"))
     total = documents.groupBy(key).agg(F.count(F.lit(1)).alias("documents"))
     share = F.round(F.coalesce("failed", F.lit(0)) / F.col("documents"), 4).alias("fail_rate")
-    return total.join(failed, key, "left").join(top, key, "left").select(key, "documents", share, "top_rule")
+    return total.join(worst, key, "left").select(key, "documents", share, F.col("top.rule_id").alias("top_rule"), "last_breach")
 
 
 def reconcile(ledger: DataFrame, invoices: DataFrame, ref: str = "ref", amount: str = "amount", drift: int = 1) -> DataFrame:

@@ -4,33 +4,63 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.shape import phrase, value_shape
-from ..plans.rules import ALL, Rule, check
+from ..functions.shape import message, value_shape
+from ..plans.rules import DEFAULT, Rule, check
 
 
-def findings(rows: DataFrame, grain: str, rules: list[Rule] = ALL, key: str = "k") -> DataFrame:
-    """Fired rules of one grain: key, node, rule_id, severity, term, failure_class, outcome, shape, message.
-
-    A predicate that is NULL fires as ``no_verdict``, never as a pass. All rules share one scan.
-    """
-    check(rules)
+def _fired(rules: list[Rule], applies: dict[str, Column]) -> Column:
+    """Fired rules of a row as an array with NULLs. A predicate that is NULL fires as ``no_verdict``, never as a pass."""
     fired = []
-    for r in (r for r in rules if r.grain == grain):
-        value = F.col(r.value).cast("string") if r.value else F.lit(None).cast("string")
+    for r in rules:
+        if r.grain not in applies:
+            continue
         holds = r.holds()
-        verdict = F.when(holds.isNull(), "no_verdict").when(~holds, "fail" if r.severity != "warning" else "warn")
-        fired.append(F.struct(
+        verdict = F.when(holds.isNull(), "no_verdict").when(~holds, "warn" if r.severity == "warning" else "fail")
+        value = F.col(r.value).cast("string") if r.value else F.lit(None).cast("string")
+        fired.append(F.when(applies[r.grain] & F.coalesce(~holds, F.lit(True)), F.struct(
             F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.term).cast("string").alias("term"), F.lit(r.failure).alias("failure_class"),
-            verdict.alias("outcome"), value.alias("value"), F.lit(r.expected).alias("expected"),
-        ))
-    node = F.col("line") if grain == "line" else F.lit(0)
-    hits = F.filter(F.array(*fired), lambda x: x["outcome"].isNotNull())
-    hit = rows.select(key, node.cast("int").alias("node"), F.explode(hits).alias("x")).select(key, "node", "x.*")
-    said = F.concat(F.lit("Expected "), F.col("expected"), F.lit("; received "), phrase(F.col("value")), F.lit("."))
-    return hit.select(key, "node", "rule_id", "severity", "term", "failure_class", "outcome", value_shape(F.col("value")).alias("shape"), said.alias("message"))
+            verdict.alias("outcome"), value.alias("value"), F.lit(r.expected).alias("expected"), F.lit(r.grain).alias("grain"),
+        )))
+    return F.array(*fired)
+
+
+def _exploded(rows: DataFrame, fired: Column, node: Column, key: str, keep: tuple[str, ...]) -> DataFrame:
+    hit = rows.select(key, *keep, node.cast("int").alias("node"), F.explode(fired).alias("x")).where("x is not null").select(key, *keep, "node", "x.*")
+    said = message(F.col("expected"), F.col("value"))
+    node = F.when(F.col("grain") == "line", F.col("node")).otherwise(0)
+    return hit.select(key, *keep, node.alias("node"), "grain", "rule_id", "severity", "term", "failure_class", "outcome", value_shape(F.col("value")).alias("shape"), said.alias("message"))
+
+
+def findings(rows: DataFrame, grain: str, rules: list[Rule] = DEFAULT, key: str = "k", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Fired rules of one grain: key, ``keep``, node, grain, rule_id, severity, term, failure_class, outcome, shape, message.
+    All rules share one scan."""
+    check(rules)
+    return _exploded(rows, _fired(rules, {grain: F.lit(True)}), F.col("line") if grain == "line" else F.lit(0), key, keep)
+
+
+def row_findings(rows: DataFrame, rules: list[Rule] = DEFAULT, key: str = "k", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Findings of all three grains over lines that carry their document's fields: document rules judge a document's
+    first line, subtotal rules the first line of each tax category. One scan and one exchange serve all."""
+    check(rules)
+    first = F.row_number().over(Window.partitionBy(key, "tax_category").orderBy("line")) == 1
+    rows = with_optional(rows).withColumn("__first", first)
+    return _exploded(rows, _fired(rules, {"document": F.col("line") == 1, "line": F.lit(True), "subtotal": F.col("__first")}), F.col("line"), key, keep)
+
+
+def node_findings(nodes: DataFrame, rules: list[Rule] = DEFAULT, key: str = "k", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Findings over rows that are one judged element each: ``grain`` and ``node`` say which, beside the document's fields."""
+    check(rules)
+    applies = {grain: F.col("grain") == grain for grain in ("document", "line", "subtotal")}
+    return _exploded(with_optional(nodes), _fired(rules, applies), F.col("node"), key, keep)
+
+
+def with_optional(rows: DataFrame) -> DataFrame:
+    """Absent optional fields as NULL columns."""
+    return rows.withColumns({c: F.lit(None).cast("string") for c in ("prepaid", "buyer_ref") if c not in rows.columns})
 
 
 def subtotals(lines: DataFrame) -> DataFrame:
@@ -38,12 +68,26 @@ def subtotals(lines: DataFrame) -> DataFrame:
     return lines.select("k", "tax_category").distinct()
 
 
-def all_findings(invoices: DataFrame, lines: DataFrame, rules: list[Rule] = ALL) -> DataFrame:
-    whole = invoices.withColumns({c: F.lit(None).cast("string") for c in ("prepaid", "buyer_ref") if c not in invoices.columns})
-    parts = [findings(whole, "document", rules), findings(lines, "line", rules), findings(subtotals(lines), "subtotal", rules)]
+def all_findings(invoices: DataFrame, lines: DataFrame, rules: list[Rule] = DEFAULT) -> DataFrame:
+    """Findings of documents and lines that are tables of their own."""
+    parts = [findings(with_optional(invoices), "document", rules), findings(lines, "line", rules), findings(subtotals(lines), "subtotal", rules)]
     return reduce(DataFrame.unionByName, parts)
 
 
+def node_path(root: Column, grain: Column, node: Column) -> Column:
+    """Path of the judged element in its document, in prefix form."""
+    top = F.concat(F.lit("/ubl:"), root, F.lit("[1]"))
+    return F.when(grain == "line", F.concat(top, F.lit("/cac:"), F.when(root == "CreditNote", "CreditNoteLine").otherwise("InvoiceLine"), F.lit("["), node.cast("string"), F.lit("]"))).otherwise(top)
+
+
+def stored_outcomes(invoices: DataFrame, found: DataFrame, keep: tuple[str, ...] = ("k",)) -> DataFrame:
+    """Findings as they are stored: a warning is ``warn``, others carry their document's outcome; a judged document without
+    findings has one ``pass`` row without a rule."""
+    own = F.when(F.col("severity") == "warning", "warn").otherwise(F.col("outcome"))
+    stored = found.select("k", "rule_id", own.alias("stored"))
+    return invoices.select(*keep).join(stored, "k", "left").select(*keep, "rule_id", F.coalesce("stored", F.lit("pass")).alias("outcome"))
+
+
 def outcomes(invoices: DataFrame, found: DataFrame) -> DataFrame:
     """k and outcome of every document: no_verdict, fail, warn or pass."""
     rank = F.when(F.col("outcome") == "no_verdict", 3).when(F.col("outcome") == "fail", 2).otherwise(1)
@@ -52,13 +96,56 @@ def outcomes(invoices: DataFrame, found: DataFrame) -> DataFrame:
     return invoices.select("k").join(worst, "k", "left").select("k", name.alias("outcome"))
 
 
+RANK = {"no_verdict": 3, "fail": 2, "warn": 1}
+
+
+def row_outcomes(rows: DataFrame, rules: list[Rule] = DEFAULT, key: str = "k") -> DataFrame:
+    """key and outcome of every document of ``row_findings``' input, without a join back: a document's rows are together."""
+    first = F.row_number().over(Window.partitionBy(key, "tax_category").orderBy("line")) == 1
+    rows = with_optional(rows).withColumn("__first", first)
+    applies = {"document": F.col("line") == 1, "line": F.lit(True), "subtotal": F.col("__first")}
+    ranks = []
+    for r in rules:
+        holds = r.holds()
+        ranks.append(F.when(applies[r.grain] & holds.isNull(), RANK["no_verdict"]).when(applies[r.grain] & ~holds, RANK["warn"] if r.severity == "warning" else RANK["fail"]).otherwise(0))
+    worst = rows.groupBy(key).agg(F.max(F.greatest(*ranks)).alias("worst"))
+    name = F.when(F.col("worst") == 3, "no_verdict").when(F.col("worst") == 2, "fail").when(F.col("worst") == 1, "warn").otherwise("pass")
+    return worst.select(key, name.alias("outcome"))
+
+
 def by_rule(found: DataFrame) -> DataFrame:
-    return found.groupBy("rule_id", "severity", "term", "failure_class").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("k").alias("documents"))
+    """Findings and documents of each rule; counted by document first, which needs no exchange where findings are together."""
+    group = ["rule_id", "severity", "term", "failure_class"]
+    each = found.groupBy("k", *group).agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy(*group).agg(F.sum("n").alias("findings"), F.count(F.lit(1)).alias("documents"))
+
+
+def finding_groups(found: DataFrame) -> DataFrame:
+    """Failures by rule, term, class, severity, path and shape, most frequent first (ties by rule and path)."""
+    group = ["rule_id", "term", "failure_class", "severity", "path", "shape"]
+    return found.where("outcome = 'fail'").groupBy(*group).agg(F.count(F.lit(1)).alias("affected")).orderBy(F.col("affected").desc(), "rule_id", "path", F.col("shape.regex_class"))
+
+
+def fired_twice(found: DataFrame) -> DataFrame:
+    """Rules that fired more than once in a document: k, rule_id and how often."""
+    return found.groupBy("k", "rule_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
 
 
-def coverage(found: DataFrame, rules: list[Rule] = ALL) -> DataFrame:
-    """Fired and silent rules by grain, with a total row."""
+def coverage(found: DataFrame, profiles: dict[str, list[Rule]], seen: DataFrame) -> DataFrame:
+    """Rules of each profile by fate, with a total row: declared, fired, always_true (its grain occurs, it was never false)
+    and absent (no judged document has its grain). found: profile, rule_id; seen: profile and grain of what was judged."""
     spark = found.sparkSession
-    table = spark.createDataFrame([(r.id, r.grain) for r in rules], "id string, grain string")
-    seen = found.groupBy(F.col("rule_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    return table.join(F.broadcast(seen), "id", "left").rollup("grain").agg(F.count(F.lit(1)).alias("declared"), F.count("n").alias("fired")).withColumn("grain", F.coalesce("grain", F.lit("TOTAL")))
+    table = spark.createDataFrame([(p, r.id, r.grain) for p, rules in profiles.items() for r in rules], "profile string, rule_id string, grain string")
+    hit = found.groupBy("profile", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+    there = seen.select("profile", "grain").distinct().withColumn("there", F.lit(True))
+    fate = table.join(hit, ["profile", "rule_id"], "left").join(there, ["profile", "grain"], "left")
+    counts = [F.count(F.lit(1)).alias("declared"), F.count("n").alias("fired"), F.count_if(F.col("n").isNull() & F.col("there").isNotNull()).alias("always_true"), F.count_if(F.col("n").isNull() & F.col("there").isNull()).alias("absent")]
+    return fate.rollup("profile").agg(*counts).withColumn("profile", F.coalesce("profile", F.lit("TOTAL")))
+
+
+def ruleset_hash(rules: DataFrame, lists: DataFrame) -> DataFrame:
+    """Identity of a ruleset: a hash over its rules (rule_id, text) and code lists (list_id, code), whatever their order."""
+    line = lambda *c: F.sha2(F.concat_ws("\x1f", *c), 256)
+    of = lambda df, *c: df.select(line(*c).alias("h")).agg(F.array_join(F.array_sort(F.collect_list("h")), "").alias("all"))
+    both = of(rules, "rule_id", "text").select(F.col("all").alias("a")).crossJoin(of(lists, "list_id", "code").select(F.col("all").alias("b")))
+    return both.select(F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("\x1e", "a", "b"), 256)).alias("ruleset_hash"))

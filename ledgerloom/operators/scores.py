@@ -29,7 +29,7 @@ def readiness(df: DataFrame, key: str) -> DataFrame:
     """score, band and the component with the largest weighted gap (the first on a tie) of rows that hold the five inputs."""
     part = {name: unit_range(F.col(name).cast("double")) for name in WEIGHTS}
     total = sum((part[name] * w for name, w in WEIGHTS.items()), F.lit(0.0))
-    gaps = F.array(*[F.struct(((1 - part[name]) * w).alias("gap"), F.lit(-i).alias("first"), F.lit(name).alias("name")) for i, (name, w) in enumerate(WEIGHTS.items())])
+    gaps = F.array(*[F.struct(F.round((1 - part[name]) * w, 9).alias("gap"), F.lit(-i).alias("first"), F.lit(name).alias("name")) for i, (name, w) in enumerate(WEIGHTS.items())])
     return df.select(key, half_up(total).cast("int").alias("score"), F.array_max(gaps)["name"].alias("largest_gap")).select(key, "score", band(F.col("score")).alias("band"), "largest_gap")
 
 

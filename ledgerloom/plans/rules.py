@@ -8,14 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import filled, is_date, is_decimal, ns, to_date, to_decimal
-
-# Code lists. Partial lists may confirm but never deny, so rules on them only warn.
-TAX_CATEGORIES = "AE E G K L M O S Z".split()
-CURRENCIES = "AED BHD EUR GBP INR OMR PLN SAR USD".split()
-DOCUMENT_TYPES = "380 381 383 389".split()
-UNITS = "H87 C62 KGM LTR MTR EA".split()
-PARTIAL = {"BT-3", "BT-5", "BT-130"}
+from ..sources.codelists import LISTS, CodeList
+from ..functions.text import edged, filled, is_date, is_decimal, to_date, to_decimal
+
 SEVERITIES = ("fatal", "error", "warning")
 
 
@@ -29,6 +24,7 @@ class Rule:
     value: str | None  # column whose shape a finding shows
     holds: Callable[[], Column]
     expected: str
+    code_list: str | None = None  # the list that the rule looks its value up in
 
 
 def _present(name: str) -> Callable[[], Column]:
@@ -43,8 +39,8 @@ def _cents(name: str) -> Callable[[], Column]:
     return _form(name, r"^-?[0-9]+(\.[0-9]{1,2})?\z")
 
 
-def _listed(name: str, codes: list[str]) -> Callable[[], Column]:
-    return lambda: (ns(F.col(name)) == "") | F.col(name).isin(codes)
+def _listed(name: str, codes: tuple[str, ...]) -> Callable[[], Column]:
+    return lambda: ~filled(F.col(name)) | F.col(name).isin(*codes)
 
 
 def _equal(left: str, right: Callable[[], Column], *needed: str) -> Callable[[], Column]:
@@ -58,7 +54,7 @@ def _equal(left: str, right: Callable[[], Column], *needed: str) -> Callable[[],
 
 
 def _trn(name: str) -> Callable[[], Column]:
-    return lambda: ~filled(F.col(name)) | ns(F.col(name)).rlike(r"^[0-9]{15}\z")
+    return lambda: ~filled(F.col(name)) | edged(F.col(name)).rlike(r"^[0-9]{15}\z")
 
 
 def _due() -> Column:
@@ -67,34 +63,42 @@ def _due() -> Column:
 
 
 D, L, S = "document", "line", "subtotal"
-CORE = [
-    Rule("R-001", D, "fatal", "BT-1", "missing_mandatory", "id", _present("id"), "an invoice number"),
-    Rule("R-002", D, "fatal", "BT-2", "missing_mandatory", "issue_date", _present("issue_date"), "an issue date"),
-    Rule("R-003", D, "error", "BT-2", "date_logic", "issue_date", lambda: ~filled(F.col("issue_date")) | is_date(F.col("issue_date")), "an ISO date"),
-    Rule("R-004", D, "error", "BT-3", "missing_mandatory", "type_code", _present("type_code"), "a type code"),
-    Rule("R-005", D, "warning", "BT-3", "invalid_code", "type_code", _listed("type_code", DOCUMENT_TYPES), "a listed type code"),
-    Rule("R-006", D, "fatal", "BT-5", "format_mismatch", "currency", _form("currency", r"^[A-Z]{3}\z", False), "three capital letters"),
-    Rule("R-007", D, "warning", "BT-5", "invalid_code", "currency", lambda: ~F.coalesce(F.col("currency"), F.lit("")).rlike(r"^[A-Z]{3}\z") | F.col("currency").isin(CURRENCIES), "a listed currency"),
-    Rule("R-008", D, "fatal", "BT-27", "missing_mandatory", "seller_name", _present("seller_name"), "a seller name"),
-    Rule("R-009", D, "fatal", "BT-44", "missing_mandatory", "buyer_name", _present("buyer_name"), "a buyer name"),
-    Rule("R-010", D, "fatal", "BG-25", "cardinality", None, lambda: F.col("n_lines") >= 1, "at least one line"),
-    Rule("R-011", D, "fatal", "BT-106", "arithmetic_mismatch", "line_total", _equal("line_total", lambda: F.col("line_sum").cast("decimal(38,9)")), "the sum of the line amounts"),
-    Rule("R-012", D, "fatal", "BT-112", "arithmetic_mismatch", "tax_inclusive", _equal("tax_inclusive", lambda: to_decimal(F.col("tax_exclusive")) + to_decimal(F.col("tax_total")), "tax_exclusive", "tax_total"), "the total without tax plus tax"),
-    Rule("R-013", D, "fatal", "BT-115", "missing_mandatory", "payable", _present("payable"), "an amount due"),
-    Rule("R-014", D, "error", "BT-106", "rounding", "line_total", _cents("line_total"), "at most two decimals"),
-    Rule("R-015", D, "error", "BT-110", "rounding", "tax_total", _cents("tax_total"), "at most two decimals"),
-    Rule("R-016", L, "fatal", "BT-131", "missing_mandatory", "amount", _present("amount"), "a line amount"),
-    Rule("R-017", L, "fatal", "BT-151", "missing_mandatory", "tax_category", _present("tax_category"), "a tax category"),
-    Rule("R-018", L, "fatal", "BT-151", "invalid_code", "tax_category", _listed("tax_category", TAX_CATEGORIES), "a listed tax category"),
-    Rule("R-019", L, "error", "BT-130", "invalid_code", "unit", _form("unit", r"^[A-Z0-9]{1,3}\z"), "one to three capitals or digits"),
-    Rule("R-020", L, "warning", "BT-130", "invalid_code", "unit", lambda: ~F.coalesce(F.col("unit"), F.lit("")).rlike(r"^[A-Z0-9]{1,3}\z") | F.col("unit").isin(UNITS), "a listed unit"),
-    Rule("R-021", L, "error", "BT-153", "missing_mandatory", "item_name", _present("item_name"), "an item name"),
-    Rule("R-022", D, "fatal", "BT-25", "cross_field_dependency", "predecessor_ref", lambda: (F.col("root") != "CreditNote") | filled(F.col("predecessor_ref")), "a preceding invoice"),
-    Rule("R-023", D, "error", "BT-9", "date_logic", "due_date", _due, "a due date on or after the issue date"),
-    Rule("R-024", S, "fatal", "BT-118", "invalid_code", "tax_category", _listed("tax_category", TAX_CATEGORIES), "a listed tax category"),
-    Rule("R-025", D, "error", "BT-115", "arithmetic_mismatch", "payable", _equal("payable", lambda: to_decimal(F.col("tax_inclusive")) - F.coalesce(to_decimal(F.col("prepaid")), F.lit(0).cast("decimal(38,9)")), "tax_inclusive"), "the total with tax less prepaid"),
-    Rule("R-026", D, "error", "BT-40", "identifier_invalid", "seller_country", _form("seller_country", r"^[A-Z]{2}\z"), "two capital letters"),
-]
+
+
+def core(lists: dict[str, CodeList] = LISTS) -> list[Rule]:
+    """The rules that every profile has, with ``lists`` inlined."""
+    types, currencies, units, taxes = (lists[x].codes for x in ("UNCL1001", "ISO4217", "UNECE_REC20", "UNTDID5305"))
+    return [
+        Rule("R-001", D, "fatal", "BT-1", "missing_mandatory", "id", _present("id"), "an invoice number"),
+        Rule("R-002", D, "fatal", "BT-2", "missing_mandatory", "issue_date", _present("issue_date"), "an issue date"),
+        Rule("R-003", D, "error", "BT-2", "date_logic", "issue_date", lambda: ~filled(F.col("issue_date")) | is_date(F.col("issue_date")), "an ISO date"),
+        Rule("R-004", D, "error", "BT-3", "missing_mandatory", "type_code", _present("type_code"), "a type code"),
+        Rule("R-005", D, "warning", "BT-3", "invalid_code", "type_code", _listed("type_code", types), "a listed type code", "UNCL1001"),
+        Rule("R-006", D, "fatal", "BT-5", "format_mismatch", "currency", _form("currency", r"^[A-Z]{3}\z", False), "three capital letters"),
+        Rule("R-007", D, "warning", "BT-5", "invalid_code", "currency", lambda: ~F.coalesce(F.col("currency"), F.lit("")).rlike(r"^[A-Z]{3}\z") | F.col("currency").isin(*currencies), "a listed currency", "ISO4217"),
+        Rule("R-008", D, "fatal", "BT-27", "missing_mandatory", "seller_name", _present("seller_name"), "a seller name"),
+        Rule("R-009", D, "fatal", "BT-44", "missing_mandatory", "buyer_name", _present("buyer_name"), "a buyer name"),
+        Rule("R-010", D, "fatal", "BG-25", "cardinality", None, lambda: F.col("n_lines") >= 1, "at least one line"),
+        Rule("R-011", D, "fatal", "BT-106", "arithmetic_mismatch", "line_total", _equal("line_total", lambda: F.col("line_sum").cast("decimal(38,9)")), "the sum of the line amounts"),
+        Rule("R-012", D, "fatal", "BT-112", "arithmetic_mismatch", "tax_inclusive", _equal("tax_inclusive", lambda: to_decimal(F.col("tax_exclusive")) + to_decimal(F.col("tax_total")), "tax_exclusive", "tax_total"), "the total without tax plus tax"),
+        Rule("R-013", D, "fatal", "BT-115", "missing_mandatory", "payable", _present("payable"), "an amount due"),
+        Rule("R-014", D, "error", "BT-106", "rounding", "line_total", _cents("line_total"), "at most two decimals"),
+        Rule("R-015", D, "error", "BT-110", "rounding", "tax_total", _cents("tax_total"), "at most two decimals"),
+        Rule("R-016", L, "fatal", "BT-131", "missing_mandatory", "amount", _present("amount"), "a line amount"),
+        Rule("R-017", L, "fatal", "BT-151", "missing_mandatory", "tax_category", _present("tax_category"), "a tax category"),
+        Rule("R-018", L, "fatal", "BT-151", "invalid_code", "tax_category", _listed("tax_category", taxes), "a listed tax category", "UNTDID5305"),
+        Rule("R-019", L, "error", "BT-130", "invalid_code", "unit", _form("unit", r"^[A-Z0-9]{1,3}\z"), "one to three capitals or digits"),
+        Rule("R-020", L, "warning", "BT-130", "invalid_code", "unit", lambda: ~F.coalesce(F.col("unit"), F.lit("")).rlike(r"^[A-Z0-9]{1,3}\z") | F.col("unit").isin(*units), "a listed unit", "UNECE_REC20"),
+        Rule("R-021", L, "error", "BT-153", "missing_mandatory", "item_name", _present("item_name"), "an item name"),
+        Rule("R-022", D, "fatal", "BT-25", "cross_field_dependency", "predecessor_ref", lambda: (F.col("root") != "CreditNote") | filled(F.col("predecessor_ref")), "a preceding invoice"),
+        Rule("R-023", D, "error", "BT-9", "date_logic", "due_date", _due, "a due date on or after the issue date"),
+        Rule("R-024", S, "fatal", "BT-118", "invalid_code", "tax_category", _listed("tax_category", taxes), "a listed tax category", "UNTDID5305"),
+        Rule("R-025", D, "error", "BT-115", "arithmetic_mismatch", "payable", _equal("payable", lambda: to_decimal(F.col("tax_inclusive")) - F.coalesce(to_decimal(F.col("prepaid")), F.lit(0).cast("decimal(38,9)")), "tax_inclusive"), "the total with tax less prepaid"),
+        Rule("R-026", D, "error", "BT-40", "identifier_invalid", "seller_country", _form("seller_country", r"^[A-Z]{2}\z"), "two capital letters"),
+    ]
+
+
+CORE = core()
 NATIONAL = [
     Rule("R-040", D, "fatal", "BT-31", "missing_mandatory", "seller_trn", _present("seller_trn"), "a seller tax number"),
     Rule("R-041", D, "fatal", "BT-48", "missing_mandatory", "buyer_trn", _present("buyer_trn"), "a buyer tax number"),
@@ -109,9 +113,23 @@ NETWORK = [
     Rule("R-062", D, "error", "BT-10", "cross_field_dependency", "buyer_ref", lambda: filled(F.col("buyer_ref")) | filled(F.col("order_ref")), "a buyer or order reference"),
 ]
 ALL = [*CORE, *NATIONAL, *NETWORK]
+# The rules of each profile, and the profiles that are under quarantine.
+PROFILES = {"en16931": (), "pint-ae": tuple(NATIONAL), "peppol-bis-3.0": tuple(NETWORK)}
+QUARANTINED = {"peppol-bis-3.0"}
 
 
-def check(rules: list[Rule]) -> None:
+def pack(profile: str, lists: dict[str, CodeList] = LISTS, quarantined: bool = False) -> list[Rule]:
+    """The rules of a profile, its own first. A profile under quarantine is refused unless ``quarantined`` is set."""
+    if profile not in PROFILES:
+        raise ValueError(f"unknown profile {profile}")
+    if profile in QUARANTINED and not quarantined:
+        raise ValueError(f"profile {profile} is under quarantine")
+    rules = [*PROFILES[profile], *core(lists)]
+    check(rules, lists)
+    return rules
+
+
+def check(rules: list[Rule], lists: dict[str, CodeList] = LISTS) -> None:
     """Refuse a pack with duplicate ids, unknown severities or a partial list that denies."""
     ids = [r.id for r in rules]
     if len(ids) != len(set(ids)):
@@ -119,5 +137,8 @@ def check(rules: list[Rule]) -> None:
     for r in rules:
         if r.severity not in SEVERITIES or not r.expected:
             raise ValueError(f"{r.id}: unknown severity or no description")
-        if r.failure == "invalid_code" and r.term in PARTIAL and r.severity != "warning" and "listed" in r.expected:
+        if r.code_list and r.severity != "warning" and not lists[r.code_list].may_deny():
             raise ValueError(f"{r.id}: a partial code list may not deny")
+
+
+DEFAULT = pack("pint-ae")

@@ -7,20 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit_queries
+from . import audit_queries, run_queries
 from .functions.hashing import line_bucket, recurrence_key
 from .functions.money import minor_to_decimal, to_minor
 from .functions.shape import charset, holds_raw, regex_class
 from .operators import audit
-from .operators.evaluate import all_findings, by_rule, coverage, outcomes
-from .plans.rules import ALL
-from .sources.fixtures import DUCK_WITH, invoices, lines
+from .operators.evaluate import by_rule, row_findings, row_outcomes
+from .plans.rules import ALL, DEFAULT, Rule
+from .sources.codelists import LISTS
+from .sources.fixtures import DUCK_WITH, invoice_rows, invoices
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _found(spark: SparkSession, d: str) -> DataFrame:
-    return all_findings(invoices(spark, d), lines(spark, d))
+def _found(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    return row_findings(invoice_rows(spark, d), keep=keep)
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -36,11 +37,7 @@ def findings_by_class(spark: SparkSession, d: str) -> DataFrame:
 
 
 def doc_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return outcomes(invoices(spark, d), _found(spark, d)).groupBy("outcome").agg(F.count(F.lit(1)).alias("documents"))
-
-
-def rule_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return coverage(_found(spark, d))
+    return row_outcomes(invoice_rows(spark, d)).groupBy("outcome").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def value_shapes(spark: SparkSession, d: str) -> DataFrame:
@@ -56,8 +53,7 @@ def pii_scan_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scaled(spark: SparkSession, d: str) -> DataFrame:
-    rows = lines(spark, d).join(invoices(spark, d).select("k", "currency"), "k")
-    return rows.select("k", "line", "currency", "amount", to_minor(F.col("amount"), F.col("currency")).alias("m"))
+    return invoice_rows(spark, d).select("k", "line", "currency", "amount", to_minor(F.col("amount"), F.col("currency")).alias("m"))
 
 
 def to_minor_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -75,14 +71,15 @@ def line_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recurrence_keys(spark: SparkSession, d: str) -> DataFrame:
-    found = _found(spark, d).join(invoices(spark, d).select("k", "custkey"), "k")
+    found = _found(spark, d, "custkey")
     key = recurrence_key(F.col("custkey").cast("string"), F.col("rule_id"), F.col("term"), F.col("shape.regex_class"))
-    return found.groupBy(key.alias("recurrence_key")).agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("k").alias("documents"))
+    each = found.groupBy("k", key.alias("recurrence_key")).agg(F.count(F.lit(1)).alias("n"))  # a document's findings are together: no exchange
+    return each.groupBy("recurrence_key").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("documents"))
 
 
 def supplier_readiness(spark: SparkSession, d: str) -> DataFrame:
-    docs = invoices(spark, d)
-    return audit.supplier_readiness(all_findings(docs, lines(spark, d)), docs, "custkey")
+    rows = invoice_rows(spark, d)
+    return audit.supplier_readiness(row_findings(rows, keep=("custkey", "issued")), rows.where("line = 1"), "custkey", "issued")
 
 
 def reconcile_ledger(spark: SparkSession, d: str) -> DataFrame:
@@ -113,17 +110,10 @@ def file_dedup_ttl(spark: SparkSession, d: str) -> DataFrame:
     return audit.ttl_dedup(_table(spark, d, "events"), ["user_id", "event_type"], "ts", 5)
 
 
-def xml_export(spark: SparkSession, d: str) -> DataFrame:
-    """Each invoice as UBL text, read back by the fixed schema: id, currency and number of lines."""
-    from .sources.ubl import parse_ubl, to_ubl
-
-    return parse_ubl(to_ubl(invoices(spark, d), lines(spark, d))).groupBy("root", "currency").agg(F.count("id").alias("with_id"), F.sum(F.size("lines")).alias("n_lines"))
-
-
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        findings_by_rule, findings_by_class, doc_outcomes, rule_coverage, value_shapes, pii_scan_documents, to_minor_lines, minor_roundtrip, line_buckets,
-        recurrence_keys, supplier_readiness, reconcile_ledger, catalogue_diff, latest_profile, retention_purge, file_dedup_ttl, xml_export, *audit_queries.QUERIES,
+        findings_by_rule, findings_by_class, doc_outcomes, value_shapes, pii_scan_documents, to_minor_lines, minor_roundtrip, line_buckets,
+        recurrence_keys, supplier_readiness, reconcile_ledger, catalogue_diff, latest_profile, retention_purge, file_dedup_ttl, *audit_queries.QUERIES, *run_queries.QUERIES,
     )}
 
 
@@ -134,16 +124,17 @@ def _ns(c: str) -> str:
 _DATE = "(regexp_matches({0}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') AND TRY_CAST({0} AS DATE) IS NOT NULL)"
 _BAD_TRN = "({0} <> '' AND NOT regexp_matches({0}, '^[0-9]{{15}}$'))"
 _DEC = "CAST({0} AS DECIMAL(38,9))"
+_UNLISTED = {x.list_id: "NOT IN (" + ", ".join(f"'{c}'" for c in x.codes) + ")" for x in LISTS.values()}
 #: When each rule fires, in SQL.
 FIRES = {
     "R-001": f"{_ns('id')} = ''", "R-002": f"{_ns('issue_date')} = ''", "R-003": f"{_ns('issue_date')} <> '' AND NOT {_DATE.format('issue_date')}", "R-004": f"{_ns('type_code')} = ''",
-    "R-005": "type_code NOT IN ('380', '381', '383', '389')", "R-006": "NOT regexp_matches(coalesce(currency, ''), '^[A-Z]{3}$')",
-    "R-007": "regexp_matches(currency, '^[A-Z]{3}$') AND currency NOT IN ('AED', 'BHD', 'EUR', 'GBP', 'INR', 'OMR', 'PLN', 'SAR', 'USD')",
+    "R-005": f"type_code {_UNLISTED['UNCL1001']}", "R-006": "NOT regexp_matches(coalesce(currency, ''), '^[A-Z]{3}$')",
+    "R-007": f"regexp_matches(currency, '^[A-Z]{{3}}$') AND currency {_UNLISTED['ISO4217']}",
     "R-008": f"{_ns('seller_name')} = ''", "R-009": f"{_ns('buyer_name')} = ''", "R-010": "n_lines < 1", "R-011": f"{_DEC.format('line_total')} <> line_sum",
     "R-012": f"{_DEC.format('tax_inclusive')} <> {_DEC.format('tax_exclusive')} + {_DEC.format('tax_total')}", "R-013": f"{_ns('payable')} = ''",
     "R-014": "NOT regexp_matches(line_total, '^-?[0-9]+(\\.[0-9]{1,2})?$')", "R-015": "NOT regexp_matches(tax_total, '^-?[0-9]+(\\.[0-9]{1,2})?$')",
     "R-016": f"{_ns('amount')} = ''", "R-017": f"{_ns('tax_category')} = ''", "R-018": f"{_ns('tax_category')} <> '' AND tax_category NOT IN ('AE', 'E', 'G', 'K', 'L', 'M', 'O', 'S', 'Z')",
-    "R-019": "unit IS NOT NULL AND NOT regexp_matches(unit, '^[A-Z0-9]{1,3}$')", "R-020": "regexp_matches(coalesce(unit, ''), '^[A-Z0-9]{1,3}$') AND unit NOT IN ('H87', 'C62', 'KGM', 'LTR', 'MTR', 'EA')",
+    "R-019": "unit IS NOT NULL AND NOT regexp_matches(unit, '^[A-Z0-9]{1,3}$')", "R-020": f"regexp_matches(coalesce(unit, ''), '^[A-Z0-9]{{1,3}}$') AND unit {_UNLISTED['UNECE_REC20']}",
     "R-021": f"{_ns('item_name')} = ''", "R-022": f"root = 'CreditNote' AND {_ns('predecessor_ref')} = ''",
     "R-023": f"{_DATE.format('issue_date')} AND {_DATE.format('due_date')} AND TRY_CAST(due_date AS DATE) < TRY_CAST(issue_date AS DATE)",
     "R-024": f"{_ns('tax_category')} <> '' AND tax_category NOT IN ('AE', 'E', 'G', 'K', 'L', 'M', 'O', 'S', 'Z')",
@@ -158,33 +149,37 @@ _CLASS = (
     "CASE WHEN {0} IS NULL OR {0} = '' THEN NULL WHEN len(" + _RUNS + ") > 12 THEN concat('[\\s\\S]{{', length({0}), '}}') ELSE array_to_string(list_transform(" + _RUNS + ", lambda r: concat("
     "CASE WHEN regexp_matches(r, '^[0-9]') THEN '[0-9]' WHEN regexp_matches(r, '^[A-Z]') THEN '[A-Z]' WHEN regexp_matches(r, '^[a-z]') THEN '[a-z]' WHEN regexp_matches(r, '^\\s') THEN '\\s' ELSE '[^A-Za-z0-9]' END, '{{', length(r), '}}')), '') END"
 )
-_FOUND = DUCK_WITH + ", found AS (" + " UNION ALL ".join(
-    f"SELECT k, '{r.id}' AS rule_id, '{r.severity}' AS severity, {_TEXT(r.term)} AS term, '{r.failure}' AS failure_class, '{'warn' if r.severity == 'warning' else 'fail'}' AS outcome, "
-    f"{'CAST(NULL AS VARCHAR)' if r.value in (None, 'buyer_ref') else f'CAST({r.value} AS VARCHAR)'} AS v FROM {_FROM[r.grain]} WHERE {FIRES[r.id]}" for r in ALL
-) + ")"
+def _found_by(rules: list[Rule]) -> str:
+    return DUCK_WITH + ", found AS (" + " UNION ALL ".join(
+        f"SELECT k, {'line' if r.grain == 'line' else '0'} AS node, '{r.id}' AS rule_id, '{r.severity}' AS severity, {_TEXT(r.term)} AS term, '{r.failure}' AS failure_class, '{'warn' if r.severity == 'warning' else 'fail'}' AS outcome, "
+        f"{'CAST(NULL AS VARCHAR)' if r.value in (None, 'buyer_ref') else f'CAST({r.value} AS VARCHAR)'} AS v FROM {_FROM[r.grain]} WHERE {FIRES[r.id]}" for r in rules
+    ) + ")"
+
+
+_FOUND = _found_by(DEFAULT)
+#: The raw-value patterns for an engine whose \\w, \\d and \\b know ASCII alone.
+_W, _D = r"\p{L}\p{M}\p{N}\p{Pc}", r"\p{Nd}"
+_RAW = (rf"(^|[^{_W}]){_D}{{15}}($|[^{_W}])", rf"[A-Z]{{2}}{_D}{{2}}[A-Z0-9]{{11,30}}", rf"(^|[^{_W}]|[.+-])[{_W}.+-]*[{_W}]@[{_W}-]+\.[{_W}.]*[{_W}]")
 _CENTS = "CAST(line_sum * 100 AS BIGINT)"
-_SCALED = DUCK_WITH + """, scaled AS (SELECT l.k, l.line, i.currency, l.amount, CASE WHEN i.currency IN ('AED','EUR','GBP','INR','PLN','SAR','USD') THEN CAST(l.net * 100 AS BIGINT) WHEN i.currency IN ('BHD','OMR') THEN CAST(l.net * 1000 AS BIGINT) END AS minor
+_SCALED = DUCK_WITH + """, scaled AS (SELECT l.k, l.line, i.currency, l.amount, CASE WHEN upper(i.currency) IN ('AED','EUR','GBP','INR','PLN','SAR','USD') THEN CAST(l.net * 100 AS BIGINT) WHEN upper(i.currency) IN ('BHD','OMR') THEN CAST(l.net * 1000 AS BIGINT) END AS minor
 FROM line_rows l JOIN invoices i ON l.k = i.k)"""
 
 
 def oracle_sql() -> dict[str, str]:
     fields = " UNION ALL ".join(f"SELECT '{c}' AS field, CAST({c} AS VARCHAR) AS v FROM invoices" for c in ("id", "issue_date", "buyer_trn", "line_total"))
-    grains = " UNION ALL ".join(f"SELECT '{r.id}' AS id, '{r.grain}' AS grain" for r in ALL)
-    return audit_queries.oracles(_FOUND) | {
+    return audit_queries.oracles(_FOUND, _CLASS) | run_queries.oracles(_FOUND, _CLASS, _found_by(ALL), audit_queries.tables(_CLASS)) | {
         "findings_by_rule": f"{_FOUND} SELECT rule_id, severity, term, failure_class, count(*) AS findings, count(DISTINCT k) AS documents FROM found GROUP BY ALL",
         "findings_by_class": f"{_FOUND} SELECT failure_class, outcome, count(*) AS n FROM found GROUP BY ALL",
         "doc_outcomes": f"{_FOUND}, w AS (SELECT k, max(CASE outcome WHEN 'fail' THEN 2 ELSE 1 END) AS r FROM found GROUP BY k) SELECT CASE r WHEN 2 THEN 'fail' WHEN 1 THEN 'warn' ELSE 'pass' END AS outcome, count(*) AS documents FROM invoices LEFT JOIN w USING (k) GROUP BY 1",
-        "rule_coverage": f"{_FOUND}, r AS ({grains}) SELECT coalesce(grain, 'TOTAL') AS grain, count(*) AS declared, count(n) AS fired FROM r LEFT JOIN (SELECT rule_id AS id, count(*) AS n FROM found GROUP BY 1) USING (id) GROUP BY ROLLUP (grain)",
         "value_shapes": f"{DUCK_WITH}, f AS ({fields} UNION ALL SELECT 'url', url FROM pages) SELECT field, CAST(length(v) AS INT) AS len, CASE WHEN v IS NULL THEN NULL WHEN v = '' THEN 'empty' WHEN regexp_matches(v, '^[0-9]+$') THEN 'numeric' WHEN regexp_matches(v, '^[A-Za-z]+$') THEN 'alpha' WHEN regexp_matches(v, '^[A-Za-z0-9]+$') THEN 'alnum' ELSE 'mixed' END AS charset, {_CLASS.format('v')} AS regex_class, count(*) AS n FROM f GROUP BY ALL",
-        "pii_scan_documents": r"SELECT doc_id FROM documents WHERE regexp_matches(text, '\b\d{15}\b') OR regexp_matches(text, '\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b') OR regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')",
+        "pii_scan_documents": f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{_RAW[0]}') OR regexp_matches(text, '{_RAW[1]}') OR regexp_matches(text, '{_RAW[2]}')",
         "to_minor_lines": f"{_SCALED} SELECT k, line, minor, CASE WHEN minor IS NULL THEN 'unknown_currency' END AS reason FROM scaled",
         "minor_roundtrip": f"{_SCALED} SELECT currency, count(*) AS lines, count(minor) AS same FROM scaled GROUP BY 1",
         "line_buckets": f"{DUCK_WITH} SELECT CASE WHEN n_lines <= 1 THEN '1' WHEN n_lines <= 5 THEN '2-5' WHEN n_lines <= 20 THEN '6-20' WHEN n_lines <= 100 THEN '21-100' ELSE '100+' END AS bucket, count(*) AS documents FROM invoices GROUP BY 1",
         "recurrence_keys": f"{_FOUND} SELECT sha256(concat(custkey, chr(31), rule_id, chr(31), coalesce(term, ''), chr(31), coalesce({_CLASS.format('v')}, 'no-shape'))) AS recurrence_key, count(*) AS occurrences, count(DISTINCT k) AS documents FROM found JOIN (SELECT k, custkey FROM invoices) USING (k) GROUP BY 1",
-        "supplier_readiness": f"{_FOUND}, f AS (SELECT custkey, k, rule_id FROM found JOIN (SELECT k, custkey FROM invoices) USING (k) WHERE outcome = 'fail'), u AS (SELECT custkey, rule_id, count(*) AS m FROM f GROUP BY ALL), t AS (SELECT custkey, rule_id, row_number() OVER (PARTITION BY custkey ORDER BY m DESC, rule_id) AS n FROM u), g AS (SELECT custkey, count(DISTINCT k) AS failed FROM f GROUP BY 1), d AS (SELECT custkey, count(*) AS documents FROM invoices GROUP BY 1) SELECT custkey, documents, round(coalesce(failed, 0) / documents, 4) AS fail_rate, rule_id AS top_rule FROM d LEFT JOIN g USING (custkey) LEFT JOIN (SELECT custkey, rule_id FROM t WHERE n = 1) USING (custkey)",
+        "supplier_readiness": f"{_FOUND}, f AS (SELECT custkey, k, rule_id, issued FROM found JOIN (SELECT k, custkey, issued FROM invoices) USING (k) WHERE outcome = 'fail'), u AS (SELECT custkey, rule_id, count(*) AS m FROM f GROUP BY ALL), t AS (SELECT custkey, rule_id, row_number() OVER (PARTITION BY custkey ORDER BY m DESC, rule_id) AS n FROM u), g AS (SELECT custkey, count(DISTINCT k) AS failed, max(issued) AS last_breach FROM f GROUP BY 1), d AS (SELECT custkey, count(*) AS documents FROM invoices GROUP BY 1) SELECT custkey, documents, round(coalesce(failed, 0) / documents, 4) AS fail_rate, rule_id AS top_rule, last_breach FROM d LEFT JOIN g USING (custkey) LEFT JOIN (SELECT custkey, rule_id FROM t WHERE n = 1) USING (custkey)",
         "reconcile_ledger": f"{DUCK_WITH}, i AS (SELECT k AS ref, {_CENTS} AS a FROM invoices), l AS (SELECT CASE WHEN ref % 19 = 0 THEN -ref ELSE ref END AS ref, a + CASE WHEN ref % 11 = 0 THEN 1 WHEN ref % 17 = 0 THEN 500 ELSE 0 END AS b FROM i WHERE ref % 13 <> 0) SELECT ref, CASE WHEN b IS NULL THEN 'invoice_not_in_ledger' WHEN a IS NULL THEN 'ledger_not_in_invoice' WHEN abs(a - b) = 1 THEN 'rounding_drift' ELSE 'amount_mismatch' END AS divergence FROM i FULL JOIN l USING (ref) WHERE a IS NULL OR b IS NULL OR a <> b",
         "catalogue_diff": "WITH o AS (SELECT p_partkey AS rule_id, sha256(p_name) AS h FROM part WHERE p_partkey % 11 <> 0), n AS (SELECT p_partkey AS rule_id, sha256(CASE WHEN p_partkey % 7 = 0 THEN concat(p_name, '!') ELSE p_name END) AS g FROM part WHERE p_partkey % 13 <> 0) SELECT rule_id, CASE WHEN h IS NULL THEN 'added' WHEN g IS NULL THEN 'removed' WHEN h <> g THEN 'changed' ELSE 'same' END AS state FROM o FULL JOIN n USING (rule_id)",
         "latest_profile": "SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders) WHERE n = 1",
         "retention_purge": "SELECT count(*) FILTER (WHERE o_orderdate + INTERVAL 90 DAY > TIMESTAMP '1996-01-01') AS kept, count(*) FILTER (WHERE NOT o_orderdate + INTERVAL 90 DAY > TIMESTAMP '1996-01-01') AS purged FROM orders",
-        "xml_export": f"{DUCK_WITH} SELECT root, currency, count(id) AS with_id, CAST(sum(n_lines) AS BIGINT) AS n_lines FROM invoices GROUP BY ALL",
     }

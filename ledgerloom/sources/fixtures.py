@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,7 +16,7 @@ FROM lineitem
 LINE_FIELDS = """
 SELECT k, line, l_suppkey AS supplier, l_quantity AS quantity, net, CAST(net AS VARCHAR(40)) AS amount,
        CASE WHEN (k + line) % 31 = 0 THEN 'VAT' WHEN (k + line) % 41 = 0 THEN NULL WHEN flag = 'R' THEN 'S' WHEN flag = 'A' THEN 'Z' ELSE 'E' END AS tax_category,
-       CASE WHEN (k + line) % 29 = 0 THEN 'Nos.' ELSE 'H87' END AS unit,
+       CASE WHEN (k + line) % 29 = 0 OR k % 163 = 0 THEN 'Nos.' ELSE 'H87' END AS unit,
        CASE WHEN (k + line) % 79 = 0 THEN '' ELSE 'item' END AS item_name
 FROM numbered
 """
@@ -26,7 +26,7 @@ SELECT o_orderkey AS k, o_custkey AS custkey,
        CASE WHEN o_orderkey % 97 = 0 THEN '' WHEN o_orderkey % 101 = 0 THEN NULL ELSE concat('INV-', CAST(o_orderkey AS VARCHAR(20))) END AS id,
        CASE WHEN o_orderkey % 53 = 0 THEN {dmy} ELSE {ymd} END AS issue_date,
        CASE WHEN o_orderkey % 61 = 0 THEN {before} ELSE {after} END AS due_date,
-       CASE WHEN o_orderkey % 89 = 0 THEN 'JPY' WHEN o_orderkey % 71 = 0 THEN lower(ccy) ELSE ccy END AS currency,
+       CASE WHEN o_orderkey % 178 = 0 THEN 'ZZZ' WHEN o_orderkey % 89 = 0 THEN 'JPY' WHEN o_orderkey % 71 = 0 THEN lower(ccy) ELSE ccy END AS currency,
        CASE WHEN o_orderstatus = 'P' THEN '381' ELSE '380' END AS type_code,
        CASE WHEN o_orderstatus = 'P' THEN 'CreditNote' ELSE 'Invoice' END AS root,
        CASE WHEN o_orderstatus = 'P' AND o_orderkey % 5 <> 0 THEN concat('INV-', CAST(o_orderkey - 1 AS VARCHAR(20))) END AS predecessor_ref,
@@ -42,30 +42,55 @@ FROM (SELECT o.*, c.c_name, c.c_nationkey, CASE WHEN o_custkey % 3 = 0 THEN 'AED
 SPARK = {"dmy": "date_format(o_orderdate, 'dd/MM/yyyy')", "ymd": "date_format(o_orderdate, 'yyyy-MM-dd')", "before": "date_format(date_sub(o_orderdate, 5), 'yyyy-MM-dd')", "after": "date_format(date_add(o_orderdate, 30), 'yyyy-MM-dd')"}
 DUCK = {"dmy": "strftime(o_orderdate, '%d/%m/%Y')", "ymd": "strftime(o_orderdate, '%Y-%m-%d')", "before": "strftime(o_orderdate - INTERVAL 5 DAY, '%Y-%m-%d')", "after": "strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d')"}
 
-TOTALS = """
-SELECT d.*, t.n_lines, t.line_sum,
-       CASE WHEN d.k % 73 = 0 THEN concat(CAST(t.line_sum AS VARCHAR(40)), '0') WHEN d.k % 37 = 0 THEN CAST(CAST(t.line_sum + 1 AS DECIMAL(38,2)) AS VARCHAR(40)) ELSE CAST(t.line_sum AS VARCHAR(40)) END AS line_total,
-       CAST(t.line_sum AS VARCHAR(40)) AS tax_exclusive, '0.00' AS tax_total,
-       CASE WHEN d.k % 127 = 0 THEN CAST(CAST(t.line_sum + 2 AS DECIMAL(38,2)) AS VARCHAR(40)) ELSE CAST(t.line_sum AS VARCHAR(40)) END AS tax_inclusive,
-       CASE WHEN d.k % 131 = 0 THEN '' ELSE CAST(t.line_sum AS VARCHAR(40)) END AS payable
-FROM doc_rows d JOIN (SELECT k, CAST(count(*) AS INT) AS n_lines, CAST(sum(net) AS DECIMAL(38,2)) AS line_sum FROM line_rows GROUP BY k) t ON d.k = t.k
+#: Columns that follow from an invoice's key and its exact line sum.
+STATED = """
+       CASE WHEN k % 73 = 0 THEN concat(CAST(line_sum AS VARCHAR(40)), '0') WHEN k % 37 = 0 THEN CAST(CAST(line_sum + 1 AS DECIMAL(38,2)) AS VARCHAR(40)) ELSE CAST(line_sum AS VARCHAR(40)) END AS line_total,
+       CAST(line_sum AS VARCHAR(40)) AS tax_exclusive, '0.00' AS tax_total,
+       CASE WHEN k % 127 = 0 THEN CAST(CAST(line_sum + 2 AS DECIMAL(38,2)) AS VARCHAR(40)) ELSE CAST(line_sum AS VARCHAR(40)) END AS tax_inclusive,
+       CASE WHEN k % 131 = 0 THEN '' ELSE CAST(line_sum AS VARCHAR(40)) END AS payable
 """
+TOTALS = f"SELECT *, {STATED} FROM (SELECT d.*, t.n_lines, t.line_sum FROM doc_rows d JOIN (SELECT k, CAST(count(*) AS INT) AS n_lines, CAST(sum(net) AS DECIMAL(38,2)) AS line_sum FROM line_rows GROUP BY k) t ON d.k = t.k)"
 
 #: DuckDB text of the views ``line_rows`` and ``invoices``.
 DUCK_WITH = f"WITH numbered AS ({LINES}), line_rows AS ({LINE_FIELDS}), doc_rows AS ({DOCS.format(**DUCK)}), invoices AS ({TOTALS})"
 
 
+ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def _net() -> Column:
+    return F.col("l_extendedprice").cast("decimal(18,2)")
+
+
+def _numbered(spark: SparkSession, sf_dir: str, totals: bool) -> DataFrame:
+    """Lines with their number and, with ``totals``, the count and exact sum of their invoice: one exchange by invoice."""
+    whole = Window.partitionBy("l_orderkey")
+    sums = [F.count(F.lit(1)).over(whole).cast("int").alias("n_lines"), F.sum(_net()).over(whole).cast("decimal(38,2)").alias("line_sum")] if totals else []
+    number = F.row_number().over(whole.orderBy(*ORDER)).alias("line")
+    item = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    numbered = item.select(F.col("l_orderkey").alias("k"), number, "l_suppkey", "l_quantity", _net().alias("net"), F.col("l_returnflag").alias("flag"), *sums)
+    text = LINE_FIELDS.replace("FROM numbered", "FROM {numbered}")
+    return spark.sql(text.replace("SELECT k,", "SELECT k, n_lines, line_sum,") if totals else text, numbered=numbered)
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per invoice line."""
-    item = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-    w = Window.partitionBy("l_orderkey").orderBy(*order)
-    numbered = item.select(F.col("l_orderkey").alias("k"), F.row_number().over(w).alias("line"), "l_suppkey", "l_quantity", F.col("l_extendedprice").cast("decimal(18,2)").alias("net"), F.col("l_returnflag").alias("flag"))
-    return spark.sql(LINE_FIELDS.replace("FROM numbered", "FROM {numbered}"), numbered=numbered)
+    return _numbered(spark, sf_dir, False)
+
+
+def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order with its header fields, without totals."""
+    orders, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
+    return spark.sql(DOCS.format(**SPARK).replace("FROM orders o", "FROM {orders} o").replace("JOIN customer c", "JOIN {customer} c"), orders=orders, customer=customer)
 
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per invoice with its header fields and exact line sum."""
-    orders, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
-    docs = spark.sql(DOCS.format(**SPARK).replace("FROM orders o", "FROM {orders} o").replace("JOIN customer c", "JOIN {customer} c"), orders=orders, customer=customer)
-    return spark.sql(TOTALS.replace("FROM doc_rows d", "FROM {docs} d").replace("FROM line_rows", "FROM {rows}"), docs=docs, rows=lines(spark, sf_dir))
+    item = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    sums = item.groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).cast("int").alias("n_lines"), F.sum(_net()).cast("decimal(38,2)").alias("line_sum"))
+    return spark.sql(f"SELECT *, {STATED} FROM {{joined}}", joined=headers(spark, sf_dir).join(sums, "k"))
+
+
+def invoice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per invoice line that carries its invoice's fields as well: lines are exchanged once, for all grains."""
+    return spark.sql(f"SELECT *, {STATED} FROM {{joined}}", joined=_numbered(spark, sf_dir, True).join(headers(spark, sf_dir), "k"))

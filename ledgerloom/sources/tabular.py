@@ -23,7 +23,7 @@ SELECT CAST(i.k % 7 AS INT) AS file, i.k * 1000 + l.line AS row_idx, i.id AS "In
        CASE WHEN i.k % 139 = 0 THEN 'Proforma' WHEN i.k % 2 = 0 THEN NULL WHEN i.root = 'CreditNote' THEN 'Credit Note' ELSE 'invoice' END AS doc_type,
        CASE WHEN i.k % 11 = 0 THEN 'Zero-Rated' WHEN i.k % 149 = 0 THEN 'barter' END AS "Supply Type",
        CASE WHEN (i.k + l.line) % 23 = 0 THEN 'USD' WHEN i.k % 5 = 0 THEN ' ' ELSE upper(i.currency) END AS "CURRENCY", i.buyer_trn AS "Buyer TRN",
-       CASE WHEN i.k % 3 = 0 THEN i.line_total END AS "BT-106", CASE WHEN l.line % 2 = 0 THEN CAST(l.line AS VARCHAR(10)) END AS "line_no",
+       CASE WHEN i.k % 3 = 0 THEN i.line_total END AS "BT-106", CASE WHEN (i.k + l.line) % 157 = 0 THEN 'x' WHEN l.line % 2 = 0 THEN CAST(l.line AS VARCHAR(10)) END AS "line_no",
        CASE WHEN (i.k + l.line) % 17 = 0 THEN '' ELSE l.item_name END AS "Item.Name", CASE WHEN (i.k + l.line) % 17 = 0 THEN NULL ELSE '1' END AS qty,
        l.unit AS uom, CASE WHEN (i.k + l.line) % 17 = 0 THEN NULL ELSE l.amount END AS "line amount", CASE WHEN i.k % 151 = 0 THEN NULL ELSE l.tax_category END AS tax_category,
        CASE WHEN l.line % 3 = 0 THEN '5' WHEN i.k % 2 = 0 THEN '0' END AS "VAT-Rate"

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import audit_queries
 from ledgerloom.operators.audit import ttl_dedup
-from ledgerloom.operators.evaluate import all_findings
+from ledgerloom.operators.evaluate import row_findings
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,12 +14,12 @@ def test_golden_check_sees_every_invoice(spark, monkeypatch):
     assert audit_queries.expectations(docs).count() == docs.count()
     right = {(r.k, r.problem) for r in audit_queries.golden_check(spark, SF).collect()}
     lost = "rule_id = 'R-041' AND k % 47 <> 0"
-    monkeypatch.setattr(audit_queries, "all_findings", lambda docs, lines: all_findings(docs, lines).where(f"NOT ({lost})"))
+    monkeypatch.setattr(audit_queries, "row_findings", lambda rows: row_findings(rows).where(f"NOT ({lost})"))
     wrong = {(r.k, r.problem) for r in audit_queries.golden_check(spark, SF).collect()}
     want = {r.k for r in docs.where("k % 59 = 0 AND k % 47 <> 0 AND k % 43 <> 0").collect()}
     assert want and {k for k, problem in wrong - right if problem == "missing R-041"} == want
-    monkeypatch.setattr(audit_queries, "all_findings", lambda docs, lines: (f := all_findings(docs, lines)).unionByName(f.where("k = 4 AND rule_id = 'R-062'").withColumn("rule_id", F.lit("R-010"))))
-    assert {(r.k, r.problem) for r in audit_queries.golden_check(spark, SF).collect()} - right == {(4, "unexpected R-010")}
+    monkeypatch.setattr(audit_queries, "row_findings", lambda rows: (f := row_findings(rows)).unionByName(f.where("k = 37 AND rule_id = 'R-011'").withColumn("rule_id", F.lit("R-010"))))
+    assert {(r.k, r.problem) for r in audit_queries.golden_check(spark, SF).collect()} - right == {(37, "unexpected R-010")}
 
 
 def test_ttl_holds_no_array_of_a_key(spark):
