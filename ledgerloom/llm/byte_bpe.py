@@ -76,7 +76,8 @@ def _encoder(path: str, pattern: str) -> UnitCache:
         import tiktoken
 
         merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
-        _CACHED["ranks", path] = UnitCache(lambda t: np.array(merge.encode_ordinary(t), dtype="<u4").tobytes(), pattern)
+        # a pre-token is merged by itself: the library's own pattern matcher gives up on white space of a million characters
+        _CACHED["ranks", path] = UnitCache(lambda t: np.array(merge._encode_single_piece(t), dtype="<u4").tobytes(), pattern)
     return _CACHED["ranks", path]
 
 
