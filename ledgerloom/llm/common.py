@@ -21,9 +21,12 @@ NO_ID = np.int64(2**63 - 1)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests)."""
+    """A fresh path under ``spark.checkpoint.dir``; where that is unset, a temporary folder of a local session. On a cluster
+    it must be set: executors can't share a folder of the driver's machine."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = _FALLBACK.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm

@@ -1,7 +1,7 @@
 """Quality scores by nearest-neighbour voting in a latent semantic space.
 
 Terms are byte trigrams hashed to ``terms`` columns, and words that repeat the word before. A bounded sample of labelled rows
-(``sample``, the least hashes of doc_id) gives term weights, the leading ``rank`` singular directions and the labelled
+(``sample`` rows, those of the least hashes of doc_id and text) gives term weights, the leading ``rank`` singular directions and the labelled
 vectors; these (``sample`` x ``rank`` numbers) are broadcast. Every document's cosine with every labelled vector is
 computed exactly, in blocks, and the ``k`` most similar neighbours vote with their similarity as weight.
 
@@ -60,8 +60,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     """``labels`` holds the rows that may be learnt from."""
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "label").limit(sample)
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "__id").select("text", "label")
-    rows = texts.mapInArrow(lambda it: _features(it, terms), "x binary, label double").limit(2 * sample).collect()
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "__id")
+    least = texts.select("__id", F.xxhash64("text").alias("tk"), "label", "text").orderBy(F.xxhash64("__id"), "tk", "label").limit(sample)  # ids that repeat: as many rows, always the same
+    rows = least.select("text", "label").mapInArrow(lambda it: _features(it, terms), "x binary, label double").collect()
     rows.sort(key=lambda r: (r["x"], r["label"]))
     if not rows:
         return {"prior": np.float64(0.5)}
