@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
@@ -90,6 +91,21 @@ def reconcile(ledger: DataFrame, invoices: DataFrame, ref: str = "ref", amount:
     return l.join(i, ref, "full_outer").select(ref, kind.alias("divergence")).where("divergence is not null")
 
 
+def expiry(at: Column, days: int = 90) -> Column:
+    """When client data that was received then expires: whole days of 24 hours."""
+    return at + F.make_dt_interval(F.lit(days))
+
+
+def archive_until(at: Column, years: int = 7) -> Column:
+    """When an archived document may go: calendar years; the last of February stays one."""
+    return F.add_months(at, 12 * years)
+
+
 def retention(df: DataFrame, expires: str, as_of) -> DataFrame:
     """*Ours*: kept and purged rows at ``as_of``."""
     return df.agg(F.count_if(F.col(expires) > as_of).alias("kept"), F.count_if(~(F.col(expires) > as_of)).alias("purged"))
+
+
+def retention_by_table(tables: dict[str, DataFrame], as_of) -> DataFrame:
+    """*Ours*: kept and purged rows of each table (with ``expires_at``)."""
+    return reduce(DataFrame.unionByName, [retention(df, "expires_at", as_of).withColumn("table", F.lit(name)) for name, df in tables.items()])

@@ -50,6 +50,23 @@ def recurrence_stats(failures: DataFrame, key: list[str], entity: str, least: in
     return out.where(F.col("entities") >= least)
 
 
+def fix_stats(fixes: DataFrame, least: int = 3) -> DataFrame:
+    """Fixes, median effort and share that recurred of each action (action, effort, recurred); fewer than ``least`` are left out."""
+    out = fixes.groupBy("action").agg(F.count(F.lit(1)).alias("fixes"), F.median("effort").alias("median_effort"), F.round(F.avg(F.col("recurred").cast("double")), 6).alias("recurrence_rate"))
+    return out.where(F.col("fixes") >= least)
+
+
+def reconcile_returns(documents: DataFrame, returns: DataFrame) -> DataFrame:
+    """Divergence of documents (ref, period, amount, credit) from the returns (ref, period, amount) that list them:
+    invoice_not_in_return, credit_note_timing (another period), return_exceeds_invoices; agreeing ones are left out."""
+    r = returns.select("ref", F.col("period").alias("in_period"), F.col("amount").alias("in_return"))
+    kind = (
+        F.when(F.col("in_return").isNull(), "invoice_not_in_return").when(F.col("credit") & (F.col("in_period") != F.col("period")), "credit_note_timing")
+        .when(F.col("in_return") > F.col("amount"), "return_exceeds_invoices")
+    )
+    return documents.join(r, "ref", "left").select("ref", kind.alias("divergence")).where("divergence is not null")
+
+
 def magnitude(amount: Column, total: Column) -> Column:
     ratio = F.abs(amount) / F.nullif(F.abs(total), F.lit(0))
     return F.when(ratio < 0.001, "<0.1%").when(ratio < 0.01, "0.1-1%").when(ratio < 0.05, "1-5%").when(ratio >= 0.05, ">5%")

@@ -18,7 +18,7 @@ def _fired(rules: list[Rule], applies: dict[str, Column]) -> Column:
     for r in rules:
         if r.grain not in applies:
             continue
-        holds = r.holds()
+        holds = r.satisfied()
         verdict = F.when(holds.isNull(), "no_verdict").when(~holds, "warn" if r.severity == "warning" else "fail")
         value = F.col(r.value).cast("string") if r.value else F.lit(None).cast("string")
         fired.append(F.when(applies[r.grain] & F.coalesce(~holds, F.lit(True)), F.struct(
@@ -106,7 +106,7 @@ def row_outcomes(rows: DataFrame, rules: list[Rule] = DEFAULT, key: str = "k") -
     applies = {"document": F.col("line") == 1, "line": F.lit(True), "subtotal": F.col("__first")}
     ranks = []
     for r in rules:
-        holds = r.holds()
+        holds = r.satisfied()
         ranks.append(F.when(applies[r.grain] & holds.isNull(), RANK["no_verdict"]).when(applies[r.grain] & ~holds, RANK["warn"] if r.severity == "warning" else RANK["fail"]).otherwise(0))
     worst = rows.groupBy(key).agg(F.max(F.greatest(*ranks)).alias("worst"))
     name = F.when(F.col("worst") == 3, "no_verdict").when(F.col("worst") == 2, "fail").when(F.col("worst") == 1, "warn").otherwise("pass")

@@ -17,6 +17,19 @@ def present_terms(terms: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(F.trim(c) != "", F.lit(t)) for t, c in terms.items()]))
 
 
+def presence(mapping: Column, terms: dict[str, Column]) -> Column:
+    """For each mapped term (map of term to the path it comes from) its source and whether the document has it; ``terms`` tells
+    which terms are there, and a term that it does not know is not."""
+    known = F.create_map(*[x for t, there in terms.items() for x in (F.lit(t), F.coalesce(there, F.lit(False)))])
+    return F.transform_values(mapping, lambda term, path: F.struct(path.alias("source"), F.coalesce(F.try_element_at(known, term), F.lit(False)).alias("present")))
+
+
+def confirm(profiles: DataFrame, at: Column) -> DataFrame:
+    """Profiles (mapped: its terms) that may be confirmed, with ``confirmed_at``; one with gaps is refused. Rows are appended,
+    never edited."""
+    return profiles.where(F.size(mandatory_gaps(F.col("mapped"))) == 0).withColumn("confirmed_at", at)
+
+
 def mandatory_gaps(mapped: Column) -> Column:
     return F.array_except(F.array(*map(F.lit, MANDATORY)), F.coalesce(mapped, F.array().cast("array<string>")))
 
@@ -56,3 +69,9 @@ def until_first_error(found: DataFrame, key: str, order: list[str]) -> DataFrame
     """Findings without warnings, up to and including the first of each document."""
     w = Window.partitionBy(key).orderBy(*order)
     return found.where("severity <> 'warning'").withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def claimed(matches: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Of several contexts of a pattern that match a node (``key``: document, pattern and node), the first claims it."""
+    w = Window.partitionBy(*key).orderBy(order)
+    return matches.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")

@@ -65,3 +65,21 @@ def check_expectations(expected: DataFrame, found: DataFrame, key: str = "k") ->
         F.when(F.col("match") == "exact", name("unexpected", F.array_except("got", "fired_rules"))).otherwise(none), name("forbidden", F.array_intersect("got", "must_not_fire")),
     )
     return both.select(key, F.explode(problems).alias("problem"))
+
+
+def check_details(expected: DataFrame, found: DataFrame, key: str = "k") -> DataFrame:
+    """key and problem of each expected finding (key, rule_id, failure_class, term, regex_class) that did not fire, fired more
+    than once in one place, or fired with another class, term or shape. found: also node and shape."""
+    got = found.groupBy(key, "rule_id", "node").agg(F.count(F.lit(1)).alias("times"), F.first("failure_class").alias("c"), F.first("term").alias("t"), F.first("shape.regex_class").alias("s"))
+    got = got.groupBy(key, "rule_id").agg(F.max("times").alias("times"), F.min(F.struct("node", "c", "t", "s")).alias("x"))
+    both = expected.join(got, [key, "rule_id"], "left")
+    differs = lambda name, a, b: F.when(~a.eqNullSafe(b), F.concat(F.lit(f"{name} "), F.col("rule_id")))
+    silent = F.when(F.col("times").isNull(), F.concat(F.lit("silent "), F.col("rule_id")))
+    rest = [F.when(F.col("times") > 1, F.concat(F.lit("twice "), F.col("rule_id"))), differs("class", F.col("failure_class"), F.col("x.c")), differs("term", F.col("term"), F.col("x.t")), differs("shape", F.col("regex_class"), F.col("x.s"))]
+    problems = F.when(silent.isNotNull(), F.array(silent)).otherwise(F.array_compact(F.array(*rest)))
+    return both.select(key, F.explode(problems).alias("problem"))
+
+
+def unjustified(expected: DataFrame, key: str = "k") -> DataFrame:
+    """Cases that expect more than they name (match ``superset``) without a reason (justification)."""
+    return expected.where((F.col("match") == "superset") & (F.coalesce(F.trim("justification"), F.lit("")) == "")).select(key, F.lit("superset without a reason").alias("problem"))

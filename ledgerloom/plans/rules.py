@@ -25,6 +25,10 @@ class Rule:
     holds: Callable[[], Column]
     expected: str
     code_list: str | None = None  # the list that the rule looks its value up in
+    report: bool = False  # fires when its predicate is true, not when it is false
+
+    def satisfied(self) -> Column:
+        return ~self.holds() if self.report else self.holds()
 
 
 def _present(name: str) -> Callable[[], Column]:

@@ -181,5 +181,7 @@ def oracle_sql() -> dict[str, str]:
         "reconcile_ledger": f"{DUCK_WITH}, i AS (SELECT k AS ref, {_CENTS} AS a FROM invoices), l AS (SELECT CASE WHEN ref % 19 = 0 THEN -ref ELSE ref END AS ref, a + CASE WHEN ref % 11 = 0 THEN 1 WHEN ref % 17 = 0 THEN 500 ELSE 0 END AS b FROM i WHERE ref % 13 <> 0) SELECT ref, CASE WHEN b IS NULL THEN 'invoice_not_in_ledger' WHEN a IS NULL THEN 'ledger_not_in_invoice' WHEN abs(a - b) = 1 THEN 'rounding_drift' ELSE 'amount_mismatch' END AS divergence FROM i FULL JOIN l USING (ref) WHERE a IS NULL OR b IS NULL OR a <> b",
         "catalogue_diff": "WITH o AS (SELECT p_partkey AS rule_id, sha256(p_name) AS h FROM part WHERE p_partkey % 11 <> 0), n AS (SELECT p_partkey AS rule_id, sha256(CASE WHEN p_partkey % 7 = 0 THEN concat(p_name, '!') ELSE p_name END) AS g FROM part WHERE p_partkey % 13 <> 0) SELECT rule_id, CASE WHEN h IS NULL THEN 'added' WHEN g IS NULL THEN 'removed' WHEN h <> g THEN 'changed' ELSE 'same' END AS state FROM o FULL JOIN n USING (rule_id)",
         "latest_profile": "SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders) WHERE n = 1",
+        "file_dedup_ttl": "WITH RECURSIVE s AS (SELECT user_id, event_type, min(ts) AS t FROM events GROUP BY ALL UNION ALL SELECT s.user_id, s.event_type, min(e.ts) FROM s JOIN events e ON e.user_id = s.user_id AND e.event_type = s.event_type AND e.ts >= s.t + INTERVAL 5 DAY GROUP BY ALL) "
+                          "SELECT user_id, event_type, CAST(n AS INT) AS arrivals, CAST(stored AS INT) AS stored FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) JOIN (SELECT user_id, event_type, count(*) AS stored FROM s GROUP BY ALL) USING (user_id, event_type)",
         "retention_purge": "SELECT count(*) FILTER (WHERE o_orderdate + INTERVAL 90 DAY > TIMESTAMP '1996-01-01') AS kept, count(*) FILTER (WHERE NOT o_orderdate + INTERVAL 90 DAY > TIMESTAMP '1996-01-01') AS purged FROM orders",
     }

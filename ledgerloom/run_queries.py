@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.shape import value_shape
-from .operators import assemble, evaluate, runs
-from .operators.audit import catalogue_diff
+from .operators import assemble, declared, evaluate, gates, runs, scores
+from .operators.audit import archive_until, catalogue_diff, expiry, retention_by_table
 from .plans.rules import PROFILES, pack
 from .sources import codelists, ubl, vouchers
 from .sources.fixtures import DUCK_WITH, invoice_rows, invoices, lines
@@ -205,8 +205,62 @@ def voucher_defects(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("defect_class", F.col("shape.regex_class").alias("regex_class")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("files"))
 
 
+def mapping_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Mapped terms by source and presence over all invoices; BT-999 is a term that nothing knows."""
+    paths = {"BT-1": "number", "BT-2": "date", "BT-5": "currency", "BT-25": "predecessor", "BT-31": "seller", "BT-44": "buyer", "BT-48": "buyer", "BT-106": "total", "BT-110": "tax", "BT-112": "gross", "BT-130": "unit", "BT-151": "category", "BT-999": "other"}
+    rows = invoice_rows(spark, d).withColumns({"units": F.col("unit").isNotNull(), "categories": F.col("tax_category").isNotNull()})
+    docs = rows.groupBy("k").agg(F.bool_or("units").alias("units"), F.bool_or("categories").alias("categories"), *[F.first(c).alias(c) for c in ("id", "currency", "predecessor_ref", "seller_trn", "buyer_name", "buyer_trn", "line_total", "tax_total", "payable")])
+    there = lambda c: F.col(c).isNotNull()
+    terms = {"BT-1": F.col("id") != "", "BT-2": F.lit(True), "BT-5": F.col("currency") != "", "BT-25": there("predecessor_ref"), "BT-31": there("seller_trn"), "BT-44": there("buyer_name"), "BT-48": there("buyer_trn"), "BT-106": there("line_total"),
+             "BT-110": there("tax_total"), "BT-112": there("payable"), "BT-130": F.col("units"), "BT-151": F.col("categories")}
+    mapping = F.create_map(*[F.lit(x) for pair in paths.items() for x in pair])
+    each = docs.select(F.explode(gates.presence(mapping, terms)).alias("term", "x"))
+    return each.groupBy("term", "x.source").agg(F.count_if("x.present").alias("present"), F.count_if(~F.col("x.present")).alias("absent"))
+
+
+def spec_gates(spark: SparkSession, d: str) -> DataFrame:
+    """What the gate says to each supplier's specification, by its account."""
+    version = F.when(F.col("s_suppkey") % 3 != 0, F.concat(F.lit("v"), (F.col("s_suppkey") % 2).cast("string")))
+    state = gates.spec_gate(F.col("s_acctbal") < 0, version, F.lit("v1"))
+    return _table(spark, d, "supplier").select(state.alias("gate")).groupBy("gate").agg(F.count(F.lit(1)).alias("suppliers"))
+
+
+def fix_effort(spark: SparkSession, d: str) -> DataFrame:
+    """Orders taken as fixes: action by priority, effort by the lines, recurred where a line was returned."""
+    lines_of = _table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("effort"), F.bool_or(F.col("l_returnflag") == "R").alias("recurred"))
+    fixes = _table(spark, d, "orders").join(lines_of, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderpriority").alias("action"), "effort", "recurred")
+    return declared.fix_stats(fixes)
+
+
+def retention_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Kept and purged rows of three tables: client data for 90 days, archived lines for seven years, events for five days."""
+    tables = {
+        "orders": _table(spark, d, "orders").select(expiry(F.col("o_orderdate")).alias("expires_at")), "lineitem": _table(spark, d, "lineitem").select(archive_until(F.col("l_shipdate")).cast("timestamp").alias("expires_at")),
+        "events": _table(spark, d, "events").select((expiry(F.col("ts"), 5) - F.expr("make_interval(29)")).alias("expires_at")),
+    }
+    return retention_by_table(tables, F.to_timestamp(F.lit("1995-01-15")))
+
+
+def return_divergence(spark: SparkSession, d: str) -> DataFrame:
+    """Invoices against the returns that list them: some are left out, some in another month, some too high."""
+    docs = invoices(spark, d).select(F.col("k").alias("ref"), F.date_format("issued", "yyyy-MM").alias("period"), (F.col("line_sum") * 100).cast("long").alias("amount"), (F.col("root") == "CreditNote").alias("credit"))
+    month = F.when(F.col("ref") % 8 == 0, F.lit("1990-01")).otherwise(F.col("period"))
+    returns = docs.where("ref % 12 <> 5").select("ref", month.alias("period"), (F.col("amount") + F.when(F.col("ref") % 15 == 0, 1).when(F.col("ref") % 16 == 0, -1).otherwise(0)).alias("amount"))
+    return declared.reconcile_returns(docs, returns)
+
+
+def golden_details(spark: SparkSession, d: str) -> DataFrame:
+    """The planted defects of buyers' numbers against class, term and shape of the finding that each expects."""
+    rows = invoice_rows(spark, d)
+    k, docs = F.col("k"), rows.where("line = 1")
+    expected = docs.where("k % 43 = 0 OR k % 53 = 0").select("k", F.when(k % 43 == 0, "R-042").otherwise("R-003").alias("rule_id"), F.when(k % 43 == 0, "identifier_invalid").when(k % 2 == 0, "format_mismatch").otherwise("date_logic").alias("failure_class"),
+                                                      F.when(k % 43 == 0, "BT-48").otherwise("BT-2").alias("term"), F.when(k % 43 == 0, "[0-9]{12}").otherwise("[0-9]{2}[^A-Za-z0-9]{1}[0-9]{2}[^A-Za-z0-9]{1}[0-9]{4}").alias("regex_class"))
+    expected = expected.unionByName(docs.where("k % 61 = 0").select("k", F.lit("R-010").alias("rule_id"), F.lit("cardinality").alias("failure_class"), F.lit("BG-25").alias("term"), F.lit(None).cast("string").alias("regex_class")))
+    return scores.check_details(expected, evaluate.row_findings(rows))
+
+
 QUERIES = (
-    format_dispatch, pending_runs, doc_identifiers, run_statuses, entity_invoices, rule_owners, unused_code_lists, ruleset_identity, catalogue_gaps, finding_groups, fired_twice, stored_outcomes, audit_result,
+    mapping_sources, spec_gates, fix_effort, retention_tables, return_divergence, golden_details, format_dispatch, pending_runs, doc_identifiers, run_statuses, entity_invoices, rule_owners, unused_code_lists, ruleset_identity, catalogue_gaps, finding_groups, fired_twice, stored_outcomes, audit_result,
     rule_coverage, profile_balance, ubl_findings, validated_summary, ubl_terms, voucher_documents, voucher_defects,
 )
 
@@ -233,7 +287,17 @@ v1 AS (SELECT *, max(k) OVER (PARTITION BY file) % 97 = 0 AS bare, CAST(row_numb
 v2 AS (SELECT *, doc_type IS NOT NULL AND invoice_number IS NOT NULL AND day IS NOT NULL AS accepted FROM v1 WHERE NOT bare),
 l2 AS (SELECT l.k, l.line, l.net, (l.k + l.line) % 3 = 0 AS unit, CASE WHEN l.line % 2 = 0 THEN '5' WHEN l.k % 2 = 0 THEN '0' END AS rate FROM line_rows l),
 t2 AS (SELECT k, count(*) AS n, sum(net) AS net, count(DISTINCT rate) > 1 AS multi_rate FROM l2 GROUP BY 1)"""
+    sources = {"BT-1": ("number", "coalesce(id <> '', false)"), "BT-2": ("date", "true"), "BT-5": ("currency", "currency <> ''"), "BT-25": ("predecessor", "predecessor_ref IS NOT NULL"), "BT-31": ("seller", "seller_trn IS NOT NULL"), "BT-44": ("buyer", "buyer_name IS NOT NULL"), "BT-48": ("buyer", "buyer_trn IS NOT NULL"),
+               "BT-106": ("total", "line_total IS NOT NULL"), "BT-110": ("tax", "tax_total IS NOT NULL"), "BT-112": ("gross", "payable IS NOT NULL"), "BT-130": ("unit", "k IN (SELECT k FROM line_rows WHERE unit IS NOT NULL)"), "BT-151": ("category", "k IN (SELECT k FROM line_rows WHERE tax_category IS NOT NULL)"), "BT-999": ("other", "false")}
+    months = "strftime(issued, '%Y-%m')"
     return {
+        "mapping_sources": f"{DUCK_WITH} " + " UNION ALL ".join(f"SELECT '{t}' AS term, '{source}' AS source, count(*) FILTER (WHERE {there}) AS present, count(*) FILTER (WHERE NOT ({there})) AS absent FROM invoices" for t, (source, there) in sources.items()),
+        "spec_gates": "SELECT CASE WHEN s_acctbal < 0 THEN 'quarantined' WHEN s_suppkey % 3 = 0 THEN 'unresolved' WHEN s_suppkey % 2 <> 1 THEN 'version_mismatch' ELSE 'usable' END AS gate, count(*) AS suppliers FROM supplier GROUP BY 1",
+        "fix_effort": "WITH l AS (SELECT l_orderkey, sum(l_quantity) AS effort, bool_or(l_returnflag = 'R') AS recurred FROM lineitem GROUP BY 1) SELECT o_orderpriority AS action, count(*) AS fixes, median(effort) AS median_effort, round(avg(CASE WHEN recurred THEN 1.0 ELSE 0.0 END), 6) AS recurrence_rate FROM orders JOIN l ON o_orderkey = l_orderkey GROUP BY 1 HAVING count(*) >= 3",
+        "retention_tables": " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) FILTER (WHERE {e} > TIMESTAMP '1995-01-15') AS kept, count(*) FILTER (WHERE NOT {e} > TIMESTAMP '1995-01-15') AS purged FROM {t}" for t, e in (("orders", "o_orderdate + INTERVAL 90 DAY"), ("lineitem", "CAST(CAST(l_shipdate AS DATE) + INTERVAL 84 MONTH AS DATE)"), ("events", "ts + INTERVAL 5 DAY - INTERVAL 29 YEAR"))),
+        "return_divergence": f"{DUCK_WITH}, i AS (SELECT k, {months} AS period, CAST(line_sum * 100 AS BIGINT) AS a, root = 'CreditNote' AS credit FROM invoices) SELECT k AS ref, CASE WHEN k % 12 = 5 THEN 'invoice_not_in_return' WHEN credit AND k % 8 = 0 THEN 'credit_note_timing' WHEN k % 15 = 0 THEN 'return_exceeds_invoices' END AS divergence FROM i WHERE k % 12 = 5 OR (credit AND k % 8 = 0) OR k % 15 = 0",
+        "golden_details": f"{found}, e AS (SELECT k, CASE WHEN k % 43 = 0 THEN 'R-042' ELSE 'R-003' END AS rule_id, CASE WHEN k % 43 = 0 THEN 'identifier_invalid' WHEN k % 2 = 0 THEN 'format_mismatch' ELSE 'date_logic' END AS c FROM invoices WHERE k % 43 = 0 OR k % 53 = 0), h AS (SELECT DISTINCT k, rule_id, failure_class FROM found) "
+                          "SELECT e.k, CASE WHEN h.k IS NULL THEN concat('silent ', e.rule_id) ELSE concat('class ', e.rule_id) END AS problem FROM e LEFT JOIN h ON h.k = e.k AND h.rule_id = e.rule_id WHERE h.k IS NULL OR h.failure_class <> e.c UNION ALL SELECT k, 'silent R-010' FROM invoices WHERE k % 61 = 0",
         "format_dispatch": "SELECT CASE WHEN user_id % 5 = 0 THEN 'tally_xml' WHEN event_id % 7 IN (2, 5) THEN 'xlsx' WHEN event_id % 7 IN (1, 4) THEN 'csv' WHEN event_id % 7 IN (3, 6) THEN 'tally_xml' ELSE 'refused' END AS format, count(*) AS files FROM events GROUP BY 1",
         "pending_runs": f"WITH e AS (SELECT l_orderkey AS run, l_linenumber AS attempt, min(CASE l_returnflag WHEN 'R' THEN 'completed' WHEN 'A' THEN 'failed' ELSE 'running' END) AS status, max(l_shipdate) AS lease FROM lineitem WHERE l_orderkey % 4 <> 0 GROUP BY ALL), "
                         f"x AS (SELECT run, max(attempt) AS attempt, arg_max(status, attempt) AS status, arg_max(lease, attempt) AS lease FROM e GROUP BY 1) SELECT CASE WHEN status = 'completed' THEN 'skip' WHEN status = 'running' AND lease >= TIMESTAMP '{AS_OF}' THEN 'held' ELSE 'claim' END AS action, CAST(coalesce(attempt, 0) + 1 AS INT) AS attempt, count(*) AS runs FROM orders LEFT JOIN x ON run = o_orderkey GROUP BY ALL",

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .fixtures import invoices, lines
 
 # Accepted spellings of each column, compared in lower case without spaces, hyphens, underscores and dots.
 ALIASES = {
-    "invoice_number": "invoicenumber invoiceno documentnumber voucherno bt1", "issue_date": "issuedate invoicedate date bt2", "doc_type": "doctype documenttype type", "scenario": "scenario supplytype",
-    "currency": "currency currencycode bt5", "buyer_name": "buyername customername partyname bt44", "buyer_trn": "buyertrn customertrn buyervatid customergstin bt48",
-    "seller_trn": "sellertrn suppliertrn companytrn companygstin bt31", "predecessor_ref": "predecessorref originalinvoice referenceinvoice bt25", "line_extension": "lineextensionamount netamount subtotal bt106",
-    "tax_amount": "taxamount vatamount gstamount bt110", "payable": "payableamount grandtotal invoicetotal total bt115", "line_number": "linenumber lineno srno", "line_description": "linedescription itemname description bt153",
-    "line_quantity": "linequantity quantity qty bt129", "line_unit": "lineunitcode unitcode uom unit bt130", "line_net": "linenetamount lineamount linetotal bt131",
-    "line_tax_category": "linetaxcategory taxcategory taxcategorycode bt151", "line_tax_rate": "linetaxrate taxrate vatrate gstrate bt152",
+    "invoice_number": ("invoicenumber", "invoiceno", "documentnumber", "voucherno", "bt1"), "issue_date": ("issuedate", "invoicedate", "date", "bt2"), "doc_type": ("doctype", "documenttype", "type"), "scenario": ("scenario", "supplytype"),
+    "currency": ("currency", "currencycode", "bt5"), "buyer_name": ("buyername", "customername", "partyname", "bt44"), "buyer_trn": ("buyertrn", "customertrn", "buyervatid", "customergstin", "bt48"),
+    "seller_trn": ("sellertrn", "suppliertrn", "companytrn", "companygstin", "bt31"), "predecessor_ref": ("predecessorref", "originalinvoice", "referenceinvoice", "bt25"), "line_extension": ("lineextensionamount", "netamount", "subtotal", "bt106"),
+    "tax_amount": ("taxamount", "vatamount", "gstamount", "bt110"), "payable": ("payableamount", "grandtotal", "invoicetotal", "total", "bt115"), "line_number": ("linenumber", "lineno", "srno"), "line_description": ("linedescription", "itemname", "description", "bt153"),
+    "line_quantity": ("linequantity", "quantity", "qty", "bt129"), "line_unit": ("lineunitcode", "unitcode", "uom", "unit", "bt130"), "line_net": ("linenetamount", "lineamount", "linetotal", "bt131"),
+    "line_tax_category": ("linetaxcategory", "taxcategory", "taxcategorycode", "bt151"), "line_tax_rate": ("linetaxrate", "taxrate", "vatrate", "gstrate", "bt152"),
 }
 
 #: The export of the order tables: one row per line, with defects by key. One text for Spark and DuckDB.
@@ -36,14 +37,41 @@ def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of CSV files with ``file`` and the position ``row_idx`` in the order in which Spark reads them."""
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return rows.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row_idx"), "*")
+    """Rows of CSV files as texts, with ``file`` and their position ``row_idx`` in it, from 0. A file is read by one task, so
+    its rows keep their order; ragged rows and empty lines are allowed, a byte-order mark is dropped."""
+    options = {"header": True, "multiLine": True, "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "inferSchema": False, "mode": "PERMISSIVE"}
+    rows = spark.read.options(**options).csv(path)
+    rows = rows.toDF(*[c.removeprefix("\ufeff") for c in rows.columns])
+    order = Window.partitionBy("file").orderBy("__id")
+    rows = rows.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("__id"), "*")
+    return rows.withColumn("row_idx", (F.row_number().over(order) - 1).cast("long")).drop("__id")
+
+
+def file_defects(spark: SparkSession, path: str) -> DataFrame:
+    """file, source_ref and defect_class of files that give no rows: not UTF-8 (``file``), or without a header (``header``)."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("content").cast("string").alias("text"))
+    broken = ~F.is_valid_utf8("text")
+    blank = F.btrim("text", F.lit("\ufeff \t\r\n,")) == ""
+    ref = F.when(broken, "file").when(blank, "header")
+    found = files.select("file", ref.alias("source_ref"), F.lit("parse_error").alias("defect_class")).where("source_ref is not null")
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(path)  # a scan leaves out files of no bytes, so these come from the listing
+    statuses = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    empty = [(x.getPath().toString(), "header", "parse_error") for x in statuses if x.isFile() and x.getLen() == 0]
+    return found.unionByName(spark.createDataFrame(empty, found.schema))
+
+
+def read_golden(spark: SparkSession, path: str, expectation: str) -> DataFrame:
+    """Cases under ``path``: profile (the folder), name, the document's text and the expectation (``expectation``: its DDL) of
+    each pair of NAME.xml and NAME.expected.json; a document without an expectation, or the reverse, has NULLs there."""
+    at = lambda c, ending: (F.element_at(F.split(c, "/"), -2).alias("profile"), F.regexp_replace(F.element_at(F.split(c, "/"), -1), ending, "").alias("name"))
+    docs = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").text(path).select(*at(F.input_file_name(), r"\.xml$"), F.col("value").alias("xml"))
+    files = spark.read.schema(expectation).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.expected.json").json(path)
+    return docs.join(files.select(*at(F.input_file_name(), r"\.expected\.json$"), F.struct("*").alias("expected")), ["profile", "name"], "full_outer")
 
 
 def resolve_headers(rows: DataFrame, keep: tuple[str, ...] = ("file", "row_idx")) -> DataFrame:
     """``keep`` and the canonical columns; of several spellings the last that is not blank wins; blanks become NULL."""
-    known = {alias: key for key, names in ALIASES.items() for alias in names.split()}
+    known = {alias: key for key, names in ALIASES.items() for alias in names}
     found: dict[str, list[str]] = {}
     for name in rows.columns:
         plain = name.lower().translate({ord(c): None for c in " \t_-."})

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import assemble, gates, scores
-from ledgerloom.sources.tabular import read_csv, resolve_headers
+from ledgerloom.sources.tabular import file_defects, read_csv, read_golden, resolve_headers
 
 CSV = """Invoice Number,issue-date,CURRENCY,Buyer_Name,buyer.trn,Line Description,qty,uom,Line Net Amount,Tax Category,VAT Rate
 A1,2026-07-15,AED,"Buyer, Ltd",100000000000003,one,1,EA,1000.00,S,5
@@ -38,3 +38,34 @@ def test_spec_gate(spark):
     rows = [(True, "1", "1", "quarantined"), (False, None, "1", "unresolved"), (False, "2", "1", "version_mismatch"), (False, "1", "1", "usable")]
     df = spark.createDataFrame(rows, "q boolean, v string, w string, x string")
     assert all(r.g == r.x for r in df.select("x", gates.spec_gate(F.col("q"), F.col("v"), F.col("w")).alias("g")).collect())
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("\ufeffInvoice Number,Issue Date\nA1, 2026-07-15 \n\nA2\n".encode())
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "bad.csv").write_bytes(b"\xff\xfe\x00")
+    rows = resolve_headers(read_csv(spark, str(tmp_path / "a.csv"))).orderBy("row_idx").collect()
+    assert [(r.row_idx, r.invoice_number, r.issue_date) for r in rows] == [(0, "A1", "2026-07-15"), (1, "A2", None)]
+    found = {r.file.rsplit("/", 1)[1]: r.source_ref for r in file_defects(spark, str(tmp_path / "*.csv")).collect()}
+    assert found == {"empty.csv": "header", "bad.csv": "file"}
+
+
+def test_golden_files(spark, tmp_path):
+    (tmp_path / "uae").mkdir()
+    (tmp_path / "uae" / "one.xml").write_text("<Invoice/>")
+    (tmp_path / "uae" / "one.expected.json").write_text('{"outcome": "fail",\n "fired_rules": ["R-001"]}')
+    (tmp_path / "uae" / "two.xml").write_text("<Invoice/>")
+    got = {r.name: r for r in read_golden(spark, str(tmp_path), "outcome string, fired_rules array<string>").collect()}
+    assert got["one"].profile == "uae" and got["one"].xml == "<Invoice/>" and got["one"].expected.fired_rules == ["R-001"] and got["two"].expected is None
+
+
+def test_expectation_details(spark):
+    found = spark.createDataFrame([(1, "R-1", 0, "c", "t", ("s",)), (2, "R-1", 0, "c", "t", ("s",)), (2, "R-1", 0, "c", "t", ("s",)), (3, "R-1", 0, "x", "y", (None,))], "k int, rule_id string, node int, failure_class string, term string, shape struct<regex_class:string>")
+    want = spark.createDataFrame([(i, "R-1", "c", "t", "s") for i in (1, 2, 3, 4)], "k int, rule_id string, failure_class string, term string, regex_class string")
+    assert sorted((r.k, r.problem) for r in scores.check_details(want, found).collect()) == [(2, "twice R-1"), (3, "class R-1"), (3, "shape R-1"), (3, "term R-1"), (4, "silent R-1")]
+    cases = spark.createDataFrame([(1, "superset", " "), (2, "superset", "why"), (3, "exact", None), (4, "superset", None)], "k int, match string, justification string")
+    assert [r.k for r in scores.unjustified(cases).orderBy("k").collect()] == [1, 4]
+    matches = spark.createDataFrame([(1, "p", 0, 2), (1, "p", 0, 1), (1, "p", 1, 2)], "k int, pattern string, node int, seq int")
+    assert sorted((r.node, r.seq) for r in gates.claimed(matches, ["k", "pattern", "node"], "seq").collect()) == [(0, 1), (1, 2)]
+    terms = spark.createDataFrame([(["BT-1"],), (list(gates.MANDATORY),), (None,)], "mapped array<string>")
+    assert gates.confirm(terms, F.current_timestamp()).count() == 1
