@@ -46,9 +46,18 @@ def row_findings(rows: DataFrame, rules: list[Rule] = DEFAULT, key: str = "k", k
     """Findings of all three grains over lines that carry their document's fields: document rules judge a document's
     first line, subtotal rules the first line of each tax category. One scan and one exchange serve all."""
     check(rules)
+    return _exploded(with_first(rows, key), _fired(rules, row_grains()), F.col("line"), key, keep)
+
+
+def row_grains() -> dict[str, Column]:
+    """Which rows each grain judges, of lines that carry their document's fields."""
+    return {"document": F.col("line") == 1, "line": F.lit(True), "subtotal": F.col("first_of_category")}
+
+
+def with_first(rows: DataFrame, key: str) -> DataFrame:
+    """Optional fields, and whether a line is its document's first of its tax category, unless the rows say so already."""
     first = F.row_number().over(Window.partitionBy(key, "tax_category").orderBy("line")) == 1
-    rows = with_optional(rows).withColumn("__first", first)
-    return _exploded(rows, _fired(rules, {"document": F.col("line") == 1, "line": F.lit(True), "subtotal": F.col("__first")}), F.col("line"), key, keep)
+    return with_optional(rows if "first_of_category" in rows.columns else rows.withColumn("first_of_category", first))
 
 
 def node_findings(nodes: DataFrame, rules: list[Rule] = DEFAULT, key: str = "k", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -101,9 +110,7 @@ RANK = {"no_verdict": 3, "fail": 2, "warn": 1}
 
 def row_outcomes(rows: DataFrame, rules: list[Rule] = DEFAULT, key: str = "k") -> DataFrame:
     """key and outcome of every document of ``row_findings``' input, without a join back: a document's rows are together."""
-    first = F.row_number().over(Window.partitionBy(key, "tax_category").orderBy("line")) == 1
-    rows = with_optional(rows).withColumn("__first", first)
-    applies = {"document": F.col("line") == 1, "line": F.lit(True), "subtotal": F.col("__first")}
+    rows, applies = with_first(rows, key), row_grains()
     ranks = []
     for r in rules:
         holds = r.satisfied()

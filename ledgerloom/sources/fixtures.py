@@ -70,7 +70,10 @@ def _numbered(spark: SparkSession, sf_dir: str, totals: bool) -> DataFrame:
     item = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     numbered = item.select(F.col("l_orderkey").alias("k"), number, "l_suppkey", "l_quantity", _net().alias("net"), F.col("l_returnflag").alias("flag"), *sums)
     text = LINE_FIELDS.replace("FROM numbered", "FROM {numbered}")
-    return spark.sql(text.replace("SELECT k,", "SELECT k, n_lines, line_sum,") if totals else text, numbered=numbered)
+    if not totals:
+        return spark.sql(text, numbered=numbered)
+    rows = spark.sql(text.replace("SELECT k,", "SELECT k, n_lines, line_sum,"), numbered=numbered)
+    return rows.withColumn("first_of_category", F.row_number().over(Window.partitionBy("k", "tax_category").orderBy("line")) == 1)
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
