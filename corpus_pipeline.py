@@ -23,7 +23,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", lambda spark, docs, sf_dir: op7_packing(docs)),
 ]
 
-#: Signatures, forests and tokenizers are beyond SQL; no test compares the stages with plain versions yet.
+#: Signatures, forests and tokenizers are beyond SQL; tests/llm holds each stage against what it must keep, cut or redact.
 ORACLE_SQL: str | None = None
 
 
