@@ -19,11 +19,10 @@ from .common import materialize, shuffle_partitions
 EDGE = "__pid int, __pos int, __before binary, __row binary, __after binary"
 
 
-def with_neighbours(df: DataFrame, order: list, context: Callable[[dict], dict], f: Callable[[dict, dict | None, dict | None], dict], fields: str, circular: bool = False, keep: bool = True) -> DataFrame:
+def with_neighbours(df: DataFrame, order: list, context: Callable[[dict], dict], f: Callable[[dict, dict | None, dict | None], dict], fields: str, circular: bool = False) -> DataFrame:
     """``f(row, before, after)`` for every row of ``df`` in ``order``; ``before`` and ``after`` are ``context(row)`` of the
     rows beside it, None at the ends (with ``circular``, the row after the last is the first). ``fields``: the DDL of what f gives.
-    ``keep`` writes the results to the shared folder while the edges are closed; without it both passes run f over one
-    shuffle, for an f that costs less than its results take up."""
+    Results are written to the shared folder while the edges are closed."""
     import pickle
 
     names = [x.split()[0] for x in fields.split(", ")]
@@ -56,8 +55,7 @@ def with_neighbours(df: DataFrame, order: list, context: Callable[[dict], dict],
 
     spark = df.sparkSession
     sorted_df = df.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    both = sorted_df.mapInArrow(inner, f"{fields}, {EDGE}")
-    both = materialize(both, "neighbours") if keep else both
+    both = materialize(sorted_df.mapInArrow(inner, f"{fields}, {EDGE}"), "neighbours")
 
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = first = last = None  # held: an edge row that still waits for the row after it
