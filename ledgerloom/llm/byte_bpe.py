@@ -9,8 +9,8 @@ between cuts are then encoded in parallel and their ids joined in order. Where n
 Pre-tokens that a single space between two non-space characters begins never depend on what is before it, so ids are
 kept by space-delimited unit and by pre-token, and each distinct one is split and merged once per worker.
 
-Defined results: a null text is empty (no ids); repeated rows give repeated results; other columns are dropped but
-for those named in ``keep``.
+Defined results: a null text is empty (no ids); repeated rows give repeated results; an empty table gives an empty result;
+other columns are dropped but for those named in ``keep``.
 """
 
 from __future__ import annotations

@@ -20,7 +20,9 @@ The threshold lies 5.2 standard deviations below what a pair at the limit of sim
 a pair is missed with a probability of the order of 1e-7.
 Defined results: a null text or one without words has an empty set, is linked with nothing and is its own component;
 with fewer words than a shingle, the whole sequence is the one shingle; repeated rows are linked; a null doc_id
-has a null component unless it is linked with a row that has one.
+has a null component unless it is linked with a row that has one; the least (doc_id, hash of the text) names a component,
+so ties do not matter; a very long text is read whole; an empty table gives an empty result; other columns are ignored,
+or carried along by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -126,7 +128,7 @@ def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords: int = 32, depth: int = 3, threshold: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row. Links have 100 * intersection >= percent * union."""
+    """doc_id, n_shingles, component_id, kept and tk (hash of the text) of every row. Links have 100 * intersection >= percent * union."""
     chance = (percent / 100) ** depth  # that a coordinate of a pair at the limit matches
     threshold = threshold or max(1, int(coords * chance - 5.2 * (coords * chance * (1 - chance)) ** 0.5))
     text = F.col(text_col).cast("string")
@@ -194,17 +196,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords
 
     found = classes.join(label, "c", "left").withColumn("component_id", F.coalesce("label.doc_id", "doc_id"))
     found = materialize(found.where("copies > 1 or component_id <> doc_id").select(F.col("c").alias("of"), "component_id"), "components")
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "c").join(found, F.col("c") == F.col("of"), "left")
+    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "c", "tk").join(found, F.col("c") == F.col("of"), "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "tk")
 
 
 def op2_near_dedup(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs, shingle=3, percent=85)
+    return near_duplicates(docs, shingle=3, percent=85).drop("tk")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates (five-word shingles, similarity 0.8); rows without
-    an id stay."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    """``docs`` with one document of each group of near duplicates (five-word shingles, similarity 0.8). Rows that share an id
+    but not a text are decided each by itself, rows that repeat another wholly stay once, rows without an id all stay."""
+    gone = near_duplicates(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__of"), F.col("tk").alias("__tk")).distinct()
+    same = (F.col("doc_id").cast("long") == F.col("__of")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("__tk"))
+    left = docs.join(gone, same, "left_anti").withColumn("__apart", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    return left.dropDuplicates(["doc_id", "text", "__apart"]).select(*docs.columns)

@@ -6,7 +6,8 @@ hold the same k-mers in another order share few of them.
 
 Defined results: a null or empty text has no k-mers and one fixed fingerprint; a text shorter than k is one k-mer;
 two texts have likeness 1 if their fingerprints are equal. Rows are ordered by descending doc_id, then a hash of the text; a null
-doc_id comes last. The only document is its own next.
+doc_id comes last. The only document is its own next; repeated rows stand beside each other; a very long text is sketched
+whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ vectors; these (``sample`` x ``rank`` numbers) are broadcast. Every document's c
 computed exactly, in blocks, and the ``k`` most similar neighbours vote with their similarity as weight.
 
 Defined results: a null or empty text, or one without similar neighbours, gets the sample's share of label 1 (0.5
-without labels); rows with null labels or ids teach nothing; repeated rows score alike. Other columns are carried
-along, ``score`` is replaced.
+without labels); rows with null labels or ids teach nothing; repeated rows score alike; a very long text is counted whole;
+an empty table gives an empty result. Ties among neighbours are broken by their place in the sorted sample. Other columns
+are carried along, ``score`` is replaced.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ is extracted. Executors read and write by a URI that pyarrow's file systems open
 
 Of records with equal payloads the one with the largest page_id is a response and the others revisit it; rows that
 tie at the largest are all responses. Defined results: null html is an empty payload, a null url gives a record
-without a target, a null page_id sorts below all others and is read back as null.
+without a target, a null page_id sorts below all others and is read back as null; repeated rows give a record each; a
+very long page is one record; an empty table gives no packages and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

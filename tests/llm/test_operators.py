@@ -209,6 +209,8 @@ def test_near_copies_equal_brute_force(spark):
     rows = spark.createDataFrame([(1, texts[0][1], 9), (1, texts[0][1], 9), (2, texts[0][1].upper(), 9), (3, None, 9), (None, "x", 9)], "doc_id long, text string, n int")
     kept = drop_near_duplicates(rows).collect()
     assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 3] and kept[0].n == 9
+    shared = spark.createDataFrame([(3, texts[0][1]), (5, texts[0][1]), (5, texts[-1][1]), (None, "x y"), (None, "x y")], "doc_id long, text string")
+    assert sorted(((r.doc_id or 0), r.text[:3]) for r in drop_near_duplicates(shared).collect()) == sorted([(3, texts[0][1][:3]), (5, "wor"), (0, "x y"), (0, "x y")])
 
 
 def test_substring_edges(spark):
