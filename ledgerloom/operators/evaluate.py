@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.hashing import recurrence_key
 from ..functions.shape import message, value_shape
 from ..plans.rules import DEFAULT, Rule, check
 
@@ -105,6 +106,14 @@ def outcomes(invoices: DataFrame, found: DataFrame) -> DataFrame:
     return invoices.select("k").join(worst, "k", "left").select("k", name.alias("outcome"))
 
 
+def facts(found: DataFrame, entity: Column) -> DataFrame:
+    """Findings as facts of the anonymised store: no key of a document, the shape of the value in camel case, a warning as
+    ``warn`` and others with their outcome, and the key under which the same failure of ``entity`` recurs."""
+    shape = F.struct(F.col("shape.len").alias("len"), F.col("shape.charset").alias("charset"), F.col("shape.regex_class").alias("regexClass"), F.col("shape.expected").alias("expected"))
+    key = recurrence_key(entity, F.col("rule_id"), F.col("term"), F.col("shape.regex_class"))
+    return found.select(F.col("rule_id").alias("ruleId"), "severity", F.col("term").alias("businessTerm"), F.col("failure_class").alias("failureClass"), F.when(F.col("severity") == "warning", "warn").otherwise(F.col("outcome")).alias("outcome"), shape.alias("valueShape"), key.alias("recurrenceKey"))
+
+
 RANK = {"no_verdict": 3, "fail": 2, "warn": 1}
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.shape import value_shape
 from .operators import assemble, declared, evaluate, gates, runs, scores
-from .operators.audit import archive_until, catalogue_diff, expiry, retention_by_table
+from .operators.audit import archive_until, catalogue_diff, expiry, insert_or_nothing, retention_by_table
 from .plans.rules import PROFILES, pack
 from .sources import codelists, ubl, vouchers
 from .sources.fixtures import DUCK_WITH, invoice_rows, invoices, lines
@@ -225,6 +225,18 @@ def spec_gates(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "supplier").select(state.alias("gate")).groupBy("gate").agg(F.count(F.lit(1)).alias("suppliers"))
 
 
+def dim_insert_or_nothing(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers that lines name and the dimension lacks, each once."""
+    known = _table(spark, d, "supplier").where("s_nationkey % 2 = 0").select(F.col("s_suppkey").alias("supplier"))
+    return insert_or_nothing(_table(spark, d, "lineitem").select(F.col("l_suppkey").alias("supplier")), known, ["supplier"])
+
+
+def finding_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Facts as they go to the anonymised store, counted by what they hold: no value, no document."""
+    facts = evaluate.facts(_found(_profiled(spark, d)), F.col("custkey").cast("string"))
+    return facts.groupBy("ruleId", "failureClass", "outcome", "valueShape.regexClass").agg(F.count(F.lit(1)).alias("facts"), F.count_distinct("recurrenceKey").alias("keys"))
+
+
 def fix_effort(spark: SparkSession, d: str) -> DataFrame:
     """Orders taken as fixes: action by priority, effort by the lines, recurred where a line was returned."""
     lines_of = _table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("effort"), F.bool_or(F.col("l_returnflag") == "R").alias("recurred"))
@@ -260,7 +272,7 @@ def golden_details(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = (
-    mapping_sources, spec_gates, fix_effort, retention_tables, return_divergence, golden_details, format_dispatch, pending_runs, doc_identifiers, run_statuses, entity_invoices, rule_owners, unused_code_lists, ruleset_identity, catalogue_gaps, finding_groups, fired_twice, stored_outcomes, audit_result,
+    mapping_sources, spec_gates, dim_insert_or_nothing, finding_facts, fix_effort, retention_tables, return_divergence, golden_details, format_dispatch, pending_runs, doc_identifiers, run_statuses, entity_invoices, rule_owners, unused_code_lists, ruleset_identity, catalogue_gaps, finding_groups, fired_twice, stored_outcomes, audit_result,
     rule_coverage, profile_balance, ubl_findings, validated_summary, ubl_terms, voucher_documents, voucher_defects,
 )
 
@@ -293,6 +305,9 @@ t2 AS (SELECT k, count(*) AS n, sum(net) AS net, count(DISTINCT rate) > 1 AS mul
     return {
         "mapping_sources": f"{DUCK_WITH} " + " UNION ALL ".join(f"SELECT '{t}' AS term, '{source}' AS source, count(*) FILTER (WHERE {there}) AS present, count(*) FILTER (WHERE NOT ({there})) AS absent FROM invoices" for t, (source, there) in sources.items()),
         "spec_gates": "SELECT CASE WHEN s_acctbal < 0 THEN 'quarantined' WHEN s_suppkey % 3 = 0 THEN 'unresolved' WHEN s_suppkey % 2 <> 1 THEN 'version_mismatch' ELSE 'usable' END AS gate, count(*) AS suppliers FROM supplier GROUP BY 1",
+        "dim_insert_or_nothing": "SELECT DISTINCT l_suppkey AS supplier FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey % 2 = 0)",
+        "finding_facts": f"{rows}, w AS (SELECT k, bool_or(outcome = 'fail') AS bad FROM hit GROUP BY 1), c AS (SELECT h.*, d.custkey, {shape.format('v')} AS cls, CASE WHEN severity = 'warning' THEN 'warn' WHEN bad THEN 'fail' ELSE h.outcome END AS o FROM hit h JOIN w USING (k) JOIN doc d ON d.k = h.k) "
+                         "SELECT rule_id AS \"ruleId\", failure_class AS \"failureClass\", o AS outcome, cls AS \"regexClass\", count(*) AS facts, count(DISTINCT sha256(concat(custkey, chr(31), rule_id, chr(31), coalesce(term, ''), chr(31), coalesce(cls, 'no-shape')))) AS keys FROM c GROUP BY ALL",
         "fix_effort": "WITH l AS (SELECT l_orderkey, sum(l_quantity) AS effort, bool_or(l_returnflag = 'R') AS recurred FROM lineitem GROUP BY 1) SELECT o_orderpriority AS action, count(*) AS fixes, median(effort) AS median_effort, round(avg(CASE WHEN recurred THEN 1.0 ELSE 0.0 END), 6) AS recurrence_rate FROM orders JOIN l ON o_orderkey = l_orderkey GROUP BY 1 HAVING count(*) >= 3",
         "retention_tables": " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) FILTER (WHERE {e} > TIMESTAMP '1995-01-15') AS kept, count(*) FILTER (WHERE NOT {e} > TIMESTAMP '1995-01-15') AS purged FROM {t}" for t, e in (("orders", "o_orderdate + INTERVAL 90 DAY"), ("lineitem", "CAST(CAST(l_shipdate AS DATE) + INTERVAL 84 MONTH AS DATE)"), ("events", "ts + INTERVAL 5 DAY - INTERVAL 29 YEAR"))),
         "return_divergence": f"{DUCK_WITH}, i AS (SELECT k, {months} AS period, CAST(line_sum * 100 AS BIGINT) AS a, root = 'CreditNote' AS credit FROM invoices) SELECT k AS ref, CASE WHEN k % 12 = 5 THEN 'invoice_not_in_return' WHEN credit AND k % 8 = 0 THEN 'credit_note_timing' WHEN k % 15 = 0 THEN 'return_exceeds_invoices' END AS divergence FROM i WHERE k % 12 = 5 OR (credit AND k % 8 = 0) OR k % 15 = 0",
