@@ -17,6 +17,9 @@ leaves other texts as they are.
 
 from __future__ import annotations
 
+import base64
+import hashlib
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -53,26 +56,25 @@ PROSE = "the must that required patience word minimum someone none a They it is
 
 
 def labelled(spark: SparkSession, each: int = 48) -> DataFrame:
-    """before, candidate, after and label of ``each`` findings of each kind, always the same."""
-    i = F.col("i")
-    hexes = lambda kind: F.sha2(F.concat(F.lit(f"{kind}:"), i.cast("string")), 256)
-    b64 = lambda kind: F.base64(F.unhex(hexes(kind)))
-    alnum = lambda kind, n: F.substring(F.translate(F.concat(b64(kind), b64(f"{kind}'")), "+/=", "xYz"), 1, n)
-    digits = lambda kind, n: F.substring(F.translate(hexes(kind), "abcdef", "012345"), 1, n)
-    pick = lambda values, shift=0: F.element_at(F.array(*map(F.lit, values)), ((i + shift) % len(values) + 1).cast("int"))
-    words, prose = WORDS.split(), PROSE.split()
-    uuid = F.concat_ws("-", *[F.substring(hexes("uuid"), at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
-    number = i.cast("string")
-    keys = [F.substring(hexes("hex40"), 1, 40), F.substring(hexes("hex32"), 1, 32), hexes("hex64"), b64("b64"), alnum("any", 40), alnum("short", 20), F.concat(F.lit("sk_live_"), alnum("sk", 24)), F.concat(F.lit("ghp_"), alnum("gh", 36)),
-            F.concat(F.lit("AKIA"), F.upper(alnum("ak", 16))), F.concat(F.lit("xoxb-"), digits("x1", 12), F.lit("-"), alnum("x2", 12)), F.concat(F.lit("eyJhbGciOi"), alnum("jwt", 40))]
-    values = [F.concat(pick(words), digits("pw", 2)), F.concat_ws(" ", pick(words), pick(words, 5), pick(words, 9), pick(words, 13)), F.concat(F.initcap(pick(words)), F.lit("!"), digits("pz", 3), F.lit("x")), alnum("pin", 8), pick(words, 3), F.concat(pick(words), F.lit("@"), pick(words, 7))]
-    others = [F.substring(hexes("o40"), 1, 40), F.substring(hexes("o32"), 1, 32), hexes("o64"), digits("n16", 16), digits("n20", 20), digits("n24", 24), uuid, F.concat_ws("-", F.lit("release"), digits("d", 4), pick(words), pick(words, 4), F.lit("1")),
-              F.concat_ws("/", F.lit("news"), digits("y", 4), pick(words), F.concat_ws("-", pick(words, 2), pick(words, 6), number)), F.concat(F.lit("/usr/share/"), pick(words), F.lit("/"), pick(words, 8), F.lit("-2-"), number), F.concat_ws("_", F.lit("section"), pick(words), F.lit("number"), number),
-              F.concat(F.repeat(pick(["=", "-", "_"]), 14), F.lit("2024")), F.concat(F.lit("2024-01-15T10-30-"), digits("t", 2), F.lit("Z"))]
-    prosaic = [pick(prose), F.concat_ws(" ", *[pick(prose, x) for x in (1, 4, 6, 9, 11, 2, 7)]), pick(prose, 8)]
-    rows = [(v, SECRET_LEADS, SECRET_TAILS, 1.0) for v in keys] + [(v, NAMED_LEADS, SECRET_TAILS, 1.0) for v in values] + [(v, OTHER_LEADS, OTHER_TAILS, 0.0) for v in others] + [(v, PROSE_LEADS, OTHER_TAILS, 0.0) for v in prosaic]
-    made = F.array(*[F.struct(pick(leads, n).alias("before"), v.cast("string").alias("candidate"), F.when((i + n) % 2 == 0, pick(tails, n)).otherwise("").alias("after"), F.lit(label).alias("label")) for n, (v, leads, tails, label) in enumerate(rows)])
-    return spark.range(each).withColumnRenamed("id", "i").select(F.explode(made).alias("x")).select("x.*")
+    """before, candidate, after and label of ``each`` findings of each kind, always the same (a few thousand rows at most)."""
+    words, prose, rows = WORDS.split(), PROSE.split(), []
+    for i in range(each):
+        raw = lambda kind: hashlib.sha256(f"{kind}:{i}".encode()).digest()  # noqa: B023, E731
+        hexes = lambda kind, n=64: raw(kind).hex()[:n]  # noqa: B023, E731
+        b64 = lambda kind: base64.b64encode(raw(kind)).decode()  # noqa: B023, E731
+        alnum = lambda kind, n: (b64(kind) + b64(f"{kind}'")).translate(str.maketrans("+/=", "xYz"))[:n]  # noqa: B023, E731
+        digits = lambda kind, n: hexes(kind, n).translate(str.maketrans("abcdef", "012345"))  # noqa: B023, E731
+        pick = lambda values, shift=0: values[(i + shift) % len(values)]  # noqa: B023, E731
+        keys = [hexes("hex40", 40), hexes("hex32", 32), hexes("hex64"), b64("b64"), alnum("any", 40), alnum("short", 20), "sk_live_" + alnum("sk", 24), "ghp_" + alnum("gh", 36),
+                "AKIA" + alnum("ak", 16).upper(), f"xoxb-{digits('x1', 12)}-{alnum('x2', 12)}", "eyJhbGciOi" + alnum("jwt", 40)]
+        values = [pick(words) + digits("pw", 2), " ".join(pick(words, x) for x in (0, 5, 9, 13)), f"{pick(words).title()}!{digits('pz', 3)}x", alnum("pin", 8), pick(words, 3), f"{pick(words)}@{pick(words, 7)}"]
+        uuid = "-".join(hexes("uuid")[x:y] for x, y in ((0, 8), (8, 12), (12, 16), (16, 20), (20, 32)))
+        others = [hexes("o40", 40), hexes("o32", 32), hexes("o64"), digits("n16", 16), digits("n20", 20), digits("n24", 24), uuid, f"release-{digits('d', 4)}-{pick(words)}-{pick(words, 4)}-1", f"news/{digits('y', 4)}/{pick(words)}/{pick(words, 2)}-{pick(words, 6)}-{i}",
+                  f"/usr/share/{pick(words)}/{pick(words, 8)}-2-{i}", f"section_{pick(words)}_number_{i}", pick("=-_") * 14 + "2024", f"2024-01-15T10-30-{digits('t', 2)}Z"]
+        prosaic = [pick(prose), " ".join(pick(prose, x) for x in (1, 4, 6, 9, 11, 2, 7)), pick(prose, 8)]
+        kinds = [(v, SECRET_LEADS, SECRET_TAILS, 1.0) for v in keys] + [(v, NAMED_LEADS, SECRET_TAILS, 1.0) for v in values] + [(v, OTHER_LEADS, OTHER_TAILS, 0.0) for v in others] + [(v, PROSE_LEADS, OTHER_TAILS, 0.0) for v in prosaic]
+        rows += [(pick(leads, n), v, pick(tails, n) if (i + n) % 2 == 0 else "", label) for n, (v, leads, tails, label) in enumerate(kinds)]
+    return spark.createDataFrame(rows, "before string, candidate string, after string, label double")
 
 
 FEATURES = ["length", "switches", "switch_rate", "digits", "uppers", "signs", "distinct_chars", "vowels", "covered", "is_path", "is_number", "is_hex", "assigned", "quoted", "near_secret", "near_other", "secret_behind", "other_behind"]
@@ -132,7 +134,7 @@ def features(found: DataFrame) -> DataFrame:
     })
 
 
-def train(spark: SparkSession, findings: DataFrame | None = None, trees: int = 32, depth: int = 8) -> RandomForestClassificationModel:
+def train(spark: SparkSession, findings: DataFrame | None = None, trees: int = 24, depth: int = 6) -> RandomForestClassificationModel:
     """findings: labelled findings of one's own (before, candidate, after, label), beside those of ``labelled``."""
     columns = ["before", "candidate", "after", "label"]
     rows = labelled(spark).select(columns)
