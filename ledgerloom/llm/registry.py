@@ -12,6 +12,7 @@ from .html_extract import op3_html_extract
 from .near_dedup import op2_near_dedup
 from .order_minhash import op8_order_minhash
 from .packing import op7_packing
+from .prefix_trie import op11_prefix_trie
 from .quality import op5_quality
 from .secret_scan import op4_secret_scan
 from .vector_search import op10_top_k
@@ -59,6 +60,21 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * C
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op11_prefix_trie": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT conv_id, turn, sha256(octet_length(encode(role)) || ':' || role || text)[:32] || printf('%08X', len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) AS id FROM t),
+own AS (SELECT conv_id, list(id ORDER BY turn NULLS FIRST, id) AS l, [4294967295] || list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda k: CAST(ascii(substr(CAST(conv_id AS VARCHAR), CAST(k AS INT), 1)) AS BIGINT)) AS b FROM i GROUP BY conv_id),
+h AS (SELECT conv_id, l, xor(list_reduce(b, lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)), 4294967295) % 4 AS h FROM own),
+r AS (SELECT a.conv_id, list_concat(list_slice(coalesce(b.l, []), 1, a.h), list_slice(a.l, a.h + 1, len(a.l))) AS l FROM h a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 20),
+p AS (SELECT conv_id, len(l) AS n, d, list_slice(l, 1, d) AS ids FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM r)),
+n AS (SELECT ids, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256,
+             CASE WHEN d = 0 THEN 0 ELSE CAST('0x' || any_value(ids[d])[33:] AS BIGINT) END AS words FROM p GROUP BY ids, d),
+k AS (SELECT list_slice(ids, 1, d - 1) AS ids, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON n.d = k.d AND n.ids = k.ids),
+s AS (SELECT list_slice(ids, 1, a) AS ids, a AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM f) GROUP BY ALL)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN s ON s.d = f.d AND s.ids = f.ids LEFT JOIN n u ON u.d = f.d - 1 AND u.ids = list_slice(f.ids, 1, f.d - 1)
 """,
 }
 
@@ -79,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_order_minhash": _documents(op8_order_minhash),
         "op9_byte_bpe": _documents(op9_byte_bpe),
         "op10_top_k": _documents(op10_top_k, "embeddings"),
+        "op11_prefix_trie": _documents(op11_prefix_trie, "conversations"),
     }
 
 
