@@ -15,6 +15,7 @@ from .packing import op7_packing
 from .prefix_trie import op11_prefix_trie
 from .quality import op5_quality
 from .secret_scan import op4_secret_scan
+from .source_audit import op12_source_audit
 from .vector_search import op10_top_k
 from .warc_zip import op6_warc_zip
 from .substring_dedup import op1_substring_dedup
@@ -75,6 +76,22 @@ f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON n.
 s AS (SELECT list_slice(ids, 1, a) AS ids, a AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM f) GROUP BY ALL)
 SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
 FROM f JOIN s ON s.d = f.d AND s.ids = f.ids LEFT JOIN n u ON u.d = f.d - 1 AND u.ids = list_slice(f.ids, 1, f.d - 1)
+""",
+    "op12_source_audit": r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS rid,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS (SELECT lang, source, rid, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+c AS (SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n FROM g JOIN k ON k.lang = g.lang LEFT JOIN o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+s AS (SELECT *, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER w + count(*) OVER w) AS p FROM c WINDOW w AS (PARTITION BY lang, source)),
+l AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER w + count(*) OVER w) AS q FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL) WINDOW w AS (PARTITION BY lang)),
+a AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM s x JOIN s y ON y.lang = x.lang AND y.term = x.term AND y.source <> x.source GROUP BY ALL),
+pair AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(a.value, 0) AS value FROM g x JOIN g y ON y.lang = x.lang AND y.source <> x.source LEFT JOIN a ON a.lang = x.lang AND a.source = x.source AND a.item = y.source),
+term AS (SELECT s.lang, s.source, 'term' AS part, s.term AS item, (p - q) * (p - q) // q AS value FROM s JOIN l ON l.lang = s.lang AND l.term = s.term WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)) WHERE part = 'pair' OR rank <= 200
 """,
 }
 
@@ -96,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_byte_bpe": _documents(op9_byte_bpe),
         "op10_top_k": _documents(op10_top_k, "embeddings"),
         "op11_prefix_trie": _documents(op11_prefix_trie, "conversations"),
+        "op12_source_audit": _documents(op12_source_audit),
     }
 
 
