@@ -10,6 +10,7 @@ from .byte_bpe import op9_byte_bpe
 from .common import load
 from .html_extract import op3_html_extract
 from .near_dedup import op2_near_dedup
+from .ngram_join import op13_ngram_join
 from .order_minhash import op8_order_minhash
 from .packing import op7_packing
 from .prefix_trie import op11_prefix_trie
@@ -92,6 +93,16 @@ pair AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(a.v
 term AS (SELECT s.lang, s.source, 'term' AS part, s.term AS item, (p - q) * (p - q) // q AS value FROM s JOIN l ON l.lang = s.lang AND l.term = s.term WHERE n > 0 AND p > q)
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)) WHERE part = 'pair' OR rank <= 200
+""",
+    "op13_ngram_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+inter AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM inter JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT c.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id FROM c LEFT JOIN n USING (doc_id)
 """,
 }
 
@@ -114,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_top_k": _documents(op10_top_k, "embeddings"),
         "op11_prefix_trie": _documents(op11_prefix_trie, "conversations"),
         "op12_source_audit": _documents(op12_source_audit),
+        "op13_ngram_join": _documents(op13_ngram_join),
     }
 
 
