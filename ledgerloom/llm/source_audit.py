@@ -34,7 +34,7 @@ from .common import column_bytes, materialize, shuffle_partitions
 from .transducer import Transducer
 
 _TERM = re.compile(rb"[a-z\x80-\xff]+")  # of lower-cased bytes: ASCII letters and all beyond ASCII
-_HELD = 300_000  # entries that a task holds before it hands them on
+_HELD = 600_000  # entries that a task holds before it hands them on
 SCALE = 1_000_000_000
 CELLS = 4_000_000
 
@@ -124,7 +124,8 @@ def _runs(batches: Iterator[pa.RecordBatch], route: dict[str, tuple[list[bytes],
 
 
 def _recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each transducer comes before its runs, the runs of one source together; gives what each source has of each place."""
+    """Each transducer comes before its runs, the runs of one source together; gives what each source has of each place. Runs
+    beside each other walk together."""
     machine, at, total = None, None, None
 
     def give() -> Iterator[pa.RecordBatch]:
@@ -134,17 +135,28 @@ def _recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([lang] * len(place), pa.string()), pa.array([source] * len(place), pa.string()), pa.array(np.full(len(place), block)), pa.array(place.astype(np.int32)), pa.array(total[place])], names=["lang", "source", "block", "place", "n"])
 
     for b in batches:
-        for lang, block, source, terms, counts in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4, 5))):
-            if counts is None:
+        langs, blocks, sources, terms, counts = (b.column(i).to_pylist() for i in (0, 1, 3, 4, 5))
+        i = 0
+        while i < len(langs):
+            if counts[i] is None:
                 yield from give()
-                machine, at = Transducer.loads(terms), None
+                machine, at, i = Transducer.loads(terms[i]), None, i + 1
                 continue
-            if at != (lang, block, source):
-                yield from give()
-                at, total = (lang, block, source), np.zeros(machine.size, np.int64)
-            place = machine.ordinals(terms)
-            known = place >= 0
-            total[place[known]] += np.frombuffer(counts, np.int64)[known]  # the terms of one run are distinct
+            j, size = i, 0
+            while j < len(langs) and counts[j] is not None and size < 4 << 20:
+                size, j = size + len(terms[j]), j + 1
+            place, n = machine.ordinals(b" ".join(terms[i:j])), np.frombuffer(b"".join(counts[i:j]), np.int64)
+            lo = 0
+            while i < j:
+                hi, here = lo, (langs[i], blocks[i], sources[i])
+                while i < j and here == (langs[i], blocks[i], sources[i]):
+                    hi, i = hi + len(counts[i]) // 8, i + 1
+                if at != here:
+                    yield from give()
+                    at, total = here, np.zeros(machine.size, np.int64)
+                known = np.flatnonzero(place[lo:hi] >= 0) + lo
+                np.add.at(total, place[known], n[known])
+                lo = hi
     yield from give()
 
 
