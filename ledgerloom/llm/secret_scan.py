@@ -2,14 +2,16 @@
 
 Candidates are runs of 16 or more key characters with at least one digit, found in the words of each text, and values of
 any length and any characters that are quoted or assigned after a word that names a secret (``password = "..."``,
-``pwd: ...``, ``secret "..."``), passphrases in quotes included; such a value is one candidate, whatever runs it holds. Features:
+``pwd: ...``, ``secret "..."``), passphrases in quotes included. A run that holds such a name and value is left to the value; a
+run inside a longer quoted value is a candidate beside it. A secret of letters alone is found only behind a name. Features:
 length, character transitions, classes and distinct characters, dictionary coverage, path, assignment and the words
 before and behind. The forest learns from a table of labelled findings: ``labelled`` draws one of a fixed number of rows
 from kinds of secrets and of harmless values whose label the kind and its surroundings give; findings of one's own are
 added to it. The corpus itself labels nothing. Candidates are found once and written to the shared folder.
 
 Defined results: null and empty texts have no candidates; repeated rows are scanned each by itself; a candidate that
-occurs several times is found each time; a very long text is scanned whole; an empty table gives an empty result; other
+occurs several times is found each time, so ties are rows of their own; a very long text is scanned whole, in time that grows
+with its length (each match carries its own surroundings, never the text); an empty table gives an empty result; other
 columns are ignored, or carried along by redaction, which replaces every occurrence of a secret in its text by ``[SECRET]``
 (values after a name that are under 8 characters, have a blank or no digit: those behind the same name and signs) and
 leaves other texts as they are.
@@ -23,11 +25,12 @@ import hashlib
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
+CONTEXT = 120  # characters in front of a value that its features look at
 CANDIDATE = r"(?=[A-Za-z_+/=-]*[0-9])[A-Za-z0-9_+/=-]{16,}"
 # Words that name secrets, words that name harmless identifiers, common words.
 NAMES_SECRET = "token|secret|password|passwd|pwd|apikey|api_key|api-key|access_key|auth|bearer|credential|private_key"
@@ -88,18 +91,24 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(NAMED))
-    found = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(NAMED), F.lit(i)).alias(f"g{i}") for i in range(5)])
-    rows = rows.select("doc_id", F.xxhash64("text").alias("tk"), F.split("text", NAMED, -1).alias("between"), F.regexp_extract_all("text", F.lit(NAMED), F.lit(0)).alias("all"), F.posexplode(found).alias("j", "m"))
-    value = F.concat("m.g2", "m.g3", "m.g4")
-    signs = F.when(F.substring(F.col("m.g0"), F.length("m.g1") + 1, F.lit(1)).isin('"', "'"), 1).otherwise(0)
-    rows = rows.select("*", value.alias("candidate"), F.substring(F.col("m.g0"), F.lit(1), F.length("m.g1") + signs).alias("lead"))
-    front = F.concat(F.aggregate(F.sequence(F.lit(0), F.col("j")), F.lit(""), lambda t, i: F.concat(t, F.col("between")[i], F.when(i < F.col("j"), F.col("all")[i]).otherwise(""))), "lead")
-    behind = F.substring(F.coalesce(F.get("between", F.col("j") + 1), F.lit("")), 1, 60)
-    rows = rows.select("doc_id", "tk", "j", "candidate", "lead", behind.alias("after"), F.split(front, r"\s+").alias("words"))
-    n = F.size("words")
-    before = F.concat_ws(" ", F.slice("words", F.greatest(n - 3, F.lit(1)), F.lit(4)))
-    rows = rows.select("doc_id", "tk", (n - 1).alias("word_no"), (-1 - F.col("j")).alias("part"), "candidate", before.alias("before"), "after", "lead")
+    """A row a match, which carries its own pieces of the text only; what stands before it comes from the matches before, of
+    which CONTEXT // 5 always hold CONTEXT characters (the shortest match has 5)."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(NAMED)).withColumn("row", F.monotonically_increasing_id())
+    found = F.arrays_zip(F.split("text", NAMED, -1).alias("between"), *[F.regexp_extract_all("text", F.lit(NAMED), F.lit(i)).alias(f"g{i}") for i in range(5)])
+    rows = rows.select("row", "doc_id", F.xxhash64("text").alias("tk"), F.posexplode(found).alias("j", "m")).select("row", "doc_id", "tk", "j", "m.*")
+    w = Window.partitionBy("row").orderBy("j")
+    gaps = lambda c: F.regexp_count(c, F.lit(r"\s+"))  # noqa: E731  no run of white space crosses from one piece to the next
+    tail = F.right(F.concat("between", F.coalesce("g0", F.lit(""))), F.lit(CONTEXT))
+    rows = rows.withColumns({"own": gaps(F.col("between")), "whole": gaps(F.col("between")) + gaps(F.coalesce("g0", F.lit("")))}).withColumns({
+        "gaps": F.coalesce(F.sum("whole").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("own"),
+        "front": F.array_join(F.collect_list(tail).over(w.rowsBetween(-(CONTEXT // 5), -1)), ""), "after": F.substring(F.coalesce(F.lead("between").over(w), F.lit("")), 1, 60),
+    })
+    value = F.concat("g2", "g3", "g4")
+    signs = F.when(F.substring(F.col("g0"), F.length("g1") + 1, F.lit(1)).isin('"', "'"), 1).otherwise(0)
+    rows = rows.where("g0 is not null").select("*", value.alias("candidate"), F.substring(F.col("g0"), F.lit(1), F.length("g1") + signs).alias("lead"))
+    words = F.split(F.concat(F.right(F.concat("front", "between"), F.lit(CONTEXT)), "lead"), r"\s+")
+    before = F.concat_ws(" ", F.slice(words, F.greatest(F.size(words) - 3, F.lit(1)), F.lit(4)))
+    rows = rows.select("doc_id", "tk", (F.col("gaps") + gaps(F.col("lead"))).cast("int").alias("word_no"), (-1 - F.col("j")).alias("part"), "candidate", before.alias("before"), "after", "lead")
     return rows.where(~(F.col("candidate").rlike(f"^{CANDIDATE}$") & F.col("lead").rlike("[^A-Za-z0-9_+/=-]$")))  # that is a run by itself
 
 
@@ -107,12 +116,12 @@ def _runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(CANDIDATE))
     rows = rows.select("doc_id", F.xxhash64("text").alias("tk"), F.split("text", r"\s+").alias("words"))
     at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.col("words")[i].rlike(CANDIDATE))
-    rows = rows.withColumn("word_no", F.explode(at))
-    first = F.greatest(F.col("word_no") - 3, F.lit(0))
-    rows = rows.select("doc_id", "tk", "word_no", F.col("words")[F.col("word_no")].alias("word"), F.concat_ws(" ", F.slice("words", first + 1, F.col("word_no") - first)).alias("front"), F.concat_ws(" ", F.slice("words", F.col("word_no") + 2, F.lit(3))).alias("behind"))
-    rows = rows.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))).alias("part", "candidate"))
-    before = F.concat_ws(" ", "front", F.expr("substring_index(word, candidate, 1)"))
-    after = F.concat_ws(" ", F.expr("substring(word, locate(candidate, word) + length(candidate))"), "behind")
+    first = lambda i: F.greatest(i - 3, F.lit(0))
+    near = lambda i: F.struct(i.alias("word_no"), F.col("words")[i].alias("word"), F.slice("words", first(i) + 1, i - first(i)).alias("front"), F.slice("words", i + 2, F.lit(3)).alias("behind"))
+    rows = rows.select("doc_id", "tk", F.explode(F.transform(at, near)).alias("x")).select("doc_id", "tk", "x.word_no", "x.word", F.concat_ws(" ", "x.front").alias("front"), F.concat_ws(" ", "x.behind").alias("behind"))
+    rows = rows.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))).alias("part", "candidate")).where(~F.col("candidate").rlike(NAMED))  # its value is a candidate
+    before = F.concat_ws(" ", "front", F.right(F.expr("substring_index(word, candidate, 1)"), F.lit(CONTEXT)))
+    after = F.concat_ws(" ", F.left(F.expr("substring(word, locate(candidate, word) + length(candidate))"), F.lit(CONTEXT)), "behind")
     return rows.select("doc_id", "tk", "word_no", "part", "candidate", before.alias("before"), after.alias("after"))
 
 

@@ -44,3 +44,22 @@ def test_findings_of_ones_own(spark):
     own = spark.createDataFrame([("ticket", f"TCK-{i:014d}x", "", 1) for i in range(200)], "before string, candidate string, after string, label int")
     docs = spark.createDataFrame([(1, "ticket TCK-00000000009999x open")], "doc_id long, text string")
     assert not find_secrets(docs).first().secret and find_secrets(docs, own).first().secret
+
+
+def test_many_names_in_one_text_take_time_in_proportion(spark):
+    """1 MB with 20,000 named values, and the word numbers and surroundings of a shorter one by a plain version."""
+    import time
+
+    text = " ".join(f"token=abc{i:08d}x and some words here" for i in range(20_000)) + " pwd=a,pwd=b" * 50
+    begin = time.time()
+    found = candidates(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert time.time() - begin < 60 and len(found) == 20_050 and len(text) > 700_000
+    assert not any(r.candidate.startswith("token=") for r in found)  # the value, not the run with its name
+    short = 'x  token=abc00000001x and  pwd: "one two" \n secret "s" pwd=a,pwd=b;pwd=c end'
+    got = sorted((r.word_no, r.candidate, r.before) for r in candidates(spark.createDataFrame([(1, short)], "doc_id long, text string")).where("lead is not null").collect())
+    want = []
+    for value, lead in (("abc00000001x", "token="), ("one two", 'pwd: "'), ("s", 'secret "'), ("a,pwd=b;pwd=c", " pwd=")):
+        front = short[: short.index(lead + value) + len(lead)]
+        words = re.split(r"\s+", front)
+        want.append((len(words) - 1, value, " ".join(words[-4:])))
+    assert got == sorted(want)
