@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,40 +15,59 @@ from ..plans.rules import DEFAULT, Rule, check
 
 
 def _fired(rules: list[Rule], applies: dict[str, Column]) -> Column:
-    """Fired rules of a row as an array with NULLs. A predicate that is NULL fires as ``no_verdict``, never as a pass."""
+    """Numbers of a row's fired rules as an array with NULLs: twice the place in ``rules``, and one more where the predicate is NULL,
+    which fires without a verdict, never as a pass."""
     fired = []
-    for r in rules:
-        if r.grain not in applies:
-            continue
-        holds = r.satisfied()
-        verdict = F.when(holds.isNull(), "no_verdict").when(~holds, "warn" if r.severity == "warning" else "fail")
-        value = F.col(r.value).cast("string") if r.value else F.lit(None).cast("string")
-        fired.append(F.when(applies[r.grain] & F.coalesce(~holds, F.lit(True)), F.struct(
-            F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.term).cast("string").alias("term"), F.lit(r.failure).alias("failure_class"),
-            verdict.alias("outcome"), value.alias("value"), F.lit(r.expected).alias("expected"), F.lit(r.grain).alias("grain"),
-        )))
+    for n, r in enumerate(rules):
+        if r.grain in applies:
+            holds = r.satisfied()
+            fired.append(F.when(applies[r.grain] & holds.isNull(), 2 * n + 1).when(applies[r.grain] & ~holds, 2 * n))
     return F.array(*fired)
 
 
-def _exploded(rows: DataFrame, fired: Column, node: Column, key: str, keep: tuple[str, ...]) -> DataFrame:
-    hit = rows.select(key, *keep, node.cast("int").alias("node"), F.explode(fired).alias("x")).where("x is not null").select(key, *keep, "node", "x.*")
-    said = message(F.col("expected"), F.col("value"))
-    node = F.when(F.col("grain") == "line", F.col("node")).otherwise(0)
-    return hit.select(key, *keep, node.alias("node"), "grain", "rule_id", "severity", "term", "failure_class", "outcome", value_shape(F.col("value")).alias("shape"), said.alias("message"))
+def rule_table(rules: list[Rule], values: list[str], **more: list[int]) -> Column:
+    """The rules as a constant array of structs; ``value`` is the place of the rule's column in ``values``, from 1 (0: none)."""
+    extra = lambda n: [F.lit(x[n]).alias(name) for name, x in more.items()]
+    return F.array(*[F.struct(
+        F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.term).cast("string").alias("term"), F.lit(r.failure).alias("failure_class"), F.lit(r.expected).alias("expected"), F.lit(r.grain).alias("grain"),
+        F.lit(values.index(r.value) + 1 if r.value else 0).alias("value"), *extra(n),
+    ) for n, r in enumerate(rules)])
+
+
+def value_columns(values: list[str]) -> list[Column]:
+    return [F.col(v).cast("string").alias(f"__v{i}") for i, v in enumerate(values)]
+
+
+def value_of(values: list[str], place: Column) -> Column:
+    """The value at ``place`` of ``values`` (from 1; 0: NULL), of rows that carry ``value_columns``."""
+    return F.element_at(F.array(F.lit(None).cast("string"), *[F.col(f"__v{i}") for i in range(len(values))]), place + 1)
+
+
+def _exploded(rows: DataFrame, rules: list[Rule], applies: dict[str, Column], node: Column, key: str, keep: tuple[str, ...]) -> DataFrame:
+    """Small numbers are exploded; what a finding says of its rule is looked up for those that fired."""
+    values = sorted({r.value for r in rules if r.value and r.grain in applies})
+    table = rule_table([r if r.grain in applies else replace(r, value=None) for r in rules], values)
+    hit = rows.select(key, *keep, node.cast("int").alias("__node"), *value_columns(values), F.explode(F.array_compact(_fired(rules, applies))).alias("__code"))
+    hit = hit.withColumn("__rule", F.element_at(table, F.floor(F.col("__code") / 2).cast("int") + 1)).withColumn("__value", value_of(values, F.col("__rule.value")))
+    r, value = F.col("__rule"), F.col("__value")
+    outcome = F.when(F.col("__code") % 2 == 1, "no_verdict").when(r["severity"] == "warning", "warn").otherwise("fail")
+    place = F.when(r["grain"] == "line", F.col("__node")).otherwise(0)
+    names = ("rule_id", "severity", "term", "failure_class")
+    return hit.select(key, *keep, place.alias("node"), r["grain"].alias("grain"), *[r[n].alias(n) for n in names], outcome.alias("outcome"), value_shape(value).alias("shape"), message(r["expected"], value).alias("message"))
 
 
 def findings(rows: DataFrame, grain: str, rules: list[Rule] = DEFAULT, key: str = "k", keep: tuple[str, ...] = ()) -> DataFrame:
     """Fired rules of one grain: key, ``keep``, node, grain, rule_id, severity, term, failure_class, outcome, shape, message.
     All rules share one scan."""
     check(rules)
-    return _exploded(rows, _fired(rules, {grain: F.lit(True)}), F.col("line") if grain == "line" else F.lit(0), key, keep)
+    return _exploded(rows, rules, {grain: F.lit(True)}, F.col("line") if grain == "line" else F.lit(0), key, keep)
 
 
 def row_findings(rows: DataFrame, rules: list[Rule] = DEFAULT, key: str = "k", keep: tuple[str, ...] = ()) -> DataFrame:
     """Findings of all three grains over lines that carry their document's fields: document rules judge a document's
     first line, subtotal rules the first line of each tax category. One scan and one exchange serve all."""
     check(rules)
-    return _exploded(with_first(rows, key), _fired(rules, row_grains()), F.col("line"), key, keep)
+    return _exploded(with_first(rows, key), rules, row_grains(), F.col("line"), key, keep)
 
 
 def row_grains() -> dict[str, Column]:
@@ -61,11 +81,13 @@ def with_first(rows: DataFrame, key: str) -> DataFrame:
     return with_optional(rows if "first_of_category" in rows.columns else rows.withColumn("first_of_category", first))
 
 
-def node_findings(nodes: DataFrame, rules: list[Rule] = DEFAULT, key: str = "k", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Findings over rows that are one judged element each: ``grain`` and ``node`` say which, beside the document's fields."""
+def node_findings(nodes: DataFrame, rules: list[Rule] = DEFAULT, key: str = "k", keep: tuple[str, ...] = (), refusal: Rule | None = None) -> DataFrame:
+    """Findings over rows that are one judged element each: ``grain`` and ``node`` say which, beside the document's fields.
+    ``refusal`` judges rows of a grain of its own, so that refused documents take the same pass."""
     check(rules)
-    applies = {grain: F.col("grain") == grain for grain in ("document", "line", "subtotal")}
-    return _exploded(with_optional(nodes), _fired(rules, applies), F.col("node"), key, keep)
+    rules = [*rules, *([refusal] if refusal else [])]
+    applies = {grain: F.col("grain") == grain for grain in ("document", "line", "subtotal", *([refusal.grain] if refusal else []))}
+    return _exploded(with_optional(nodes), rules, applies, F.col("node"), key, keep)
 
 
 def with_optional(rows: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.shape import message, value_shape
 from ..plans.patterns import Context, Pattern, check_patterns
 from ..plans.rules import Rule
-from .evaluate import row_grains, with_first
+from .evaluate import row_grains, rule_table, value_columns, value_of, with_first
 
 FIRED, UNKNOWN, UNDETERMINED = 1, 2, 3
 
@@ -51,13 +51,11 @@ def ordered_findings(rows: DataFrame, of: tuple[Pattern, ...], rules: list[Rule]
     unless ``include_warnings`` is off. A rule without an answer, or in a context that cannot be decided, is ``no_verdict``."""
     judged = _judged(of, rules, applies)
     values = sorted({r.value for _, r, *_ in judged if r.value})
-    codes, table = [], []
-    for n, (place, r, claimed, unsure, holds) in enumerate(judged):
-        codes.append(F.when(unsure, n * 4 + UNDETERMINED).when(claimed & holds.isNull(), n * 4 + UNKNOWN).when(claimed & ~holds, n * 4 + FIRED))
-        table.append(F.struct(F.lit(place).alias("place"), F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.term).cast("string").alias("term"), F.lit(r.failure).alias("failure_class"), F.lit(r.expected).alias("expected"), F.lit(r.grain).alias("grain"), F.lit(values.index(r.value) + 1 if r.value else 0).alias("value")))
+    table = rule_table([r for _, r, *_ in judged], values, place=[place for place, *_ in judged])
+    codes = [F.when(unsure, n * 4 + UNDETERMINED).when(claimed & holds.isNull(), n * 4 + UNKNOWN).when(claimed & ~holds, n * 4 + FIRED) for n, (_, _, claimed, unsure, holds) in enumerate(judged)]
     node = F.col("line") if node is None else node
-    hit = rows.select(key, *keep, node.cast("int").alias("__node"), F.array(*[F.col(v).cast("string") for v in values]).alias("__values"), F.explode(F.array_compact(F.array(*codes))).alias("__code"))
-    hit = hit.withColumn("__rule", F.element_at(F.array(*table), F.floor(F.col("__code") / 4).cast("int") + 1))
+    hit = rows.select(key, *keep, node.cast("int").alias("__node"), *value_columns(values), F.explode(F.array_compact(F.array(*codes))).alias("__code"))
+    hit = hit.withColumn("__rule", F.element_at(table, F.floor(F.col("__code") / 4).cast("int") + 1))
     r = F.col("__rule")
     lost = F.col("__code") % 4 != FIRED
     outcome = F.when(lost, "no_verdict").when(r["severity"] == "warning", "warn").otherwise("fail")
@@ -69,7 +67,8 @@ def ordered_findings(rows: DataFrame, of: tuple[Pattern, ...], rules: list[Rule]
         before = order.rowsBetween(Window.unboundedPreceding, -1)
         hit = hit.withColumn("__over", F.max(lost | (r["severity"] != "warning")).over(before)).where(~F.coalesce("__over", F.lit(False)))
     hit = hit.withColumn("ordinal", F.row_number().over(order))
-    value = F.when(r["value"] > 0, F.element_at("__values", F.greatest(r["value"], F.lit(1))))
+    hit = hit.withColumn("__value", value_of(values, r["value"]))
+    value = F.col("__value")
     return hit.select(
         key, *keep, "ordinal", place.alias("node"), r["grain"].alias("grain"), r["rule_id"].alias("rule_id"), r["severity"].alias("severity"), r["term"].alias("term"), r["failure_class"].alias("failure_class"),
         outcome.alias("outcome"), value_shape(value).alias("shape"), message(r["expected"], value).alias("message"),

@@ -140,27 +140,30 @@ FIELDS = {
 
 
 def nodes(parsed: DataFrame) -> DataFrame:
-    """One row per judged element of each document that was not refused: the document, its lines and tax subtotals, each with
-    the document's fields. grain, node: what it is and its position."""
+    """One row per judged element of each document: the document, its lines and tax subtotals, each with the document's fields.
+    grain, node: what it is and its position. A refused document has one row of grain ``refused``, with the reason."""
     none = F.lit(None).cast("string")
     node = lambda grain, i, amount, category, unit, name: F.struct(F.lit(grain).alias("grain"), i.cast("int").alias("node"), amount.alias("amount"), category.alias("tax_category"), unit.alias("unit"), name.alias("item_name"))
     all_nodes = F.concat(
         F.array(node("document", F.lit(0), none, none, none, none)), F.transform("lines", lambda x: node("line", x["line"], x["amount"], x["tax_category"], x["unit"], x["item_name"])),
         F.transform("subtotals", lambda x, i: node("subtotal", i + 1, none, x["category"], none, none)),
     )
+    all_nodes = F.when(F.col("refused").isNull(), all_nodes).otherwise(F.array(node("refused", F.lit(0), none, none, none, none)))
     total = F.aggregate("lines", F.lit(0).cast("decimal(38,9)"), lambda a, x: (a + F.coalesce(to_decimal(x["amount"]), F.lit(0).cast("decimal(38,9)"))).cast("decimal(38,9)"))
     fields = [F.col("terms")[term].alias(name) for term, name in FIELDS.items()]
-    judged = parsed.where("refused is null")
-    return judged.select("k", "root", "customization_id", "profile_id", F.size("lines").alias("n_lines"), total.alias("line_sum"), *fields, F.explode(all_nodes).alias("x")).select("*", "x.*").drop("x")
+    return parsed.select("k", "root", "refused", "customization_id", "profile_id", F.size("lines").alias("n_lines"), total.alias("line_sum"), *fields, F.explode(all_nodes).alias("x")).select("*", "x.*").drop("x")
+
+
+#: Stands for the refusal of a document: it never has an answer.
+REFUSAL = Rule("refused", "refused", "fatal", None, "parse_error", None, lambda: F.lit(None).cast("boolean"), "a document that can be read")
 
 
 def judge(texts: DataFrame, rules: list[Rule] = DEFAULT) -> DataFrame:
     """k, root, rule_id, grain, node, outcome and message of each finding; a refused document has one row of outcome ``no_verdict``,
     whose rule_id is NULL and whose message is the reason."""
-    parsed = parse_ubl(texts)
-    found = node_findings(nodes(parsed), rules, keep=("root",)).select("k", "root", "rule_id", "grain", "node", "outcome", "message")
-    refused = parsed.where("refused is not null").select("k", "root", F.lit(None).cast("string").alias("rule_id"), F.lit("document").alias("grain"), F.lit(0).alias("node"), F.lit("no_verdict").alias("outcome"), F.col("refused").alias("message"))
-    return found.unionByName(refused)
+    found = node_findings(nodes(parse_ubl(texts)), rules, keep=("root", "refused"), refusal=REFUSAL)
+    grain = F.when(F.col("refused").isNull(), F.col("grain")).otherwise("document")
+    return found.select("k", "root", F.when(F.col("refused").isNull(), F.col("rule_id")).alias("rule_id"), grain.alias("grain"), "node", "outcome", F.coalesce("refused", "message").alias("message"))
 
 
 GOOD = {
