@@ -73,20 +73,6 @@ def test_copies_are_linked_over_restarts_and_never_written_twice(spark, tmp_path
     assert run(str(tmp_path / "lost")) == [*second, ("i", None), ("j", None)]  # all arrivals again, no row twice
 
 
-def test_state_ends_with_its_time_to_live(spark, tmp_path):
-    pytest.importorskip("google.protobuf")
-    import time
-
-    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
-    run = lambda: copies.follow_copies(deadlines.table_stream(spark, source), out, check, days=10, ttl_ms=1).awaitTermination()
-    put(spark, source, [("t", "x", "a", day(0)), ("t", "x", "b", day(1))], ARRIVAL)
-    run()
-    time.sleep(0.1)
-    put(spark, source, [("t", "x", "c", day(2))], ARRIVAL)
-    run()
-    assert sorted((r.file_id, r.copy_of) for r in spark.read.parquet(out).collect()) == [("a", None), ("b", "a"), ("c", None)]
-
-
 def test_sink_keeps_the_first_of_a_key_and_reads_only_the_months_it_needs(spark, tmp_path):
     path = str(tmp_path / "store")
     write = sinks.append_new(path, ["k"], "month", "n")
