@@ -181,9 +181,22 @@ def coverage(found: DataFrame, profiles: dict[str, list[Rule]], seen: DataFrame)
     return fate.rollup("profile").agg(*counts).withColumn("profile", F.coalesce("profile", F.lit("TOTAL")))
 
 
+def hash_tree(rows: DataFrame) -> DataFrame:
+    """One row: the digest of all hashes ``h``, whatever their order. Leaves are the hashes of one four-digit prefix, sorted; above
+    them are the 256 two-digit prefixes, then the root, so that no task holds more than its part (a 65,536th of the rows)."""
+    of = lambda df, digits: df.groupBy(F.substring("part", 1, digits).alias("part")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
+    leaves = of(rows.select(F.col("h").alias("part"), "h"), 4)
+    return of(of(leaves, 2), 0).select("h")
+
+
 def ruleset_hash(rules: DataFrame, lists: DataFrame) -> DataFrame:
     """Identity of a ruleset: a hash over its rules (rule_id, text) and code lists (list_id, code), whatever their order."""
-    line = lambda *c: F.sha2(F.concat_ws("\x1f", *c), 256)
-    of = lambda df, *c: df.select(line(*c).alias("h")).agg(F.array_join(F.array_sort(F.collect_list("h")), "").alias("all"))
-    both = of(rules, "rule_id", "text").select(F.col("all").alias("a")).crossJoin(of(lists, "list_id", "code").select(F.col("all").alias("b")))
-    return both.select(F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("\x1e", "a", "b"), 256)).alias("ruleset_hash"))
+    line = lambda kind, *c: F.sha2(F.concat_ws("\x1f", F.lit(kind), *c), 256).alias("h")
+    rows = rules.select(line("rule", "rule_id", "text")).union(lists.select(line("list", "list_id", "code")))
+    return hash_tree(rows).select(F.concat(F.lit("sha256:"), "h").alias("ruleset_hash"))
+
+
+def files_hash(files: DataFrame) -> DataFrame:
+    """The same of files as they are (path, content, as Spark's ``binaryFile`` gives them): their names and bytes."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return hash_tree(files.select(F.sha2(F.concat_ws("\x1f", name, F.sha2("content", 256)), 256).alias("h"))).select(F.concat(F.lit("sha256:"), "h").alias("ruleset_hash"))

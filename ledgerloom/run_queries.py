@@ -321,7 +321,7 @@ t2 AS (SELECT k, count(*) AS n, sum(net) AS net, count(DISTINCT rate) > 1 AS mul
         "entity_invoices": "SELECT n_name AS tenant, count(*) AS invoices FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 4 <> 0 GROUP BY 1",
         "rule_owners": "SELECT CASE WHEN right(p_brand, 1) <> '3' THEN p_brand END AS owner, count(*) AS files FROM part GROUP BY 1",
         "unused_code_lists": "SELECT profile, list_id FROM (SELECT DISTINCT p_brand AS profile, p_type AS list_id FROM part) p WHERE NOT EXISTS (SELECT 1 FROM part r WHERE r.p_brand = p.profile AND r.p_size <= 5 AND contains(concat('see ', r.p_type, '.gc for codes'), concat(p.list_id, '.gc')))",
-        "ruleset_identity": "WITH r AS (SELECT string_agg(h, '' ORDER BY h) AS a FROM (SELECT sha256(concat(p_partkey, chr(31), p_name)) AS h FROM part)), l AS (SELECT string_agg(h, '' ORDER BY h) AS b FROM (SELECT sha256(concat(p_brand, chr(31), p_type)) AS h FROM part GROUP BY p_brand, p_type)) SELECT concat('sha256:', sha256(concat(a, chr(30), b))) AS ruleset_hash FROM r, l",
+        "ruleset_identity": "WITH h AS (SELECT sha256(concat('rule', chr(31), p_partkey, chr(31), p_name)) AS h FROM part UNION ALL SELECT sha256(concat('list', chr(31), p_brand, chr(31), p_type)) FROM part GROUP BY p_brand, p_type), l AS (SELECT left(h, 4) AS p, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1), m AS (SELECT left(p, 2) AS p, sha256(string_agg(h, '' ORDER BY p)) AS h FROM l GROUP BY 1) SELECT concat('sha256:', sha256(string_agg(h, '' ORDER BY p))) AS ruleset_hash FROM m",
         "catalogue_gaps": f"{raw_found}, fired AS (SELECT DISTINCT rule_id FROM found WHERE rule_id < 'R-040' OR rule_id >= 'R-060'), known AS (SELECT unnest([{', '.join(repr(r.id) for r in pack('pint-ae'))}]) AS id) SELECT coalesce(id, rule_id) AS rule_id, CASE WHEN id IS NULL THEN 'unknown' WHEN rule_id IS NULL THEN 'silent' ELSE 'fired' END AS state FROM known FULL JOIN fired ON id = rule_id",
         "finding_groups": f"{rows} SELECT rule_id, term, failure_class, severity, {path} AS path, CASE WHEN CAST(length(v) AS VARCHAR) <> v THEN CAST(length(v) AS INT) END AS len, CASE WHEN {charset} <> v OR v = '' THEN {charset} END AS charset, {shape.format('v')} AS regex_class, count(*) AS affected FROM hit WHERE outcome = 'fail' GROUP BY ALL",
         "fired_twice": f"{rows} SELECT rule_id, times, count(*) AS documents FROM (SELECT k, rule_id, count(*) AS times FROM hit GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL",

@@ -65,6 +65,16 @@ def test_ruleset_hash(spark):
     assert insert_or_nothing(rules, rules.limit(30), ["rule_id"]).count() == 2
 
 
+def test_files_hash(spark, tmp_path):
+    hashes = []
+    for name, files in (("a", {"x.sch": b"1", "y.sch": b"2"}), ("b", {"y.sch": b"2", "x.sch": b"1"}), ("c", {"x.sch": b"2", "y.sch": b"1"}), ("d", {"x.sch": b"1"})):
+        (tmp_path / name).mkdir()
+        for file, content in files.items():
+            (tmp_path / name / file).write_bytes(content)
+        hashes.append(evaluate.files_hash(spark.read.format("binaryFile").load(str(tmp_path / name))).first()[0])
+    assert hashes[0] == hashes[1] and len(set(hashes)) == 3
+
+
 def test_access_log_and_normalise(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "tenant_id string, n int")
     assert [r.n for r in runs.tenant_read(df, "b", "me", "audit", f"{tmp_path}/log").collect()] == [2] and runs.tenant_read(df, None, "me", "audit", f"{tmp_path}/log").count() == 0
