@@ -2,17 +2,17 @@
 
 1. Each text gives its set of word shingles; texts of one set form a class, which one vertex stands for. A shingle is a
    62-bit hash, and the hash is the global order. Two sets that link share a shingle among the first
-   ``n - ceil(percent * n / 100) + 1`` of each, its prefix; half as many again are kept beside it.
+   ``n - ceil(percent * n / 100) + 1`` of each, its prefix; a quarter as many again are kept beside it.
 2. Hot shingles. A shingle that more than ``most`` classes have there is looked at first: these classes are paired with the
    most central one of them only, and confirmed links give homes, so that a large group of near copies becomes one
    home. A shingle of more than ``most`` homes (a licence, a shared passage) is hot, and moves to the end of the order.
 3. A set that is left with too few shingles for its prefix is read whole. Pairs of such sets have an order of their own, in
    which the shingles hot among them come last; other pairs go by the first order. Each pair is thus judged under one order.
-4. Join: a list holds the prefixes of all sets with one shingle in the prefix. They are stored in a tree (compressed paths,
-   with the sizes and homes below each node), and every set walks the tree of those before it. A walk shares the
-   partial overlap of all sets below a node, leaves a subtree when the overlap so far plus the shorter rest cannot reach
-   what the sizes below demand, when all below are of its own home, or when the pair met in an earlier list already. A
-   list with more than 4,096 stored sets is dealt over several trees, which every set of the list walks.
+4. Join: a list holds the prefixes, from one shingle on, of all sets with that shingle in the prefix and sizes that can
+   link. Those whose shingle stands early enough for the smaller set of a pair are stored in a tree (compressed paths, with the sizes, rests and homes below each node), and every set
+   of the list walks the tree of those before it. A walk shares the partial overlap of all sets below a node and leaves a subtree when
+   the overlap so far plus the shorter rest cannot reach what the sizes below demand, or when all below are of its own
+   home. A list with more than 4,096 stored sets is dealt over several trees, which every set of the list walks.
 5. Pairs that remain are confirmed on the full sets: first each set's best one of a list, then, of the others, those between
    different components. A link inside a component changes nothing, so no link is lost.
 
@@ -25,6 +25,7 @@ whole; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from array import array
 from collections.abc import Iterator
 
@@ -66,7 +67,7 @@ def _heads(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Ite
             head = []
             for s in sets:
                 k = prefix_length(len(s), percent)
-                head.append(s[: k + k // 2 + 8].tolist())
+                head.append(s[: k + k // 4 + 8].tolist())
             yield pa.record_batch([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(name, pa.binary()), pa.array(head, pa.list_(pa.int64()))], names=["doc_id", "tk", "n", "c", "head"])
 
 
@@ -79,8 +80,9 @@ def _whole(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Recor
 
 
 class PrefixTree:
-    """Sets by their ordered prefixes. A node: its path, its children by their first shingle, the least and the largest size
-    and the one home (None: several) below it, and the sets that end at it."""
+    """Sets by their ordered prefixes from one shingle on. A node: its path, its children by their first shingle, the least
+    and the largest size, the longest rest from that shingle on and the one home (None: several) below it, and the sets
+    that end at it."""
 
     def __init__(self, percent: int):
         self.percent = percent
@@ -88,40 +90,40 @@ class PrefixTree:
 
     @staticmethod
     def _node(path: array) -> list:
-        return [path, {}, 1 << 62, 0, ..., []]
+        return [path, {}, 1 << 62, 0, 0, ..., []]
 
     @staticmethod
-    def _note(node: list, n: int, home: int) -> None:
-        node[2], node[3] = min(node[2], n), max(node[3], n)
-        node[4] = home if node[4] is ... or node[4] == home else None
+    def _note(node: list, n: int, rest: int, home: int) -> None:
+        node[2], node[3], node[4] = min(node[2], n), max(node[3], n), max(node[4], rest)
+        node[5] = home if node[5] is ... or node[5] == home else None
 
-    def insert(self, prefix: array, v: int, n: int, home: int) -> None:
+    def insert(self, prefix: array, v: int, n: int, rest: int, home: int) -> None:
+        """rest: how many shingles of the set are not before ``prefix``."""
         node, at = self.root, 0
         while True:
-            self._note(node, n, home)
+            self._note(node, n, rest, home)
             kid = node[1].get(prefix[at]) if at < len(prefix) else None
             if kid is None:
                 if at < len(prefix):
                     kid = node[1][prefix[at]] = self._node(prefix[at:])
-                    self._note(kid, n, home)
+                    self._note(kid, n, rest, home)
                     node = kid
-                node[5].append((v, n, home))
+                node[6].append((v, n, rest, home))
                 return
             path, same = kid[0], 1
             while same < len(path) and at + same < len(prefix) and path[same] == prefix[at + same]:
                 same += 1
             if same < len(path):  # the path is cut where the set leaves it
                 upper = self._node(path[:same])
-                upper[2:5] = kid[2:5]
+                upper[2:6] = kid[2:6]
                 kid[0] = path[same:]
                 upper[1][kid[0][0]] = kid
                 node[1][path[0]] = upper
                 kid = upper
             node, at = kid, at + same
 
-    def walk(self, prefix: array, n: int, home: int, token: int) -> list[tuple[int, int]]:
-        """(v, overlap in the prefixes) of the stored sets of other homes that can still link, and that share no shingle
-        before ``token`` with this one."""
+    def walk(self, prefix: array, n: int, rest: int, home: int) -> list[tuple[int, int]]:
+        """(v, overlap in the prefixes) of the stored sets of other homes that can still link if they share nothing before."""
         place = {t: i for i, t in enumerate(prefix)}
         last, p = prefix[-1], self.percent
         least, most = -(-p * n // 100), n * 100 // p
@@ -129,7 +131,7 @@ class PrefixTree:
         stack = [(self.root, 0, 0, 0)]  # node, its shingles so far, common ones, own shingles up to the last common one
         while stack:
             node, seen, both, own = stack.pop()
-            if node[4] == home or node[2] > most or node[3] < least:
+            if node[5] == home or node[2] > most or node[3] < least:
                 continue
             need = -(-p * (n + max(node[2], least)) // (100 + p))
             beyond = alive = False
@@ -140,10 +142,8 @@ class PrefixTree:
                 i = place.get(t)
                 seen += 1
                 if i is not None:
-                    if t < token:
-                        break
                     both, own = both + 1, i + 1
-                if both + min(node[3] - seen, n - own) < need:
+                if both + min(node[4] - seen, rest - own) < need:
                     break
             else:
                 alive = True
@@ -152,9 +152,9 @@ class PrefixTree:
                 while below:
                     x = below.pop()
                     below += x[1].values()
-                    found += [(v, both) for v, m, h in x[5] if h != home and self._can(both, m - seen, n - len(prefix), n, m)]
+                    found += [(v, both) for v, m, r, h in x[6] if h != home and self._can(both, r - seen, rest - len(prefix), n, m)]
             elif alive:
-                found += [(v, both) for v, m, h in node[5] if h != home and self._can(both, m - seen, n - own, n, m)]
+                found += [(v, both) for v, m, r, h in node[6] if h != home and self._can(both, r - seen, rest - own, n, m)]
                 stack += [(kid, seen, both, own) for kid in node[1].values()]
         return found
 
@@ -167,18 +167,18 @@ def _join(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
     at, tree = None, None
     for b in batches:
         one, two, near = [], [], []
-        for turn, token, block, stored, v, n, home, prefix in zip(*(c.to_pylist() for c in b.columns)):
-            if at != (turn, token, block):
-                at, tree = (turn, token, block), PrefixTree(percent)
+        for turn, token, band, block, stored, v, n, pos, home, prefix in zip(*(c.to_pylist() for c in b.columns)):
+            if at != (turn, token, band, block):
+                at, tree = (turn, token, band, block), PrefixTree(percent)
             prefix = array("q", prefix)
-            found = tree.walk(prefix, n, home, token)
+            found = tree.walk(prefix, n, n - pos, home)
             best = max(found, key=lambda x: (x[1], -x[0]))[0] if found else None
             for other, _ in found:
                 one.append(min(v, other))
                 two.append(max(v, other))
                 near.append(other == best)
             if stored:
-                tree.insert(prefix, v, n, home)
+                tree.insert(prefix, v, n, n - pos, home)
         yield pa.record_batch([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(near, pa.bool_())], names=["a", "b", "near"])
 
 
@@ -246,17 +246,27 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, mos
     plain = state.where("not over").select(F.lit(1).alias("turn"), "v", "n", "home", "over", F.slice("cold", F.lit(1), k).alias("prefix"))
     prefixes = materialize(plain.union(both), "join-prefixes")
 
-    # lists, trees
-    stored = (F.col("turn") == 2) | ~F.col("over")
-    entries = prefixes.select("turn", "v", "home", stored.alias("stored"), F.explode("prefix").alias("token"))
-    lists = entries.groupBy("turn", "token").agg(F.count(F.lit(1)).alias("size"), F.count_if("stored").alias("kept"), F.min("home").alias("lo"), F.max("home").alias("hi"))
-    lists = materialize(lists.where("size > 1 and kept > 0 and lo <> hi").select("turn", "token", F.ceil(F.col("kept") / trees_of).cast("int").alias("trees")), "join-lists")
+    # lists, bands of size, trees. Of two sets that link, the smaller has their first common shingle early: only such entries are
+    # stored, but where sets that were read whole take part, which are never stored in the first order
+    early = (F.col("n") - F.col("pos")) * (100 + percent) >= 2 * percent * F.col("n")
+    entries = prefixes.select("turn", "v", "n", "home", "over", F.posexplode("prefix").alias("pos", "token")).withColumn("early", early)
+    plain = (F.col("turn") == 2) | ~F.col("over")
+    count = [F.count(F.lit(1)).alias("size"), F.count_if("early").alias("early"), F.min("home").alias("lo"), F.max("home").alias("hi")]
+    several = (F.col("size") > 1) & (F.col("early") > 0) & (F.col("kept") > 0) & (F.col("lo") != F.col("hi"))
+    lists = entries.groupBy("turn", "token").agg(*count, F.count_if(plain).alias("kept"))
+    lists = materialize(lists.where(several).select("turn", "token", (F.col("kept") < F.col("size")).alias("hard")), "join-lists")
+    live = materialize(entries.join(lists, ["turn", "token"]).withColumn("stored", plain & (F.col("early") | F.col("hard"))), "join-live")
+    band = F.floor(F.log("n") / (1.01 * math.log(100 / percent))).cast("int")  # sets that can link are in one band or in neighbours
+    visits = F.when(F.col("stored") | ~F.col("hard"), F.array(band, band - 1)).otherwise(F.array(band + 1, band, band - 1))
+    live = live.select("*", F.explode(visits).alias("band"), band.alias("own_band")).withColumn("stored", F.col("stored") & (F.col("band") == F.col("own_band")))
+    trees = live.groupBy("turn", "token", "band").agg(*count, F.count_if("stored").alias("kept")).where(several).select("turn", "token", "band", F.ceil(F.col("kept") / trees_of).cast("int").alias("trees"))
     own = F.when(F.col("stored"), F.pmod(F.xxhash64("v"), F.col("trees")).cast("int")).otherwise(F.lit(0))
-    entries = entries.join(lists, ["turn", "token"]).select("turn", "token", "v", "stored", own.alias("own"), F.explode(F.sequence(own, F.col("trees") - 1)).alias("tree"))
-    entries = entries.join(prefixes.select("turn", "v", "n", "home", "prefix"), ["turn", "v"])
+    dealt = live.join(trees, ["turn", "token", "band"]).select("turn", "token", "band", "v", "pos", "stored", own.alias("own"), F.explode(F.sequence(own, F.col("trees") - 1)).alias("tree"))
+    dealt = dealt.join(prefixes.select("turn", "v", "n", "home", "prefix"), ["turn", "v"])
     put = F.col("stored") & (F.col("tree") == F.col("own"))
-    entries = entries.select("turn", "token", "tree", put.alias("put"), "v", "n", "home", "prefix")
-    dealt = entries.repartition("turn", "token", "tree").sortWithinPartitions("turn", "token", "tree", F.desc("put"), "v")
+    tail = F.slice("prefix", F.col("pos") + 1, F.size("prefix"))
+    dealt = dealt.select("turn", "token", "band", "tree", put.alias("put"), "v", "n", "pos", "home", tail.alias("tail"))
+    dealt = dealt.repartition("turn", "token", "band", "tree").sortWithinPartitions("turn", "token", "band", "tree", F.desc("put"), "v")
     pairs = dealt.mapInArrow(lambda it: _join(it, percent), "a long, b long, near boolean").groupBy("a", "b").agg(F.max("near").alias("near"))
     pairs = materialize(pairs, "join-candidates")
 
