@@ -42,8 +42,21 @@ from .neighbours import with_neighbours
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BOILER = set("nav header footer aside form dialog menu".split())
 BLOCK = set("address article aside blockquote body br_ caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-MARKS = re.compile(r"(?:^|(?<=[\s_-]))(ad|ads|advert|advertisement|banner|breadcrumb|breadcrumbs|comment|comments|cookie|consent|footer|header|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo|related|share|sidebar|social|sponsor|sponsored|subscribe)(?=$|[\s_-])", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*|[^>]*)>|([^<]+|<)", re.S)
+MARKS = set("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie consent footer header menu modal nav navbar navigation newsletter notice popup promo related share sidebar social sponsor sponsored subscribe".split())
+PLACES = set("area article bar block bottom box button buttons container content desktop entry fixed form global group inner item items left links list main mobile outer page panel post posts primary right secondary section side site slot sticky top unit widget wrap wrapper".split())
+QUOTES = set("blockquote callout definition epigraph footnote note pullquote quote quotation tip".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+# Which open elements the start of another one ends, and inside which elements it does not reach out (HTML's rules of implied end tags).
+KINDS = {"p": "p", "li": "li", "dt": "dt", "dd": "dt", "td": "td", "th": "td", "tr": "tr", "tbody": "tbody", "thead": "tbody", "tfoot": "tbody"}
+ENDS_P = set("address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table ul".split())
+ENDS = {x: ("p",) for x in ENDS_P} | {"li": ("li", "p"), "dt": ("dt", "p"), "dd": ("dt", "p"), "td": ("td",), "th": ("td",), "tr": ("tr", "td"), "tbody": ("tbody", "tr", "td"), "thead": ("tbody", "tr", "td"), "tfoot": ("tbody", "tr", "td")}
+SHUTS = {x: ("li", "dt") for x in ENDS_P - {"address", "div", "p", "li", "dt", "dd", "hr"}} | {x: ("p", "li", "dt") for x in ("td", "th", "caption", "object")} | {"table": ("p", "li", "dt", "td", "tr", "tbody")}
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|$)"
+    r"|<!\[CDATA\[(?:[^<\]]|\](?!\]>)|<(?!!\[CDATA\[))*+\]\]>"
+    r"|<[!?][^<>]*+(?:>|(?=<))"
+    r"|<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>\"']|\"[^\"<]*+\"|'[^'<]*+')*+(?=>)|[^<>]*+)(?:>|(?=<))"
+    r"|([^<]+|<)", re.S)
 MUTE = "script style noscript template title textarea iframe svg select button".split()
 END = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in MUTE}
 CODE = {"script", "style"}
@@ -54,12 +67,36 @@ OUTSIDE, MAIN, LINKED = 0, 1, 2
 SPACE = re.compile(r"\s+")
 
 
+def _marked(attributes: str, article: bool) -> bool:
+    """Whether the attributes of an element say that it is not main text. A class or id does so where one of its names is made
+    of marks and of words for places only (``site-header``, not ``cookie-recipe``)."""
+    for a, x, y, z in ATTRIBUTE.findall(attributes):
+        a, value = a.lower(), (x or y or z).lower()
+        if a == "hidden" or (a == "aria-hidden" and value == "true") or (a == "role" and value in ROLES):
+            return True
+        if a in ("class", "id"):
+            for name in value.split():
+                parts = {x for x in re.split("[_-]+", name) if x}
+                if parts & (MARKS - {"header"} if article else MARKS) and parts <= MARKS | PLACES:
+                    return True
+    return False
+
+
+def _quotes(attributes: str) -> bool:
+    return any(not QUOTES.isdisjoint(re.split(r"[\s_-]+", (x or y or z).lower())) for a, x, y, z in ATTRIBUTE.findall(attributes) if a.lower() == "class")
+
+
 def page_lines(page: str) -> list[tuple[int, str]]:
-    """(MAIN, LINKED or OUTSIDE, text) of each block that may be main text, in page order. LINKED: a line of the article that is mostly links."""
+    """(MAIN, LINKED or OUTSIDE, text) of each block that may be main text, in page order. LINKED: a line of the article that is
+    mostly links. Takes time in proportion to the page: what is open is counted by name, and each element that another one ends
+    is known by its place."""
     out: list[tuple[int, str]] = []
     text: list[str] = []
-    stack: list[tuple[str, int, int]] = []  # element, depth of boilerplate and of articles inside it
-    boiler = main = linked = 0
+    stack: list[tuple] = []  # element, and as it stood before: depth of boilerplate, of forms in that, of articles, open elements by kind
+    count: dict[str, int] = {}
+    missing: set[str] = set()
+    boiler = forms = main = linked = 0
+    near: dict[str, int] = {}
     link = False
 
     def flush() -> None:
@@ -70,6 +107,13 @@ def page_lines(page: str) -> list[tuple[int, str]]:
         text.clear()
         linked = 0
 
+    def shut(at: int) -> None:
+        nonlocal boiler, forms, main, near
+        boiler, forms, main, near = stack[at][1:]
+        for x in stack[at:]:
+            count[x[0]] -= 1
+        del stack[at:]
+
     tokens = TOKEN.finditer(page)
     while (m := next(tokens, None)) is not None:
         close, name, attributes, words = m.groups()
@@ -89,36 +133,45 @@ def page_lines(page: str) -> list[tuple[int, str]]:
         if name in BLOCK or name in BOILER:
             flush()
         if close:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if at is not None:
-                boiler, main = stack[at][1:]
-                del stack[at:]
+            if name in KINDS:
+                at = near.get(KINDS[name], -1)
+                if at >= 0 and stack[at][0] == name:
+                    shut(at)
+            elif count.get(name):
+                shut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             continue
         if name in END:
             if not attributes.endswith("/"):  # what stands inside is not markup: go on at the closing tag itself
-                end = END[name].search(page, m.end())
-                if not end and name in CODE:
-                    end = AGAIN.search(page, m.end())
-                    if not end:
-                        break
+                end = None if name in missing else END[name].search(page, m.end())
+                if not end:
+                    missing.add(name)  # nor is there one further on
+                    if name in CODE:
+                        end = AGAIN.search(page, m.end())
+                        if not end:
+                            break
                 if end:
                     tokens = TOKEN.finditer(page, end.start())
             continue
+        ended = [near[x] for x in ENDS.get(name, ()) if near.get(x, -1) >= 0]
+        if ended:
+            shut(min(ended))
         if name in VOID or attributes.endswith("/"):
             continue
-        if name == "p" and stack and stack[-1][0] == "p":
-            boiler, main = stack.pop()[1:]
-        stack.append((name, boiler, main))
-        marked, headline = False, any(x[0] == "article" for x in stack)
-        if attributes.strip() and name not in ("html", "body", "article", "main"):
-            for a, x, y, z in ATTRIBUTE.findall(attributes):
-                value = x or y or z
-                a = a.lower()
-                marked |= a == "hidden" or (a == "aria-hidden" and value == "true") or (a == "role" and value.lower() in ROLES) or (a in ("class", "id") and any(not headline or x.lower() != "header" for x in MARKS.findall(value)))
-        if marked or (name in BOILER and not (headline and name == "header")):
+        stack.append((name, boiler, forms, main, near))
+        count[name] = count.get(name, 0) + 1
+        if name in SHUTS or name in KINDS:
+            near = near | dict.fromkeys(SHUTS.get(name, ()), -1)
+            if name in KINDS:
+                near[KINDS[name]] = len(stack) - 1
+        article = bool(count.get("article"))
+        marked = bool(attributes.strip()) and name not in ("html", "body", "article", "main") and name not in HEADINGS and _marked(attributes, article)
+        if marked or (name in BOILER and not (article and (name == "header" or (name == "aside" and _quotes(attributes))))):
             boiler += 1
-        if name in ("article", "main") and not boiler:
-            main += 1
+            forms += name == "form" and not marked
+        if name in ("article", "main"):
+            if boiler == forms:  # a form around the whole page hides no article
+                boiler = forms = 0
+            main += not boiler
     flush()
     return out
 

@@ -1,3 +1,4 @@
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -29,6 +30,34 @@ def test_broken_markup_loses_no_text():
     assert page_lines("<article><p>see <a>this</a> and that</p><ul><li><a>More</a></ul></article>") == [(MAIN, "see this and that"), (LINKED, "More")]
 
 
+def test_marks_end_with_their_element():
+    """Implied end tags close what is marked, and a mark is a whole name, not a part of one."""
+    cases = {
+        '<article><p class="ad">Ad<h2>Title</h2><div>text one</div><p>para two</p></article>': ["Title", "text one", "para two"],
+        '<article><ul><li class="share">Share<li>real item</ul><p>end</article>': ["real item", "end"],
+        '<article><dl><dt class="ad">x<dd>one<dt>two</dl><table><tr><td class="promo">y<td>three<tr><td>four</table></article>': ["one", "two", "three", "four"],
+        '<article><div class="cookie-recipe">one</div><div class="content related-work">two</div><h2 id="menu">three</h2><aside class="pullquote">four</aside></article>': ["one", "two", "three", "four"],
+        '<article><ul><li>a<ul><li class="ad">b</ul>c<li>d</ul><p class="ad">x<b>y<p>e</article>': ["a", "c", "d", "e"],
+        '<form id="page"><div>skip</div><article><p>one</p><form>mail</form></article>skip</form>': ["one"],
+        '<article><aside>side</aside><div class="site-footer ad-slot">x</div><p id="comment_list">y</p><p>one</p></p></article>': ["one"],
+        '<article><p class="ad"><table><tr><td><p>z</p></td></tr></table><p>one<a href=x <b>two</b></article>': ["z", "onetwo"],
+        '<article>a<![CDATA[ x < y ]]>b<![CDATA[ c</article>': ["ab"],
+    }
+    for page, want in cases.items():
+        assert [t for _, t in page_lines(page)] == want, page
+
+
+def test_broken_markup_takes_linear_time():
+    """A megabyte or so of each kind of broken markup; every one of them took seconds a few ten kilobytes with a quadratic scan."""
+    parts = ["<b>", "<a ", "<![CDATA[ ", "</q>", "<title>", "<p class=ad>", "<li>", "<td>", "<p><table><td>", "<!x ", "<a b='", '<a b="c" "', "<div><p></div>", "<script>x</script>", "<textarea><b>"]
+    for part in parts:
+        page = "<article><p>first</p>" + part * (1_000_000 // len(part)) + "<p>last</p></article>"
+        began = time.process_time()
+        found = page_lines(page)
+        assert time.process_time() - began < 20, part
+        assert found[0] == (MAIN, "first"), part
+
+
 def test_copies_keep_their_text(spark):
     page = "<body><div>Shared</div><div>only {}</div></body>"
     rows = [(i, f"http://a/{url}", page.format(n)) for i, (url, n) in enumerate([("1", 1), ("1", 1), ("1b", 1), ("2", 2)])]
