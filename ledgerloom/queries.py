@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit_queries, ordered_queries, run_queries, stream_queries
+from . import audit_queries, file_queries, ordered_queries, run_queries, stream_queries
 from .functions.hashing import line_bucket, recurrence_key
 from .functions.money import minor_to_decimal, to_minor
 from .functions.shape import charset, holds_raw, regex_class
@@ -113,7 +113,7 @@ def file_dedup_ttl(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         findings_by_rule, findings_by_class, doc_outcomes, value_shapes, pii_scan_documents, to_minor_lines, minor_roundtrip, line_buckets,
-        recurrence_keys, supplier_readiness, reconcile_ledger, catalogue_diff, latest_profile, retention_purge, file_dedup_ttl, *audit_queries.QUERIES, *run_queries.QUERIES, *ordered_queries.QUERIES, *stream_queries.QUERIES,
+        recurrence_keys, supplier_readiness, reconcile_ledger, catalogue_diff, latest_profile, retention_purge, file_dedup_ttl, *audit_queries.QUERIES, *run_queries.QUERIES, *ordered_queries.QUERIES, *stream_queries.QUERIES, *file_queries.QUERIES,
     )}
 
 
@@ -167,7 +167,7 @@ FROM line_rows l JOIN invoices i ON l.k = i.k)"""
 
 def oracle_sql() -> dict[str, str]:
     fields = " UNION ALL ".join(f"SELECT '{c}' AS field, CAST({c} AS VARCHAR) AS v FROM invoices" for c in ("id", "issue_date", "buyer_trn", "line_total"))
-    return audit_queries.oracles(_FOUND, _CLASS) | run_queries.oracles(_FOUND, _CLASS, _found_by(ALL), audit_queries.tables(_CLASS)) | ordered_queries.oracles(FIRES, _CLASS) | stream_queries.oracles() | {
+    return audit_queries.oracles(_FOUND, _CLASS) | run_queries.oracles(_FOUND, _CLASS, _found_by(ALL), audit_queries.tables(_CLASS)) | ordered_queries.oracles(FIRES, _CLASS) | stream_queries.oracles() | file_queries.oracles() | {
         "findings_by_rule": f"{_FOUND} SELECT rule_id, severity, term, failure_class, count(*) AS findings, count(DISTINCT k) AS documents FROM found GROUP BY ALL",
         "findings_by_class": f"{_FOUND} SELECT failure_class, outcome, count(*) AS n FROM found GROUP BY ALL",
         "doc_outcomes": f"{_FOUND}, w AS (SELECT k, max(CASE outcome WHEN 'fail' THEN 2 ELSE 1 END) AS r FROM found GROUP BY k) SELECT CASE r WHEN 2 THEN 'fail' WHEN 1 THEN 'warn' ELSE 'pass' END AS outcome, count(*) AS documents FROM invoices LEFT JOIN w USING (k) GROUP BY 1",

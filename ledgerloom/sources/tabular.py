@@ -36,15 +36,34 @@ def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(EXPORT.replace('"', "`"), invoices=invoices(spark, sf_dir), rows=lines(spark, sf_dir))
 
 
+FIELDS = "array<struct<name:string,value:string>>"
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of CSV files as texts, with ``file`` and their position ``row_idx`` in it, from 0. A file is read by one task, so
-    its rows keep their order; ragged rows and empty lines are allowed, a byte-order mark is dropped."""
-    options = {"header": True, "multiLine": True, "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "inferSchema": False, "mode": "PERMISSIVE"}
-    rows = spark.read.options(**options).csv(path)
-    rows = rows.toDF(*[c.removeprefix("\ufeff") for c in rows.columns])
-    order = Window.partitionBy("file").orderBy("__id")
-    rows = rows.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("__id"), "*")
-    return rows.withColumn("row_idx", (F.row_number().over(order) - 1).cast("long")).drop("__id")
+    """Rows of CSV files: ``file``, their position ``row_idx`` in it from 0, and ``fields``, the pairs of name and value that the
+    file's own header gives (``FIELDS``). Files may have other columns in another order; ragged rows and empty lines are allowed,
+    values behind the header's last name have none and are left out, a byte-order mark is dropped. A header's names hold no line
+    break. A file is read by one task, so its rows keep their order."""
+    first_lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), "value")
+    first_lines = first_lines.where(F.col("at") == 0).where(F.trim("value") != "").groupBy("file").agg(F.min_by("value", "id").alias("header"))
+    width = (first_lines.agg(F.max(F.regexp_count("header", F.lit(",")))).first()[0] or 0) + 1  # of the widest header, at most
+    options = {"header": False, "multiLine": True, "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "mode": "PERMISSIVE"}
+    rows = spark.read.options(**options).schema(", ".join(f"c{i} string" for i in range(width))).csv(path)
+    order = Window.partitionBy("file").orderBy("id")
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id"), F.array(*[f"c{i}" for i in range(width)]).alias("values"))
+    rows = rows.withColumns({"names": F.first("values").over(order), "row_idx": (F.row_number().over(order) - 2).cast("long")}).where("row_idx >= 0")
+    pairs = F.zip_with("names", "values", lambda n, v: F.struct(F.regexp_replace(n, "^\ufeff", "").alias("name"), v.alias("value")))
+    return rows.select("file", "row_idx", F.filter(pairs, lambda x: x["name"].isNotNull()).alias("fields"))
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """``rows`` (file, row_idx and ``fields`` as ``read_csv`` gives them) as one CSV file for each ``file``, in a folder of its
+    own, whose header is the names of its first row."""
+    quote = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    text = lambda part: F.array_join(F.transform("fields", lambda x: F.coalesce(quote(x[part]), F.lit(""))), ",")
+    head = F.row_number().over(Window.partitionBy("file").orderBy("row_idx")) == 1
+    lines = rows.select("file", F.when(head, F.concat_ws("\n", text("name"), text("value"))).otherwise(text("value")).alias("value"), "row_idx")
+    lines.repartition("file").sortWithinPartitions("file", "row_idx").drop("row_idx").write.partitionBy("file").text(path)
 
 
 def file_defects(spark: SparkSession, path: str) -> DataFrame:
@@ -70,7 +89,10 @@ def read_golden(spark: SparkSession, path: str, expectation: str) -> DataFrame:
 
 
 def resolve_headers(rows: DataFrame, keep: tuple[str, ...] = ("file", "row_idx")) -> DataFrame:
-    """``keep`` and the canonical columns; of several spellings the last that is not blank wins; blanks become NULL."""
+    """``keep`` and the canonical columns; of several spellings the last that is not blank wins; blanks become NULL. The
+    spellings are the names in ``fields`` where the rows have such a column, or else the columns."""
+    if "fields" in rows.columns and rows.schema["fields"].dataType.simpleString() == FIELDS:
+        return _resolve_fields(rows, keep)
     known = {alias: key for key, names in ALIASES.items() for alias in names}
     found: dict[str, list[str]] = {}
     for name in rows.columns:
@@ -81,3 +103,11 @@ def resolve_headers(rows: DataFrame, keep: tuple[str, ...] = ("file", "row_idx")
     value = lambda name: F.nullif(F.trim(quoted(name).cast("string")), F.lit(""))
     columns = [F.coalesce(*map(value, found[k]), F.lit(None)).cast("string").alias(k) if k in found else F.lit(None).cast("string").alias(k) for k in ALIASES]
     return rows.select(*keep, *columns)
+
+
+def _resolve_fields(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    spelling = F.create_map(*[F.lit(x) for key, names in ALIASES.items() for alias in names for x in (alias, key)])
+    known = F.transform("fields", lambda x: F.struct(F.try_element_at(spelling, F.lower(F.regexp_replace(x["name"], r"[ \t_.-]", ""))).alias("key"), F.nullif(F.trim(x["value"]), F.lit("")).alias("value")))
+    found = rows.select(*keep, F.filter(known, lambda x: x["key"].isNotNull() & x["value"].isNotNull()).alias("found"))
+    at = lambda k: F.try_element_at(F.filter("found", lambda x: x["key"] == k), F.lit(-1))["value"]
+    return found.select(*keep, *[at(k).alias(k) for k in ALIASES])

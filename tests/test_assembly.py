@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import assemble, gates, scores
-from ledgerloom.sources.tabular import file_defects, read_csv, read_golden, resolve_headers
+from ledgerloom.sources.tabular import file_defects, read_csv, read_golden, resolve_headers, write_csv
 
 CSV = """Invoice Number,issue-date,CURRENCY,Buyer_Name,buyer.trn,Line Description,qty,uom,Line Net Amount,Tax Category,VAT Rate
 A1,2026-07-15,AED,"Buyer, Ltd",100000000000003,one,1,EA,1000.00,S,5
@@ -50,6 +50,24 @@ def test_files(spark, tmp_path):
     assert found == {"empty.csv": "header", "bad.csv": "file"}
 
 
+def test_files_with_their_own_headers(spark, tmp_path):
+    """Each file's header names its values, whatever the other files have."""
+    (tmp_path / "a.csv").write_text('Invoice Number,Issue Date,Currency\nA1,2026-07-15,AED,behind\n"A\n2",2026-07-16\n')
+    (tmp_path / "b.csv").write_bytes('\ufeff\n"Total, gross",CURRENCY,bt-2,Grand Total,Document Number,invoice no\n9,EUR,2026-01-01,5,B1,\n,,,,,\n,USD,,6,B2,B3\n'.encode())
+    (tmp_path / "c.csv").write_text("\n\nInvoiceNo\n")
+    (tmp_path / "d.csv").write_text("")
+    rows = resolve_headers(read_csv(spark, str(tmp_path))).select(F.element_at(F.split("file", "/"), -1).alias("f"), "row_idx", "invoice_number", "issue_date", "currency", "payable")
+    assert sorted(map(tuple, rows.collect()), key=lambda r: r[:2]) == [
+        ("a.csv", 0, "A1", "2026-07-15", "AED", None), ("a.csv", 1, "A\n2", "2026-07-16", None, None),
+        ("b.csv", 0, "B1", "2026-01-01", "EUR", "5"), ("b.csv", 1, None, None, None, None), ("b.csv", 2, "B3", None, "USD", "6"),
+    ]
+    fields = [[("Invoice No", 'x "y", z'), ("date", None)], [("Invoice No", ""), ("date", "d")]]
+    written = spark.createDataFrame([("p", 5, fields[0]), ("p", 7, fields[1]), ("q", 1, [("date", "e")])], "file string, row_idx long, fields array<struct<name:string,value:string>>")
+    write_csv(written, str(tmp_path / "out"))
+    back = resolve_headers(read_csv(spark, str(tmp_path / "out"))).select(F.regexp_extract("file", "file=(.)", 1), "row_idx", "invoice_number", "issue_date")
+    assert sorted(map(tuple, back.collect())) == [("p", 0, 'x "y", z', None), ("p", 1, None, "d"), ("q", 0, None, "e")]
+
+
 def test_golden_files(spark, tmp_path):
     (tmp_path / "uae").mkdir()
     (tmp_path / "uae" / "one.xml").write_text("<Invoice/>")
