@@ -176,37 +176,47 @@ _REPEATS = pa.schema([("doc_key", pa.int64()), ("text_key", pa.int64()), ("spans
 def _repeats(t: pa.Table, k: int) -> pa.Table:
     """Windows of one bucket that start earlier elsewhere, as spans by document."""
     out_doc, out_key, out = [], [], []
-    packed = []
-    for d, tk, blob in zip(t.column("doc_key").to_pylist(), t.column("text_key").to_pylist(), t.column("blob").to_pylist()):
-        if d is None:
-            packed.append(_unblob(blob))
+    heads, parts = [], []
+    for d, tk, blob in zip(t.column("doc_key"), t.column("text_key"), t.column("blob")):
+        if d.is_valid:
+            out_doc.append(d.as_py())
+            out_key.append(tk.as_py())
+            out.append(blob.as_py())
         else:
-            out_doc.append(d)
-            out_key.append(tk)
-            out.append(blob)
-    if packed:
-        doc, key, start = (np.concatenate([p[i] for p in packed]) for i in range(3))
-        w = Words(b"\n".join(p[3] for p in packed).split(b"\n"))
+            *head, words = _unblob(blob.as_py())
+            heads.append([x.copy() for x in head])  # not a view of all that was unpacked
+            parts.append(words)
+    if heads:
+        doc, key, start = (np.concatenate([h[i] for h in heads]) for i in range(3))
+        texts = b"\n".join(parts).split(b"\n")
+        del heads, parts
+        w = Words(texts)
+        del texts
         at = np.flatnonzero(w.whole(k))
+        h = w.grams(k)[at]
+        w.hash = None  # not needed any more
         own = w.owner[at]
         d, tk, pos = doc[own], key[own], start[own] + at - w.first[own]
-        h = w.grams(k)[at]
+        a, n = w.start[at], w.end[at + k - 1]
+        data = w.data
+        del w, own, at, doc, key, start
         order = np.lexsort((pos, tk, d, h))
         hs = h[order]
+        del h
         same = np.zeros(len(order), dtype=bool)
         same[1:] = hs[1:] == hs[:-1]
-        a, n = w.start[at], w.end[at + k - 1]
         bad = []
         for x in np.flatnonzero(same).tolist():
             i, j = order[x], order[x - 1]
-            if w.data[a[i] : n[i]] != w.data[a[j] : n[j]]:
+            if data[a[i] : n[i]] != data[a[j] : n[j]]:
                 bad.append(hs[x])
         head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
         for value in set(bad):  # different words under one hash: group these by their words
             group: dict[bytes, int] = {}
             for x in np.flatnonzero(hs == value).tolist():
                 i = order[x]
-                head[x] = group.setdefault(w.data[a[i] : n[i]], x)
+                head[x] = group.setdefault(data[a[i] : n[i]], x)
+        del data, a, n, hs, same
         f, o = order[head], order
         dup = (d[f] != d[o]) | (tk[f] != tk[o]) | (pos[f] != pos[o])
         o = o[dup]
