@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,9 +132,10 @@ def scenario_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def frozen_receivables(spark: SparkSession, d: str) -> DataFrame:
     docs = invoices(spark, d)
-    by = docs.groupBy("currency").agg(F.count(F.lit(1)).alias("invoices"), F.lit(0.125).alias("failure_rate"), F.floor(F.sum(F.col("line_sum") * 100) / F.count(F.lit(1))).cast("long").alias("average"))
-    sizes = docs.groupBy("currency").agg(F.count_distinct("custkey").alias("entities"))
-    return scores.frozen_receivables(by, sizes, "currency").drop("workings")
+    each = docs.groupBy("currency", "custkey").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("line_sum") * 100).cast("long")).alias("cents"))
+    by = each.groupBy("currency").agg(F.sum("n").alias("invoices"), F.sum("cents").alias("cents"), F.count("custkey").alias("entities"))
+    by = by.select("currency", "invoices", F.lit(Decimal("0.125")).alias("failure_rate"), F.expr("cents div invoices").alias("average"), "entities")
+    return scores.frozen_receivables(by.drop("entities"), by.select("currency", "entities"), "currency").drop("workings")
 
 
 def ap_match(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ def unit_range(c: Column) -> Column:
 
 def half_up(c: Column) -> Column:
     """Nearest integer, halves towards positive infinity."""
-    return F.floor(c + 0.5)
+    return F.floor(c + F.lit(Decimal("0.5")))  # a decimal stays exact
 
 
 def band(score: Column) -> Column:
@@ -42,11 +44,11 @@ def scenario_coverage(declared: Column, observed: Column) -> Column:
 
 def frozen_receivables(df: DataFrame, sizes: DataFrame, key: str, days: int = 21) -> DataFrame:
     """Minor units at risk a month and frozen while failing invoices (columns invoices, failure_rate, average) are sent
-    again; ``sizes`` (key, entities) says how many entities the figures rest on."""
-    risk = half_up(F.col("invoices") * F.col("failure_rate") * F.col("average"))
+    again; ``sizes`` (key, entities) says how many entities the figures rest on. Exact where failure_rate is a decimal."""
+    risk = half_up(F.col("invoices") * F.col("failure_rate") * F.col("average")).cast("long")
     out = df.join(sizes, key, "left").withColumn("sample_size", F.coalesce("entities", F.lit(0))).withColumn("at_risk", risk)
-    out = out.withColumn("frozen", half_up(F.col("at_risk") * (days / 30)))
-    said = F.array(F.format_string("%d invoices/month", F.col("invoices").cast("long")), F.format_string("x %.1f%% projected failure rate", F.col("failure_rate") * 100), F.format_string("x %d minor units average value", F.col("average").cast("long")),
+    out = out.withColumn("frozen", half_up(F.col("at_risk").cast("decimal(20,0)") * days / 30).cast("long"))
+    said = F.array(F.format_string("%d invoices/month", F.col("invoices").cast("long")), F.format_string("x %.1f%% projected failure rate", F.col("failure_rate").cast("double") * 100), F.format_string("x %d minor units average value", F.col("average").cast("long")),
                    F.format_string("= %d minor units at risk per month", "at_risk"), F.lit(f"x {days} days to resubmit / 30"), F.format_string("= %d minor units frozen", "frozen"))
     return out.select(key, "at_risk", "frozen", F.when(F.col("sample_size") >= CORPUS_BASIS, "corpus").otherwise("estimate").alias("basis"), "sample_size", said.alias("workings"))
 
