@@ -147,12 +147,12 @@ def ap_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trading_edges(spark: SparkSession, d: str) -> DataFrame:
-    nation = _table(spark, d, "nation").select("n_nationkey", "n_name")
-    supplier = _table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("from"))
-    customer = _table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("to"))
+    names = _table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
+    supplier = _table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("from"))
+    customer = _table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("to"))
     rows = _table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(_table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    return declared.trading_edges(rows.select(F.col("l_suppkey").alias("issuer"), F.col("o_custkey").alias("receiver"), "from", "to"))
+    return declared.trading_edges(rows.select(F.col("l_suppkey").alias("issuer"), F.col("o_custkey").alias("receiver"), "from", "to"), names)
 
 
 def deadline_breach(spark: SparkSession, d: str) -> DataFrame:

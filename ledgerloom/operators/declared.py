@@ -20,10 +20,16 @@ def ap_match(invoices: DataFrame, orders: DataFrame, receipts: DataFrame, tolera
     return joined.select("seq", *key, state.alias("state"))
 
 
-def trading_edges(documents: DataFrame) -> DataFrame:
-    """documents and distinct edges of each jurisdiction pair; documents: issuer, receiver, from, to."""
-    edges = documents.groupBy("issuer", "receiver", F.concat_ws(">", "from", "to").alias("jurisdiction_pair")).agg(F.count(F.lit(1)).alias("n"))
-    return edges.groupBy("jurisdiction_pair").agg(F.count(F.lit(1)).alias("edges"), F.sum("n").alias("documents"))
+def trading_edges(documents: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """documents and distinct edges of each jurisdiction pair; documents: issuer, receiver, from, to (names, or their keys with ``names``:
+    key, name). Edges hardly repeat, so rows are exchanged before they are counted: counted where they are read, a task
+    would hold an edge for each row of its file split."""
+    edges = documents.repartition("issuer", "receiver").groupBy("issuer", "receiver", "from", "to").agg(F.count(F.lit(1)).alias("n"))
+    pairs = edges.groupBy("from", "to").agg(F.count(F.lit(1)).alias("edges"), F.sum("n").alias("documents"))
+    if names is not None:
+        for side in ("from", "to"):
+            pairs = pairs.join(F.broadcast(names.select(F.col("key").alias(side), F.col("name").alias(f"{side}_name"))), side).drop(side).withColumnRenamed(f"{side}_name", side)
+    return pairs.groupBy(F.concat_ws(">", "from", "to").alias("jurisdiction_pair")).agg(F.sum("edges").alias("edges"), F.sum("documents").alias("documents"))
 
 
 def breached(due: Column, sent: Column, as_of: Column) -> Column:
