@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.shape import message, value_shape
 from ..plans.patterns import Context, Pattern, check_patterns
 from ..plans.rules import Rule
-from .evaluate import row_grains, rule_table, value_columns, value_of, with_first
+from .evaluate import explode_codes, row_grains, rule_table, value_columns, value_of, with_first
 
 FIRED, UNKNOWN, UNDETERMINED = 1, 2, 3
 
@@ -54,7 +54,7 @@ def ordered_findings(rows: DataFrame, of: tuple[Pattern, ...], rules: list[Rule]
     table = rule_table([r for _, r, *_ in judged], values, place=[place for place, *_ in judged])
     codes = [F.when(unsure, n * 4 + UNDETERMINED).when(claimed & holds.isNull(), n * 4 + UNKNOWN).when(claimed & ~holds, n * 4 + FIRED) for n, (_, _, claimed, unsure, holds) in enumerate(judged)]
     node = F.col("line") if node is None else node
-    hit = rows.select(key, *keep, node.cast("int").alias("__node"), *value_columns(values), F.explode(F.array_compact(F.array(*codes))).alias("__code"))
+    hit = explode_codes(rows.select(key, *keep, node.cast("int").alias("__node"), *value_columns(values), F.array(*codes).alias("__codes")))
     hit = hit.withColumn("__rule", F.element_at(table, F.floor(F.col("__code") / 4).cast("int") + 1))
     r = F.col("__rule")
     lost = F.col("__code") % 4 != FIRED

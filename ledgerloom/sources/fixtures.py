@@ -64,11 +64,11 @@ def _net() -> Column:
 
 def _numbered(spark: SparkSession, sf_dir: str, totals: bool) -> DataFrame:
     """Lines with their number and, with ``totals``, the count and exact sum of their invoice: one exchange by invoice."""
-    whole = Window.partitionBy("l_orderkey")
+    whole = Window.partitionBy("k")  # by the name that later steps use: a column beside it is another key to Spark, and exchanged again
     sums = [F.count(F.lit(1)).over(whole).cast("int").alias("n_lines"), F.sum(_net()).over(whole).cast("decimal(38,2)").alias("line_sum")] if totals else []
     number = F.row_number().over(whole.orderBy(*ORDER)).alias("line")
-    item = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    numbered = item.select(F.col("l_orderkey").alias("k"), number, "l_suppkey", "l_quantity", _net().alias("net"), F.col("l_returnflag").alias("flag"), *sums)
+    item = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumnRenamed("l_orderkey", "k")
+    numbered = item.select("k", number, "l_suppkey", "l_quantity", _net().alias("net"), F.col("l_returnflag").alias("flag"), *sums)
     text = LINE_FIELDS.replace("FROM numbered", "FROM {numbered}")
     if not totals:
         return spark.sql(text, numbered=numbered)
