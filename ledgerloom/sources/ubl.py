@@ -40,9 +40,10 @@ def _leaf(name: str, c: Column, attribute: str = "", value: Column | None = None
 
 
 def _group(name: str, *parts: Column) -> Column:
-    """An element of elements; nothing where all of them are absent."""
-    inside = F.concat(*parts)
-    return F.when(inside != "", F.concat(F.lit(f"<cac:{name}>"), inside, F.lit(f"</cac:{name}>"))).otherwise("")
+    """An element of elements; nothing where all of them are absent. The parts are named once, as each mention is evaluated anew
+    and groups are nested; their texts are escaped, so that the empty element can only be this one."""
+    start, end = f"<cac:{name}>", f"</cac:{name}>"
+    return F.replace(F.concat(F.lit(start), *parts, F.lit(end)), F.lit(start + end), F.lit(""))
 
 
 def _party(name: str, trn: Column, legal: Column, country: Column) -> Column:
