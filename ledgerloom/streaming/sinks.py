@@ -32,6 +32,11 @@ def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def append_new(path: str, key: list[str], month: str, first_by: str | None = None) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` writer that appends the rows whose ``key`` is not there yet, under their month (a date column that
     follows from the key). Of rows of one key in a batch the first by ``first_by`` is taken. Only the months of the batch are

@@ -49,6 +49,21 @@ def test_deadlines_equal_the_batch_answer_with_late_and_missing_responses(spark,
     assert rows(spark.read.parquet(out), "k", "breached") == rows(batch, "k", "breached")
 
 
+def test_deadlines_keep_only_what_is_open_and_a_batch_may_run_again(spark, tmp_path):
+    one, two, out, check = (str(tmp_path / x) for x in ("invoices", "responses", "out", "check"))
+    put(spark, one, [(1, day(0)), (2, day(0)), (3, day(30)), (4, day(38))], "k long, issued timestamp")
+    put(spark, two, [(1, day(3)), (2, day(15)), (9, day(39))], "k long, sent timestamp")
+    query = deadlines.follow_deadlines(deadlines.table_stream(spark, one), deadlines.table_stream(spark, two), out, check, hours=240)
+    query.awaitTermination()
+    assert all(not p.stateOperators for p in query.recentProgress)  # no store in memory: what is open is a table
+    assert rows(spark.read.parquet(f"{check}/open/0/issued"), "k") == [(3,), (4,)] and rows(spark.read.parquet(f"{check}/open/0/sent"), "k") == [(9,)]
+    batch = spark.createDataFrame([(3, None, day(33)), (5, day(50), None), (2, None, day(51)), (6, day(1), None)], "k long, issued timestamp, sent timestamp")
+    for _ in range(2):
+        deadlines._settle(out, f"{check}/open", 240, "2 days")(batch, 1)  # 3's answer is late itself; 6 came too late
+    assert rows(spark.read.parquet(out), "k", "breached") == [(1, False), (2, True), (3, True)]
+    assert rows(spark.read.parquet(f"{check}/open/1/issued"), "k") == [(4,), (5,)]
+
+
 ARRIVAL = "tenant string, checksum string, file_id string, at timestamp"
 
 
