@@ -13,6 +13,7 @@ from ..functions.shape import value_shape
 TYPES = ("invoice", "credit_note", "debit_note", "self_billed")
 SCENARIOS = ("standard", "zero_rated", "exempt", "reverse_charge", "designated_zone", "export")
 KEY = ["file", "invoice_number"]
+GROUP = [*KEY, "accepted", "alone"]  # what ``number_rows`` exchanges rows by: an aggregate by all of these exchanges none
 SHAPE = "struct<len:int,charset:string,regex_class:string,expected:string>"
 
 
@@ -23,9 +24,9 @@ def plain_name(c: Column) -> Column:
 def number_rows(rows: DataFrame, currency: str = "AED") -> DataFrame:
     """Rows with ``accepted`` (number and ISO-shaped date present), and for these the document's currency, whether the
     row's own contradicts it (a blank one stands for the default), whether it makes a line, and the line's number. An
-    invoice's rows are one small group; a rejected row is a group of its own."""
+    invoice's rows are one small group; a rejected row is a group of its own (``alone``)."""
     ok = F.col("invoice_number").isNotNull() & F.coalesce(F.col("issue_date").rlike(r"^\d{4}-\d{2}-\d{2}\z"), F.lit(False))
-    w = Window.partitionBy(*KEY, "accepted", "alone").orderBy("row_idx")
+    w = Window.partitionBy(*GROUP).orderBy("row_idx")
     rows = rows.withColumn("alone", F.when(~ok, F.col("row_idx")))
     out = rows.withColumn("accepted", ok).withColumn("n", F.row_number().over(w))
     out = out.withColumn("doc_currency", F.coalesce(F.first("currency").over(w), F.lit(currency)))
@@ -34,28 +35,40 @@ def number_rows(rows: DataFrame, currency: str = "AED") -> DataFrame:
     filled = F.coalesce("line_net", "line_description", "line_quantity").isNotNull()
     out = out.withColumn("admitted", F.col("accepted") & ~F.col("conflict") & ((F.col("n") == 1) | filled))
     at = F.sum(F.col("admitted").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("line", F.when(F.col("admitted"), F.coalesce(F.col("line_number").try_cast("int"), at.cast("int")))).drop("alone")
+    return out.withColumn("line", F.when(F.col("admitted"), F.coalesce(F.col("line_number").try_cast("int"), at.cast("int"))))
+
+
+def _unit() -> Column:
+    return F.when(F.col("line_unit").rlike(r"^[A-Z0-9]{2,3}\z"), F.col("line_unit"))
 
 
 def line_rows(numbered: DataFrame) -> DataFrame:
     """Admitted lines: unit codes that have no code's form become NULL, amounts minor units with a reason."""
-    unit = F.when(F.col("line_unit").rlike(r"^[A-Z0-9]{2,3}\z"), F.col("line_unit"))
     money = to_minor(F.col("line_net"), F.col("doc_currency"))
-    return numbered.where("admitted").select(*KEY, "row_idx", "line", "doc_currency", "line_description", "line_quantity", unit.alias("unit"), "line_net", money.alias("net"), "line_tax_category", F.col("line_tax_rate").try_cast("decimal(9,4)").alias("rate"), "line_unit")
+    return numbered.where("admitted").select(*KEY, "row_idx", "line", "doc_currency", "line_description", "line_quantity", _unit().alias("unit"), "line_net", money.alias("net"), "line_tax_category", F.col("line_tax_rate").try_cast("decimal(9,4)").alias("rate"), "line_unit")
 
 
 def documents(numbered: DataFrame) -> DataFrame:
     """One row per document: the first accepted row is its header; a document of unknown type is left out."""
-    head = numbered.where("accepted and n = 1").select(*KEY, "issue_date", "doc_currency", "doc_type", "scenario", "buyer_trn", "line_extension")
-    total = line_rows(numbered).groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("n_lines"), F.when(F.count("net.minor") == F.count(F.lit(1)), F.sum("net.minor")).alias("line_sum"),
-        (F.count_distinct("rate") > 1).alias("multi_rate"), F.bool_and(F.col("line_tax_category").isNull()).alias("unmapped"),
+    return _assembled(numbered)
+
+
+def _assembled(numbered: DataFrame, *more: Column) -> DataFrame:
+    """Documents with the aggregates ``more`` of their accepted rows; header and lines come from one pass over the rows."""
+    header = ["issue_date", "doc_currency", "doc_type", "scenario", "buyer_trn", "line_extension"]
+    minor = to_minor(F.when(F.col("admitted"), F.col("line_net")), F.col("doc_currency"))["minor"]
+    rows = numbered.where("accepted").withColumns({"minor": minor, "rate": F.when(F.col("admitted"), F.col("line_tax_rate").try_cast("decimal(9,4)"))})
+    total = rows.groupBy(*GROUP).agg(
+        F.first(F.when(F.col("n") == 1, F.struct(*header)), ignorenulls=True).alias("head"), F.count_if("admitted").alias("n_lines"), F.count("minor").alias("n_minor"), F.sum("minor").alias("minor"),
+        (F.min("rate") != F.max("rate")).alias("multi_rate"), *more,
     )
+    names = [c for c in total.columns if c not in (*GROUP, "head", "n_lines", "n_minor", "minor", "multi_rate")]
+    out = total.select(*KEY, "head.*", "n_lines", F.when(F.col("n_minor") == F.col("n_lines"), F.col("minor")).alias("line_sum"), "multi_rate", *names)
     kind, scene = plain_name(F.coalesce("doc_type", F.lit("invoice"))), plain_name(F.coalesce("scenario", F.lit("standard")))
     stated = to_minor(F.col("line_extension"), F.col("doc_currency"))["minor"]
-    out = head.join(total, KEY, "left").select(
+    out = out.select(
         *KEY, "issue_date", F.col("doc_currency").alias("currency"), kind.alias("doc_type"), F.when(scene.isin(*SCENARIOS), scene).otherwise("standard").alias("scenario"),
-        "buyer_trn", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce(stated, "line_sum").alias("line_total"), F.coalesce("multi_rate", F.lit(False)).alias("multi_rate"),
+        "buyer_trn", "n_lines", F.coalesce(stated, "line_sum").alias("line_total"), F.coalesce("multi_rate", F.lit(False)).alias("multi_rate"), *names,
     )
     return out.where(F.col("doc_type").isin(*TYPES))
 
@@ -93,9 +106,9 @@ def register(found: DataFrame, run: str = "file") -> DataFrame:
 
 def doc_hash(numbered: DataFrame) -> DataFrame:
     """SHA-256 of each document's values as a JSON array with its lines nested, in a fixed order."""
-    item = F.struct("line", "row_idx", "line_description", "line_quantity", "unit", F.col("net.minor").cast("string").alias("net"), "line_tax_category")
-    grouped = line_rows(numbered).groupBy(*KEY).agg(F.array_sort(F.collect_list(item)).alias("items"))
     text = lambda c: F.coalesce(F.to_json(F.array(c.cast("string"))), F.lit("[null]"))
-    line = lambda x: F.concat(F.lit("["), F.concat_ws(",", *[text(x[f]) for f in ("line", "line_description", "line_quantity", "unit", "net", "line_tax_category")]), F.lit("]"))
-    body = F.concat(F.lit("["), F.concat_ws(",", *[text(F.col(c)) for c in ("invoice_number", "issue_date", "currency", "doc_type", "scenario", "buyer_trn", "line_total")]), F.lit(",["), F.array_join(F.transform(F.coalesce("items", F.array().cast(grouped.schema["items"].dataType)), line), ","), F.lit("]]"))
-    return documents(numbered).join(grouped, KEY, "left").select(*KEY, F.sha2(body, 256).alias("doc_hash"))
+    net = to_minor(F.col("line_net"), F.col("doc_currency"))["minor"]
+    line = F.concat(F.lit("["), F.concat_ws(",", *[text(c) for c in (F.col("line"), F.col("line_description"), F.col("line_quantity"), _unit(), net, F.col("line_tax_category"))]), F.lit("]"))
+    items = F.sort_array(F.collect_list(F.when(F.col("admitted"), F.struct("line", "row_idx", line.alias("text"))))).alias("items")
+    body = F.concat(F.lit("["), F.concat_ws(",", *[text(F.col(c)) for c in ("invoice_number", "issue_date", "currency", "doc_type", "scenario", "buyer_trn", "line_total")]), F.lit(",["), F.array_join("items.text", ","), F.lit("]]"))
+    return _assembled(numbered, items).select(*KEY, F.sha2(body, 256).alias("doc_hash"))

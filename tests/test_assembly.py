@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import assemble, gates, scores
-from ledgerloom.sources.tabular import file_defects, read_csv, read_golden, resolve_headers, write_csv
+from ledgerloom.sources.tabular import ALIASES, file_defects, read_csv, read_golden, resolve_headers, write_csv
 
 CSV = """Invoice Number,issue-date,CURRENCY,Buyer_Name,buyer.trn,Line Description,qty,uom,Line Net Amount,Tax Category,VAT Rate
 A1,2026-07-15,AED,"Buyer, Ltd",100000000000003,one,1,EA,1000.00,S,5
@@ -24,6 +24,17 @@ def test_csv_documents(spark, tmp_path):
     assert numbered.where("invoice_number = 'A1'").agg(F.max("buyer_name")).first()[0] == "Buyer, Ltd"
 
 
+def test_documents_and_hashes_take_one_exchange_of_their_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(CSV + "A3,2026-07-16,,x,,two,1,EA,,,7\nA4,2026-07-16,AED,x,,one,1,EA,1.00,S,5\nA4,2026-07-16,AED,,,two,1,EA,1.00,S,5.0\n")
+    numbered = assemble.number_rows(resolve_headers(read_csv(spark, str(tmp_path)))).localCheckpoint()
+    got = assemble.documents(numbered)
+    assert sorted((r.invoice_number, r.n_lines, r.line_total, r.multi_rate) for r in got.collect()) == [("A1", 2, 150000, False), ("A3", 2, None, False), ("A4", 2, 200, False)]
+    rows = spark.createDataFrame([], numbered.select("file", "row_idx", *ALIASES).schema)
+    for made in (assemble.documents, assemble.doc_hash):
+        plan = made(assemble.number_rows(rows))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1  # before: two of documents, three of hashes
+
+
 def test_scores(spark):
     full = dict.fromkeys(scores.WEIGHTS, 1.0)
     cases = [full, full | {"master_data_quality": 0.0}, full | {"scenario_coverage": 0.5, "rule_failure_rate": 0.2}, full | {"scenario_coverage": 5.0}]
