@@ -23,17 +23,32 @@ def exponent(currency: Column) -> Column:
 def to_minor(amount: Column, currency: Column) -> Column:
     """struct<minor:bigint, reason:string>: reason is NULL, ``malformed`` or ``unknown_currency``."""
     trimmed = F.btrim(amount, F.lit(BLANK))
-    text = F.replace(trimmed, F.lit(","), F.lit(""))
     e = exponent(currency)
+    return _judged(F.coalesce(trimmed, F.lit("")) == "", e, _scaled(F.replace(trimmed, F.lit(","), F.lit("")), e))
+
+
+def _scaled(text: Column, e: Column) -> Column:
+    """The number of minor units; NULL if the text is no such number."""
     value = F.when(text.rlike(FORM), text.try_cast("decimal(38,18)"))
     plain = F.rtrim(text, F.lit("0"))  # zeros at the end of a fraction say nothing
     point = F.instr(text, ".")
     fits = (point == 0) | (F.length(plain) - point <= e)
-    scaled = (value * F.when(e == 3, 1000).otherwise(100)).try_cast("decimal(38,0)")
-    good = fits & (F.abs(scaled) <= F.lit(2**53 - 1))
-    blank = F.coalesce(trimmed, F.lit("")) == ""
-    reason = F.when(blank, "malformed").when(e.isNull(), "unknown_currency").when(~F.coalesce(good, F.lit(False)), "malformed")
-    return F.struct(F.when(reason.isNull(), scaled.cast("bigint")).alias("minor"), reason.alias("reason"))
+    return F.when(fits, (value * F.when(e == 3, 1000).otherwise(100)).try_cast("decimal(38,0)"))
+
+
+def _judged(blank: Column, e: Column, scaled: Column) -> Column:
+    good = F.coalesce(F.abs(scaled) <= F.lit(2**53 - 1), F.lit(False))
+    reason = F.when(blank, "malformed").when(e.isNull(), "unknown_currency").when(~good, "malformed")
+    return F.struct(F.when(~blank & e.isNotNull() & good, scaled.cast("bigint")).alias("minor"), reason.alias("reason"))
+
+
+def to_minor_each(amounts: Column, digits: Column) -> Column:
+    """``to_minor`` of each text of an array; digits: ``exponent`` of its currency. A lambda evaluates what it names twice twice,
+    so each step is a pass of its own."""
+    texts = F.transform(amounts, lambda a: F.btrim(a, F.lit(BLANK)))
+    texts = F.transform(texts, lambda t: F.struct((F.coalesce(t, F.lit("")) == "").alias("blank"), F.replace(t, F.lit(","), F.lit("")).alias("text")))
+    numbers = F.transform(texts, lambda x: F.struct(x["blank"].alias("blank"), _scaled(x["text"], digits).alias("scaled")))
+    return F.transform(numbers, lambda x: _judged(x["blank"], digits, x["scaled"]))
 
 
 def minor_to_decimal(minor: Column, currency: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import to_minor
+from ..functions.money import exponent, to_minor, to_minor_each
 from ..functions.shape import value_shape
 
 # Voucher types that are documents, and the tags of tax registrations in the order in which they count.
@@ -16,7 +16,6 @@ FIELDS = ("VOUCHERTYPENAME", "VOUCHERNUMBER", "DATE", "EFFECTIVEDATE", "CURRENCY
 ITEMS, LEDGERS = "ALLINVENTORYENTRIES.LIST", "ALLLEDGERENTRIES.LIST"
 ITEM = "array<struct<STOCKITEMNAME:string,BILLEDQTY:string,ACTUALQTY:string,AMOUNT:string,RATEOFVAT:string,GSTRATE:string>>"
 SCHEMA = ", ".join(f"{f} string" for f in FIELDS) + f", `{ITEMS}` {ITEM}, `{LEDGERS}` array<struct<LEDGERNAME:string,AMOUNT:string>>, _corrupt_record string"
-SHAPE = "struct<len:int,charset:string,regex_class:string,expected:string>"
 
 
 def text(c: Column) -> Column:
@@ -60,46 +59,57 @@ def accept(vouchers: DataFrame) -> DataFrame:
     return out.withColumn("accepted", F.col("doc_type").isNotNull() & F.col("invoice_number").isNotNull() & F.col("issue_date").isNotNull())
 
 
-def documents(accepted: DataFrame, currency: str = "AED") -> DataFrame:
-    """One row per accepted voucher, with its lines. The line sum is all or nothing; tax is never derived; the payable
-    amount is that of the ledger entry named like the party; more ledger entries than lines and party mean allowances."""
+def _known(accepted: DataFrame, currency: str) -> DataFrame:
+    """``accepted`` with the values of documents as columns: each is named once and then used, so it is evaluated once. Of a
+    voucher that is not accepted they are not read."""
     first = lambda tags: F.coalesce(*[text(F.col(f"v.{t}")) for t in tags])
-    rows = accepted.where("accepted").withColumns({
+    rows = accepted.withColumns({
         "currency": F.coalesce(text(F.col("v.CURRENCYNAME")), F.lit(currency)), "buyer_name": F.coalesce(text(F.col("v.PARTYLEDGERNAME")), text(F.col("v.PARTYNAME"))),
         "buyer_trn": first(PARTY_TRN), "seller_trn": first(COMPANY_TRN), "predecessor_ref": text(F.col("v.REFERENCE")),
-        "items": F.coalesce(F.col("v")[ITEMS], F.array().cast(ITEM)), "ledgers": F.coalesce(F.col("v")[LEDGERS], F.array().cast("array<struct<LEDGERNAME:string,AMOUNT:string>>")),
+        "items": F.coalesce(F.when(F.col("accepted"), F.col("v")[ITEMS]), F.array().cast(ITEM)), "ledgers": F.coalesce(F.col("v")[LEDGERS], F.array().cast("array<struct<LEDGERNAME:string,AMOUNT:string>>")),
     })
+    party = F.get(F.filter("ledgers", lambda e: text(e["LEDGERNAME"]).eqNullSafe(F.col("buyer_name"))), F.lit(0))
+    rows = rows.withColumns({
+        "digits": exponent(F.col("currency")), "paid": magnitude(text(party["AMOUNT"])), "n_lines": F.size("items"), "n_ledgers": F.size("ledgers"),
+        "amounts": F.transform("items", lambda x: magnitude(text(x["AMOUNT"]))), "rates": F.transform("items", lambda x: F.coalesce(text(x["RATEOFVAT"]), text(x["GSTRATE"]))),
+        "quantities": F.transform(F.transform("items", lambda x: F.coalesce(text(x["BILLEDQTY"]), text(x["ACTUALQTY"]))), split_quantity),
+    })
+    return rows.withColumns({"minors": to_minor_each(F.col("amounts"), F.col("digits")), "payable": to_minor(F.col("paid"), F.col("currency"))})
+
+
+def documents(accepted: DataFrame, currency: str = "AED") -> DataFrame:
+    """One row per accepted voucher, with its lines. The line sum is all or nothing; tax is never derived; the payable
+    amount is that of the ledger entry named like the party; more ledger entries than lines and party mean allowances."""
+    rows = _known(accepted.where("accepted"), currency)
 
     def line(x: Column, i: Column) -> Column:
-        quantity = split_quantity(F.coalesce(text(x["BILLEDQTY"]), text(x["ACTUALQTY"])))
+        quantity = F.get("quantities", i)
         return F.struct(
             (i + 1).alias("line"), text(x["STOCKITEMNAME"]).alias("description"), quantity["quantity"].alias("quantity"), quantity["unit"].alias("unit_text"),
-            to_minor(magnitude(text(x["AMOUNT"])), F.col("currency"))["minor"].alias("minor"), F.coalesce(text(x["RATEOFVAT"]), text(x["GSTRATE"])).alias("rate"),
+            F.get("minors", i)["minor"].alias("minor"), F.get("rates", i).alias("rate"),
         )
 
-    party = F.get(F.filter("ledgers", lambda e: text(e["LEDGERNAME"]).eqNullSafe(F.col("buyer_name"))), F.lit(0))
-    rows = rows.withColumn("lines", F.transform("items", line)).withColumn("payable", to_minor(magnitude(text(party["AMOUNT"])), F.col("currency")))
-    whole = (F.size("lines") > 0) & F.forall("lines", lambda x: x["minor"].isNotNull())
-    total = F.when(whole, F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["minor"]))
-    rates = F.size(F.array_distinct(F.array_compact(F.transform("lines", lambda x: x["rate"]))))
+    whole = (F.col("n_lines") > 0) & F.forall("minors", lambda x: x["minor"].isNotNull())
+    total = F.when(whole, F.aggregate("minors", F.lit(0).cast("long"), lambda a, x: a + x["minor"]))
     return rows.select(
         "file", "voucher_no", "doc_type", F.lit("standard").alias("scenario"), "invoice_number", "issue_date", "currency", "buyer_name", "buyer_trn", "seller_trn", "predecessor_ref",
         total.alias("line_total"), F.lit(None).cast("long").alias("tax_amount"), F.col("payable.minor").alias("payable"), F.col("payable.reason").alias("payable_reason"),
-        (F.size("ledgers") > F.size("lines") + 1).alias("has_allowance"), (rates > 1).alias("multi_rate"), "lines",
+        (F.col("n_ledgers") > F.col("n_lines") + 1).alias("has_allowance"), (F.size(F.array_distinct(F.array_compact("rates"))) > 1).alias("multi_rate"), "n_lines", F.transform("items", line).alias("lines"),
     )
 
 
-def defects(accepted: DataFrame, docs: DataFrame) -> DataFrame:
-    """file, source_ref, defect_class and shape: files and vouchers that can't be read have no shape."""
-    none = F.lit(None).cast(SHAPE)
-    at = lambda c: F.concat(F.lit("voucher["), c.cast("string"), F.lit("]"))
-    where = F.when(F.col("voucher_no").isNull(), "file").otherwise(at(F.col("voucher_no")))
-    unread = accepted.where("NOT accepted").select("file", where.alias("source_ref"), F.lit("parse_error").alias("defect_class"), none.alias("shape"))
-    of = lambda when, name, v: F.when(when, F.struct(F.lit(name).alias("defect_class"), value_shape(v).alias("shape")))
+def defects(accepted: DataFrame, docs: DataFrame | None = None, currency: str = "AED") -> DataFrame:
+    """file, source_ref, defect_class and shape: files and vouchers that can't be read have no shape. All defects of a voucher
+    come from its own row, so vouchers are read once; ``docs``, which callers may give, would have them read again and is not used."""
+    at = F.concat(F.lit("voucher["), F.col("voucher_no").cast("string"), F.lit("]"))
     nothing = F.lit(None).cast("string")
-    found = F.array(of(F.col("buyer_trn").isNull(), "trn_missing", nothing), of(F.col("payable_reason") == "unknown_currency", "currency_inconsistent", F.col("currency")), of(F.size("lines") > 0, "tax_category_unmapped", nothing))
-    whole = docs.select("file", at(F.col("voucher_no")).alias("source_ref"), F.explode(found).alias("x")).where("x is not null").select("file", "source_ref", "x.*")
-    rows = docs.select("file", "voucher_no", F.explode("lines").alias("l")).where("l.unit_text is not null")
-    ref = F.concat(at(F.col("voucher_no")), F.lit(".line["), (F.col("l.line") - 1).cast("string"), F.lit("]"))
-    units = rows.select("file", ref.alias("source_ref"), F.lit("unit_code_freetext").alias("defect_class"), value_shape(F.col("l.unit_text")).alias("shape"))
-    return unread.unionByName(whole).unionByName(units)
+    of = lambda when, name, v, ref, shaped=True: F.when(when, F.struct(ref.alias("source_ref"), F.lit(name).alias("defect_class"), v.alias("value"), F.lit(shaped).alias("shaped")))
+    ok = F.col("accepted")
+    one = F.array(
+        of(~ok, "parse_error", nothing, F.coalesce(at, F.lit("file")), False), of(ok & F.col("buyer_trn").isNull(), "trn_missing", nothing, at),
+        of(ok & (F.col("payable.reason") == "unknown_currency"), "currency_inconsistent", F.col("currency"), at), of(ok & (F.col("n_lines") > 0), "tax_category_unmapped", nothing, at),
+    )
+    unit = lambda q, i: of(q["unit"].isNotNull(), "unit_code_freetext", q["unit"], F.concat(F.col("at"), F.lit(".line["), i.cast("string"), F.lit("]")))
+    rows = _known(accepted, currency).select("file", at.alias("at"), one.alias("one"), "quantities")
+    rows = rows.select("file", F.explode(F.array_compact(F.concat("one", F.transform("quantities", unit)))).alias("x")).select("file", "x.*")
+    return rows.select("file", "source_ref", "defect_class", F.when(F.col("shaped"), value_shape(F.col("value"))).alias("shape"))

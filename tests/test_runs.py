@@ -117,3 +117,9 @@ def test_windowed_counts(spark, tmp_path):
     query.awaitTermination()
     got = {(r.window.start.hour, r.rule): r.n for r in spark.table("windows").collect()}
     assert got == {(1, "a"): 2, (1, "b"): 1, (2, "a"): 1}
+
+
+def test_defects_read_each_voucher_once(spark):
+    accepted = vouchers.accept(vouchers.scan(spark.createDataFrame([], "file string, xml string")))
+    plan = vouchers.defects(accepted, vouchers.documents(accepted))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("posexplode") == 1  # before: one for each kind of defect
