@@ -13,8 +13,12 @@
    of the list walks the tree of those before it. A walk shares the partial overlap of all sets below a node and leaves a subtree when
    the overlap so far plus the shorter rest cannot reach what the sizes below demand, or when all below are of its own
    home. A list with more than 4,096 stored sets is dealt over several trees, which every set of the list walks.
-5. Pairs that remain are confirmed on the full sets: first each set's best one of a list, then, of the others, those between
-   different components. A link inside a component changes nothing, so no link is lost.
+5. Marks. A set's mark holds, for each of 256 to 4,096 residues, the parity of its shingles there. Two marks differ in no more
+   places than their sets differ in shingles, so a pair whose marks differ more than a link allows is no link. In a large group
+   of near copies that are just too unlike to link, prefixes leave nearly all pairs, and marks few.
+6. A set gives its ``nearest`` pairs of a list by their marks, and says if more are left. Pairs are confirmed on the full sets: first
+   each set's best one of a list, then, of the others, those between different components. Lists with more are walked again by
+   the homes that are known then, and give all pairs that are left. A link inside a component changes nothing, so no link is lost.
 
 Defined results: a null text or one without words has an empty set, is linked with nothing and is its own component;
 with fewer words than a shingle, the whole sequence is the one shingle; repeated rows are linked; a null doc_id has a null
@@ -49,6 +53,24 @@ def prefix_length(n: F.Column | int, percent: int) -> F.Column | int:
     return (n + 1 - F.floor((n * percent + 99) / 100)).cast("int")
 
 
+def mark_bits(n: int) -> int:
+    """Places of the mark of ``n`` shingles."""
+    return min(4096, max(256, 1 << max(0, (n + 1) // 2 - 1).bit_length()))
+
+
+def mark(tokens: np.ndarray) -> bytes:
+    bits = mark_bits(len(tokens))
+    return np.packbits(np.bincount(tokens % bits, minlength=bits) & 1).tobytes()
+
+
+def fold(value: int, bits: int, to: int) -> int:
+    """A mark of ``bits`` places as one of ``to``, which divide them: residues that become one are added up."""
+    while bits > to:
+        bits //= 2
+        value = (value >> bits) ^ (value & ((1 << bits) - 1))
+    return value
+
+
 def _ordered(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
     """Of each text the distinct shingles, ascending."""
     owner, value = shingle_sets(texts, n)
@@ -68,7 +90,8 @@ def _heads(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Ite
             for s in sets:
                 k = prefix_length(len(s), percent)
                 head.append(s[: k + k // 4 + 8].tolist())
-            yield pa.record_batch([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(name, pa.binary()), pa.array(head, pa.list_(pa.int64()))], names=["doc_id", "tk", "n", "c", "head"])
+            marks = pa.array([mark(s) if len(s) else None for s in sets], pa.binary())
+            yield pa.record_batch([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(name, pa.binary()), pa.array(head, pa.list_(pa.int64())), marks], names=["doc_id", "tk", "n", "c", "head", "mark"])
 
 
 def _whole(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -162,33 +185,45 @@ class PrefixTree:
         return (both + min(rest, own_rest)) * (100 + self.percent) >= self.percent * (n + m)
 
 
-def _join(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows of one list and tree together, sets to be stored first. Gives pairs; ``near`` marks the best one of each set."""
-    at, tree = None, None
+def _join(batches: Iterator[pa.RecordBatch], percent: int, nearest: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows of one list and tree together, sets to be stored first. Gives the ``nearest`` pairs of each set (None: all); ``near``
+    marks the best one. A row without ``b`` names a list of which a set has more."""
+    at, tree, marks = None, None, {}
     for b in batches:
-        one, two, near = [], [], []
-        for turn, token, band, block, stored, v, n, pos, home, prefix in zip(*(c.to_pylist() for c in b.columns)):
+        out: list[tuple] = []
+        for turn, token, band, block, stored, v, n, pos, home, prefix, bytes_ in zip(*(c.to_pylist() for c in b.columns)):
             if at != (turn, token, band, block):
-                at, tree = (turn, token, band, block), PrefixTree(percent)
+                at, tree, marks, more = (turn, token, band, block), PrefixTree(percent), {}, False
             prefix = array("q", prefix)
-            found = tree.walk(prefix, n, n - pos, home)
-            best = max(found, key=lambda x: (x[1], -x[0]))[0] if found else None
-            for other, _ in found:
-                one.append(min(v, other))
-                two.append(max(v, other))
-                near.append(other == best)
+            value, bits = int.from_bytes(bytes_), mark_bits(n)
+            found = []
+            for other, both in tree.walk(prefix, n, n - pos, home):
+                its, its_bits, m = marks[other]
+                to = min(bits, its_bits)
+                apart = (fold(value, bits, to) ^ fold(its, its_bits, to)).bit_count()
+                if apart * (100 + percent) <= (100 - percent) * (n + m):
+                    found.append((apart, -both, other))
+            found.sort()
+            if nearest is not None and len(found) > nearest:
+                found = found[:nearest]
+                if not more:
+                    out.append((None, None, False, turn, token))
+                    more = True
+            out += [(min(v, other), max(v, other), not i, None, None) for i, (_, _, other) in enumerate(found)]
             if stored:
                 tree.insert(prefix, v, n, n - pos, home)
-        yield pa.record_batch([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(near, pa.bool_())], names=["a", "b", "near"])
+                marks[v] = value, bits, n
+        columns = list(zip(*out)) or [()] * 5
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64()))], names=["a", "b", "near", "turn", "token"])
 
 
-def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, most: int = 32, trees_of: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, most: int = 32, trees_of: int = 4096, nearest: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row. Links have 100 * intersection >= percent * union."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tk"), text.alias("text"))
-    sets = materialize(rows.mapInArrow(lambda it: _heads(it, shingle, percent), "doc_id long, tk long, n long, c binary, head array<long>"), "join-sets")
-    classes = sets.where("n > 0 and doc_id is not null").groupBy("c").agg(F.min(F.struct("doc_id", "tk")).alias("rep"), F.first("n").alias("n"), F.first("head").alias("head"))
-    classes = materialize(classes.select(F.monotonically_increasing_id().alias("v"), "c", "rep.doc_id", "rep.tk", "n", "head"), "join-classes")
+    sets = materialize(rows.mapInArrow(lambda it: _heads(it, shingle, percent), "doc_id long, tk long, n long, c binary, head array<long>, mark binary"), "join-sets")
+    classes = sets.where("n > 0 and doc_id is not null").groupBy("c").agg(F.min(F.struct("doc_id", "tk")).alias("rep"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("mark").alias("mark"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("v"), "c", "rep.doc_id", "rep.tk", "n", "head", "mark"), "join-classes")
     vertices = classes.select(F.col("v").alias("c"), "doc_id")
     names = classes.select(F.col("v").alias("c"), F.col("doc_id").alias("d"), F.col("tk").alias("t"))
     k = prefix_length(F.col("n"), percent)
@@ -229,11 +264,11 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, mos
     hot = materialize(many(crowd), "join-hot")
     late = crowd.join(hot, "token").groupBy("v").agg(F.collect_list("token").alias("late"))  # at most a head
     cold = F.when(F.col("late").isNull(), F.col("head")).otherwise(F.array_except("head", "late"))
-    state = classes.select("v", "n", "head").join(late, "v", "left").join(home, "v", "left").select("v", "n", F.coalesce("home", "v").alias("home"), cold.alias("cold"))
+    state = classes.select("v", "n", "head", "mark").join(late, "v", "left").join(home, "v", "left").select("v", "n", F.coalesce("home", "v").alias("home"), "mark", cold.alias("cold"))
     state = materialize(state.withColumn("over", F.size("cold") < k), "join-state")
 
     # sets with too few cold shingles: read whole, under both orders
-    over = state.where("over").select("v", "n", "home")
+    over = state.where("over").select("v", "n", "home", "mark")
     full = materialize(texts(over.select("v")).select("v", "text").mapInArrow(lambda it: _whole(it, shingle), "v long, tokens array<long>"), "join-whole")
     tokens = full.select("v", F.explode("tokens").alias("token"))
     crowded = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("token")
@@ -241,9 +276,9 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, mos
     marked = tokens.join(hot.withColumn("one", F.lit(True)), "token", "left").join(also.withColumn("two", F.lit(True)), "token", "left").groupBy("v").agg(F.collect_list(F.struct("token", "one", "two")).alias("t"))
     first = F.transform(F.filter("t", lambda x: x["one"].isNull()), lambda x: x["token"])
     second = F.transform("t", lambda x: x["token"] + F.when(x["two"], F.lit(LATE)).otherwise(F.lit(0)))
-    both = marked.join(over, "v").select("v", "n", "home", F.array(F.struct(F.lit(1).alias("turn"), first.alias("p")), F.struct(F.lit(2).alias("turn"), second.alias("p"))).alias("x"))
-    both = both.select(F.explode("x").alias("x"), "v", "n", "home").select("x.turn", "v", "n", "home", F.lit(True).alias("over"), F.slice(F.sort_array("x.p"), F.lit(1), k).alias("prefix"))
-    plain = state.where("not over").select(F.lit(1).alias("turn"), "v", "n", "home", "over", F.slice("cold", F.lit(1), k).alias("prefix"))
+    both = marked.join(over, "v").select("v", "n", "home", "mark", F.array(F.struct(F.lit(1).alias("turn"), first.alias("p")), F.struct(F.lit(2).alias("turn"), second.alias("p"))).alias("x"))
+    both = both.select(F.explode("x").alias("x"), "v", "n", "home", "mark").select("x.turn", "v", "n", "home", "mark", F.lit(True).alias("over"), F.slice(F.sort_array("x.p"), F.lit(1), k).alias("prefix"))
+    plain = state.where("not over").select(F.lit(1).alias("turn"), "v", "n", "home", "mark", "over", F.slice("cold", F.lit(1), k).alias("prefix"))
     prefixes = materialize(plain.union(both), "join-prefixes")
 
     # lists, bands of size, trees. Of two sets that link, the smaller has their first common shingle early: only such entries are
@@ -262,21 +297,36 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, mos
     trees = live.groupBy("turn", "token", "band").agg(*count, F.count_if("stored").alias("kept")).where(several).select("turn", "token", "band", F.ceil(F.col("kept") / trees_of).cast("int").alias("trees"))
     own = F.when(F.col("stored"), F.pmod(F.xxhash64("v"), F.col("trees")).cast("int")).otherwise(F.lit(0))
     dealt = live.join(trees, ["turn", "token", "band"]).select("turn", "token", "band", "v", "pos", "stored", own.alias("own"), F.explode(F.sequence(own, F.col("trees") - 1)).alias("tree"))
-    dealt = dealt.join(prefixes.select("turn", "v", "n", "home", "prefix"), ["turn", "v"])
     put = F.col("stored") & (F.col("tree") == F.col("own"))
     tail = F.slice("prefix", F.col("pos") + 1, F.size("prefix"))
-    dealt = dealt.select("turn", "token", "band", "tree", put.alias("put"), "v", "n", "pos", "home", tail.alias("tail"))
-    dealt = dealt.repartition("turn", "token", "band", "tree").sortWithinPartitions("turn", "token", "band", "tree", F.desc("put"), "v")
-    pairs = dealt.mapInArrow(lambda it: _join(it, percent), "a long, b long, near boolean").groupBy("a", "b").agg(F.max("near").alias("near"))
-    pairs = materialize(pairs, "join-candidates")
+
+    def walked(dealt: DataFrame, sets: DataFrame, nearest: int | None) -> DataFrame:
+        """a, b and near of the pairs, and turn and token of lists with more. sets: prefixes with the homes by now."""
+        dealt = dealt.join(sets.select("turn", "v", "n", "home", "mark", "prefix"), ["turn", "v"])
+        dealt = dealt.select("turn", "token", "band", "tree", put.alias("put"), "v", "n", "pos", "home", tail.alias("tail"), "mark")
+        dealt = dealt.repartition("turn", "token", "band", "tree").sortWithinPartitions("turn", "token", "band", "tree", F.desc("put"), "v")
+        found = dealt.mapInArrow(lambda it: _join(it, percent, nearest), "a long, b long, near boolean, turn int, token long")
+        return found.groupBy("a", "b", "turn", "token").agg(F.max("near").alias("near"))
+
+    found = materialize(walked(dealt, prefixes, nearest), "join-candidates")
+    pairs, left = found.where("b is not null").select("a", "b", "near"), found.where("b is null").select("turn", "token")
+
+    def across(pairs: DataFrame, label: DataFrame) -> DataFrame:
+        """The pairs between different components."""
+        now = homes(label)
+        ends = pairs.join(now.select(F.col("v").alias("a"), F.col("home").alias("x")), "a", "left").join(now.select(F.col("v").alias("b"), F.col("home").alias("y")), "b", "left")
+        return ends.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
 
     links = led.union(confirmed(pairs.where("near").select("a", "b"), "join-near"))
     label = components(vertices, links)
-    now = homes(label)
-    ends = pairs.where("not near").join(now.select(F.col("v").alias("a"), F.col("home").alias("x")), "a", "left").join(now.select(F.col("v").alias("b"), F.col("home").alias("y")), "b", "left")
-    more = confirmed(ends.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b"), "join-more")
+    more = confirmed(across(pairs.where("not near"), label), "join-more")
     if not more.isEmpty():
-        label = components(vertices, links.union(more))
+        links = links.union(more)
+        label = components(vertices, links)
+    if not left.isEmpty():
+        now = prefixes.drop("home").join(homes(label), "v", "left").withColumn("home", F.coalesce("home", "v"))
+        last = confirmed(walked(dealt.join(left, ["turn", "token"]), now, None).select("a", "b"), "join-last")
+        label = components(vertices, links.union(last))
     found = classes.select("v", "c", "doc_id").join(label.select(F.col("c").alias("v"), F.col("label.doc_id").alias("least")), "v", "left").select(F.col("c").alias("of"), F.coalesce("least", "doc_id").alias("component_id"))
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), "c").join(found, F.col("c") == F.col("of"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -4,9 +4,11 @@ import random
 from array import array
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import ngram_join
 from ledgerloom.llm.ngram_join import PrefixTree, jaccard_components, op13_ngram_join, prefix_length
 
 DOCS = "doc_id long, text string"
@@ -69,6 +71,49 @@ def test_equals_all_pairs(spark, seed, n, percent, most, trees_of):
     assert got == _plain(rows, n, percent)
 
 
+@pytest.mark.parametrize("seed,n,percent,most,trees_of", [(5, 3, 90, 3, 2), (6, 1, 60, 40, 3)])
+def test_second_walk_equals_all_pairs(spark, seed, n, percent, most, trees_of):
+    rows = _rows(seed)
+    got = jaccard_components(spark.createDataFrame(rows, DOCS).repartition(5), n, percent, most, trees_of, nearest=1)
+    assert sorted(tuple(r) for r in got.collect()) == _plain(rows, n, percent)
+
+
+@pytest.mark.parametrize("changes,limits", [(2, {}), (1, {"nearest": 2})])
+def test_pairs_of_a_large_group_grow_with_its_size(spark, monkeypatch, changes, limits):
+    """Copies that are nearly alike: too unlike to link (2 words changed), or linked (1), where no star finds them first."""
+    rng = random.Random(11)
+    hub = ["h%d" % i for i in range(150)]
+    rows = []
+    for d in range(120):
+        copy = list(hub)
+        for i in rng.sample(range(150), changes):
+            copy[i] = "c%d-%d" % (d, i)
+        rows.append((d, " ".join(copy)))
+    size, write = {}, ngram_join.materialize
+
+    def noted(df, name):
+        out = write(df, name)
+        size[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", noted)
+    got = jaccard_components(spark.createDataFrame(rows, DOCS), 3, 90, most=1000, **limits)
+    assert sorted(tuple(r) for r in got.collect()) == _plain(rows, 3, 90)
+    assert size["join-candidates"] + size.get("join-last-pairs", 0) < 12 * len(rows)  # of 7,140 pairs
+
+
+def test_marks_differ_no_more_than_their_sets():
+    rng = np.random.default_rng(5)
+    for n in (1, 40, 511, 513, 1020, 1030, 9000, 20_000):
+        for other in (max(1, n * 9 // 10), n, n + n // 9):
+            pool = np.unique(rng.integers(0, 1 << 62, 2 * n + other))
+            a, b = (np.sort(rng.choice(pool[: n + other // 8 + 1], k, replace=False)) for k in (n, min(other, n + other // 8 + 1)))
+            bits = [ngram_join.mark_bits(len(x)) for x in (a, b)]
+            one, two = (ngram_join.fold(int.from_bytes(ngram_join.mark(x)), k, min(bits)) for x, k in zip((a, b), bits))
+            assert (one ^ two).bit_count() <= len(np.setxor1d(a, b))
+    assert ngram_join.mark(a) == ngram_join.mark(a[::-1])
+
+
 def test_empty_repeated_and_nameless_rows(spark):
     assert op13_ngram_join(spark.createDataFrame([], DOCS)).count() == 0
     rows = [(7, "a b c d"), (7, "a b c d"), (3, "A B C D"), (None, "a b c d"), (None, "alone in here"), (9, None), (9, "  ")]
