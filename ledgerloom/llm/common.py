@@ -5,10 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
 _U = np.uint64
@@ -18,6 +20,7 @@ _POW: dict[str, np.ndarray] = {}
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 NO_ID = np.int64(2**63 - 1)
+SLOT_BITS = 24
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -43,6 +46,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote; nothing may read these tables, or what was derived from them lazily, again."""
+    for df in tables:
+        for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile a query's shuffle files go when it ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
+def slotted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Those of ``rows`` whose 64-bit hash ``key`` shares its last ``SLOT_BITS`` bits with one of ``wanted`` (one column), and
+    no others but by such chance. One bit a slot is broadcast, 2 MB in all, whatever the input."""
+    slot = lambda c: F.col(c).bitwiseAND((1 << SLOT_BITS) - 1)
+    part = lambda c: F.shiftright(slot(c), 15).alias("__part")
+    bits = wanted.groupBy(part(wanted.columns[0])).agg(F.bitmap_construct_agg(slot(wanted.columns[0]).bitwiseAND(32767)).alias("__bits"))
+    byte = F.substring("__bits", F.shiftright(slot(key).bitwiseAND(32767), 3).cast("int") + 1, F.lit(1))
+    held = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), slot(key).bitwiseAND(7).cast("int")) == 1
+    return rows.join(F.broadcast(bits), part(key) == F.col("__part")).where(held).select(*rows.columns)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 

@@ -15,7 +15,9 @@
    home. A list with more than 4,096 stored sets is dealt over several trees, which every set of the list walks.
 5. Marks. A set's mark holds, for each of 256 to 4,096 residues, the parity of its shingles there. Two marks differ in no more
    places than their sets differ in shingles, so a pair whose marks differ more than a link allows is no link. In a large group
-   of near copies that are just too unlike to link, prefixes leave nearly all pairs, and marks few.
+   of near copies that are just too unlike to link, prefixes leave nearly all pairs, and marks few. In lists of up to ``few``
+   sets, marks, sizes and places are compared before any prefix travels: a tree gets the sets that another one of
+   their list may link with. The more a corpus holds, the more of its unlike texts share some shingle.
 6. A set gives its ``nearest`` pairs of a list by their marks, and says if more are left. Pairs are confirmed on the full sets: first
    each set's best one of a list, then, of the others, those between different components. Lists with more are walked again by
    the homes that are known then, and give all pairs that are left. A link inside a component changes nothing, so no link is lost.
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, materialize, slices
+from .common import column_bytes, discard, materialize, shuffles_freed, slices, slotted
 from .links import confirm_links
 from .near_dedup import components, shingle_sets
 
@@ -217,21 +219,49 @@ def _join(batches: Iterator[pa.RecordBatch], percent: int, nearest: int | None)
         yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64()))], names=["a", "b", "near", "turn", "token"])
 
 
-def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, most: int = 32, trees_of: int = 4096, nearest: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _may_link(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows of one list together. Gives the sets that may link with another one of another home, of which one is stored."""
+    at, group = None, []
+    for b in batches:
+        out: list[tuple] = []
+        for turn, token, band, stored, v, n, pos, home, bytes_ in zip(*(c.to_pylist() for c in b.columns)):
+            if at != (turn, token, band):
+                at, group = (turn, token, band), []
+            own = [int.from_bytes(bytes_), mark_bits(n), n, n - pos, home, stored, False, (turn, token, band, v, pos, stored)]
+            for other in group:
+                if own[6] and other[6] or home == other[4] or not (stored or other[5]):
+                    continue
+                both = n + other[2]
+                if min(n - pos, other[3]) * (100 + percent) < percent * both:
+                    continue
+                to = min(own[1], other[1])
+                if (fold(own[0], own[1], to) ^ fold(other[0], other[1], to)).bit_count() * (100 + percent) > (100 - percent) * both:
+                    continue
+                out += [x[7] for x in (own, other) if not x[6]]
+                own[6] = other[6] = True
+            group.append(own)
+        columns = list(zip(*out)) or [()] * 6
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()))], names=["turn", "token", "band", "v", "pos", "stored"])
+
+
+def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, most: int = 32, trees_of: int = 4096, nearest: int = 32, few: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row. Links have 100 * intersection >= percent * union."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tk"), text.alias("text"))
     sets = materialize(rows.mapInArrow(lambda it: _heads(it, shingle, percent), "doc_id long, tk long, n long, c binary, head array<long>, mark binary"), "join-sets")
+    named = materialize(sets.select("doc_id", "n", "c"), "join-named")
     classes = sets.where("n > 0 and doc_id is not null").groupBy("c").agg(F.min(F.struct("doc_id", "tk")).alias("rep"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("mark").alias("mark"))
-    classes = materialize(classes.select(F.monotonically_increasing_id().alias("v"), "c", "rep.doc_id", "rep.tk", "n", "head", "mark"), "join-classes")
+    headed = materialize(classes.select(F.monotonically_increasing_id().alias("v"), "c", "rep.doc_id", "rep.tk", "n", "head", "mark"), "join-classes")
+    discard(sets)
+    classes = materialize(headed.select("v", "c", "doc_id", "tk"), "join-ids")
     vertices = classes.select(F.col("v").alias("c"), "doc_id")
     names = classes.select(F.col("v").alias("c"), F.col("doc_id").alias("d"), F.col("tk").alias("t"))
     k = prefix_length(F.col("n"), percent)
 
     def texts(ids: DataFrame) -> DataFrame:
-        """v and text of the classes in ``ids``; a row's repetitions give one."""
-        wanted = names.join(ids.withColumnRenamed("v", "c"), "c")
-        return rows.join(wanted, (F.col("doc_id") == F.col("d")) & (F.col("tk") == F.col("t"))).groupBy(F.col("c").alias("v")).agg(F.first("text").alias("text"))
+        """v and text of the classes in ``ids``; a row's repetitions give one. Only texts whose slot is wanted are exchanged."""
+        wanted = materialize(names.join(ids.withColumnRenamed("v", "c"), "c"), "join-wanted")
+        return slotted(rows, "tk", wanted.select("t")).join(wanted, (F.col("doc_id") == F.col("d")) & (F.col("tk") == F.col("t"))).groupBy(F.col("c").alias("v")).agg(F.first("text").alias("text"))
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         return confirm_links(materialize(pairs, f"{name}-pairs"), texts, shingle, percent, name)
@@ -240,7 +270,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, mos
         return label.select(F.col("c").alias("v"), F.col("label.c").alias("home"))
 
     # large lists: one star each, then homes
-    posts = classes.select("v", "n", F.posexplode("head").alias("pos", "token"))
+    posts = headed.select("v", "n", F.posexplode("head").alias("pos", "token"))
     large = materialize(posts.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > most), "join-large")
     crowd = materialize(posts.join(large, "token").select("token", "v", "n", "pos", "size"), "join-crowd")
     early = crowd.where(F.col("pos") < k)
@@ -248,7 +278,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, mos
     star = early.join(weight, "v").groupBy("token").agg(F.min(F.struct((-F.col("weight")).alias("w"), "v", "n")).alias("m")).select("token", F.col("m.v").alias("a"), F.col("m.n").alias("m"))
     fits = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
     led = early.join(star, "token").where((F.col("v") != F.col("a")) & fits).select("a", F.col("v").alias("b")).distinct()
-    heads = classes.select("v", "n", F.slice("head", F.lit(1), k).alias("h"))
+    heads = headed.select("v", "n", F.slice("head", F.lit(1), k).alias("h"))
     led = led.join(heads.select(F.col("v").alias("a"), F.col("n").alias("n_a"), F.col("h").alias("h_a")), "a").join(heads.select(F.col("v").alias("b"), F.col("n").alias("n_b"), F.col("h").alias("h_b")), "b")
     cut = F.least(F.element_at("h_a", -1), F.element_at("h_b", -1))
     rest = [F.col(f"n_{x}") - F.size(F.filter(f"h_{x}", lambda t: t <= cut)) for x in "ab"]
@@ -264,8 +294,9 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, mos
     hot = materialize(many(crowd), "join-hot")
     late = crowd.join(hot, "token").groupBy("v").agg(F.collect_list("token").alias("late"))  # at most a head
     cold = F.when(F.col("late").isNull(), F.col("head")).otherwise(F.array_except("head", "late"))
-    state = classes.select("v", "n", "head", "mark").join(late, "v", "left").join(home, "v", "left").select("v", "n", F.coalesce("home", "v").alias("home"), "mark", cold.alias("cold"))
-    state = materialize(state.withColumn("over", F.size("cold") < k), "join-state")
+    state = headed.select("v", "n", "head", "mark").join(late, "v", "left").join(home, "v", "left").select("v", "n", F.coalesce("home", "v").alias("home"), "mark", cold.alias("cold"))
+    state = materialize(state.select("v", "n", "home", "mark", F.slice("cold", F.lit(1), k).alias("cold"), (F.size("cold") < k).alias("over")), "join-state")
+    discard(headed)
 
     # sets with too few cold shingles: read whole, under both orders
     over = state.where("over").select("v", "n", "home", "mark")
@@ -278,8 +309,9 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, mos
     second = F.transform("t", lambda x: x["token"] + F.when(x["two"], F.lit(LATE)).otherwise(F.lit(0)))
     both = marked.join(over, "v").select("v", "n", "home", "mark", F.array(F.struct(F.lit(1).alias("turn"), first.alias("p")), F.struct(F.lit(2).alias("turn"), second.alias("p"))).alias("x"))
     both = both.select(F.explode("x").alias("x"), "v", "n", "home", "mark").select("x.turn", "v", "n", "home", "mark", F.lit(True).alias("over"), F.slice(F.sort_array("x.p"), F.lit(1), k).alias("prefix"))
-    plain = state.where("not over").select(F.lit(1).alias("turn"), "v", "n", "home", "mark", "over", F.slice("cold", F.lit(1), k).alias("prefix"))
+    plain = state.where("not over").select(F.lit(1).alias("turn"), "v", "n", "home", "mark", "over", F.col("cold").alias("prefix"))
     prefixes = materialize(plain.union(both), "join-prefixes")
+    discard(state, full, crowd)
 
     # lists, bands of size, trees. Of two sets that link, the smaller has their first common shingle early: only such entries are
     # stored, but where sets that were read whole take part, which are never stored in the first order
@@ -294,14 +326,20 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, mos
     band = F.floor(F.log("n") / (1.01 * math.log(100 / percent))).cast("int")  # sets that can link are in one band or in neighbours
     visits = F.when(F.col("stored") | ~F.col("hard"), F.array(band, band - 1)).otherwise(F.array(band + 1, band, band - 1))
     live = live.select("*", F.explode(visits).alias("band"), band.alias("own_band")).withColumn("stored", F.col("stored") & (F.col("band") == F.col("own_band")))
-    trees = live.groupBy("turn", "token", "band").agg(*count, F.count_if("stored").alias("kept")).where(several).select("turn", "token", "band", F.ceil(F.col("kept") / trees_of).cast("int").alias("trees"))
+    trees = live.groupBy("turn", "token", "band").agg(*count, F.count_if("stored").alias("kept")).where(several).select("turn", "token", "band", "size", F.ceil(F.col("kept") / trees_of).cast("int").alias("trees"))
+    visiting = materialize(live.join(trees, ["turn", "token", "band"]).select("turn", "token", "band", "v", "pos", "stored", "size", "trees"), "join-visits")
+    small = (F.col("size") <= few) & (F.col("trees") == 1)
     own = F.when(F.col("stored"), F.pmod(F.xxhash64("v"), F.col("trees")).cast("int")).otherwise(F.lit(0))
-    dealt = live.join(trees, ["turn", "token", "band"]).select("turn", "token", "band", "v", "pos", "stored", own.alias("own"), F.explode(F.sequence(own, F.col("trees") - 1)).alias("tree"))
+    dealt = visiting.where(~small).select("turn", "token", "band", "v", "pos", "stored", own.alias("own"), F.explode(F.sequence(own, F.col("trees") - 1)).alias("tree"))
+    near = visiting.where(small).join(prefixes.select("turn", "v", "n", "home", "mark"), ["turn", "v"]).select("turn", "token", "band", "stored", "v", "n", "pos", "home", "mark")
+    near = near.repartition("turn", "token", "band").sortWithinPartitions("turn", "token", "band").mapInArrow(lambda it: _may_link(it, percent), "turn int, token long, band int, v long, pos int, stored boolean")
+    dealt = materialize(dealt.union(near.select("turn", "token", "band", "v", "pos", "stored", F.lit(0).alias("own"), F.lit(0).alias("tree"))), "join-dealt")
     put = F.col("stored") & (F.col("tree") == F.col("own"))
     tail = F.slice("prefix", F.col("pos") + 1, F.size("prefix"))
 
     def walked(dealt: DataFrame, sets: DataFrame, nearest: int | None) -> DataFrame:
         """a, b and near of the pairs, and turn and token of lists with more. sets: prefixes with the homes by now."""
+        sets = slotted(sets.withColumn("key", F.xxhash64("v")), "key", dealt.select(F.xxhash64("v").alias("key")))
         dealt = dealt.join(sets.select("turn", "v", "n", "home", "mark", "prefix"), ["turn", "v"])
         dealt = dealt.select("turn", "token", "band", "tree", put.alias("put"), "v", "n", "pos", "home", tail.alias("tail"), "mark")
         dealt = dealt.repartition("turn", "token", "band", "tree").sortWithinPartitions("turn", "token", "band", "tree", F.desc("put"), "v")
@@ -328,9 +366,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, mos
         last = confirmed(walked(dealt.join(left, ["turn", "token"]), now, None).select("a", "b"), "join-last")
         label = components(vertices, links.union(last))
     found = classes.select("v", "c", "doc_id").join(label.select(F.col("c").alias("v"), F.col("label.doc_id").alias("least")), "v", "left").select(F.col("c").alias("of"), F.coalesce("least", "doc_id").alias("component_id"))
-    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "c").join(found, F.col("c") == F.col("of"), "left")
+    out = named.select("doc_id", F.col("n").alias("n_shingles"), "c").join(found, F.col("c") == F.col("of"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op13_ngram_join(docs: DataFrame) -> DataFrame:
-    return jaccard_components(docs, shingle=3, percent=90)
+    with shuffles_freed(docs.sparkSession):
+        return jaccard_components(docs, shingle=3, percent=90)

@@ -1,5 +1,6 @@
 """The prefix-tree join against all pairs, with limits so small that every path is taken."""
 
+import os
 import random
 from array import array
 from collections import defaultdict
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import ngram_join
+from ledgerloom.llm.common import discard, materialize, shuffles_freed, slotted
 from ledgerloom.llm.ngram_join import PrefixTree, jaccard_components, op13_ngram_join, prefix_length
 
 DOCS = "doc_id long, text string"
@@ -102,6 +104,49 @@ def test_pairs_of_a_large_group_grow_with_its_size(spark, monkeypatch, changes,
     assert size["join-candidates"] + size.get("join-last-pairs", 0) < 12 * len(rows)  # of 7,140 pairs
 
 
+@pytest.mark.parametrize("few,kept", [(256, 8), (0, 200)])
+def test_unlike_texts_of_a_list_get_no_tree(spark, monkeypatch, few, kept):
+    """Texts that share a passage and no more, and four pairs that link: prefixes travel for the pairs only."""
+    rng = random.Random(3)
+    word = lambda: "w%d" % rng.randrange(100_000)
+    passages = [[word() for _ in range(12)] for _ in range(40)]
+    rows = [(i, " ".join([word() for _ in range(60)] + passages[i % 40])) for i in range(240)]
+    for i in range(4):
+        rows.append((1000 + i, rows[i][1] + " " + word()))
+    tables, write = {}, ngram_join.materialize
+
+    def noted(df, name):
+        out = write(df, name)
+        if name in ("join-visits", "join-dealt"):
+            tables[name] = out.select("v").distinct().count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", noted)
+    got = jaccard_components(spark.createDataFrame(rows, DOCS), 3, 90, most=1000, few=few)  # no star finds the pairs first
+    assert sorted(tuple(r) for r in got.collect()) == _plain(rows, 3, 90)
+    assert tables["join-visits"] > 200 and (tables["join-dealt"] <= kept if few else tables["join-dealt"] > kept)
+
+
+def test_slots_keep_all_that_is_wanted_and_little_else(spark):
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("tk"))
+    got = slotted(rows, "tk", rows.where("id % 100 = 0").select("tk"))
+    assert got.columns == ["id", "tk"] and got.where("id % 100 = 0").count() == 200 and got.count() < 220
+    assert slotted(rows, "tk", rows.limit(0).select("tk")).count() == 0
+
+
+def test_shuffles_and_tables_go_when_they_are_read_no_more(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    with shuffles_freed(spark):
+        assert spark.conf.get(key) == "true"
+    assert spark.conf.get(key, None) == was
+    table = materialize(spark.range(10), "gone")
+    folder = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(folder)
+    discard(table)
+    assert not os.path.exists(folder)
+
+
 def test_marks_differ_no_more_than_their_sets():
     rng = np.random.default_rng(5)
     for n in (1, 40, 511, 513, 1020, 1030, 9000, 20_000):
