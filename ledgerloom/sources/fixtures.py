@@ -90,8 +90,17 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per invoice with its header fields and exact line sum."""
     item = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    sums = item.groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).cast("int").alias("n_lines"), F.sum(_net()).cast("decimal(38,2)").alias("line_sum"))
-    return spark.sql(f"SELECT *, {STATED} FROM {{joined}}", joined=headers(spark, sf_dir).join(sums, "k"))
+    return with_totals(spark, sf_dir, item.groupBy(F.col("l_orderkey").alias("k")).agg(*sums(_net())))
+
+
+def sums(net: Column) -> list[Column]:
+    """What ``with_totals`` takes of an invoice's lines."""
+    return [F.count(F.lit(1)).cast("int").alias("n_lines"), F.sum(net).cast("decimal(38,2)").alias("line_sum")]
+
+
+def with_totals(spark: SparkSession, sf_dir: str, grouped: DataFrame) -> DataFrame:
+    """Invoices with the columns of ``grouped``: k, ``sums`` and any others."""
+    return spark.sql(f"SELECT *, {STATED} FROM {{joined}}", joined=headers(spark, sf_dir).join(grouped, "k"))
 
 
 def invoice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
