@@ -25,6 +25,14 @@ def _fired(rules: list[Rule], applies: dict[str, Column]) -> Column:
     return F.array(*fired)
 
 
+OPEN = 1 << 32  # weight of a rule without a verdict; a failed one weighs 1
+
+
+def weight(rules: list[Rule], grain: str) -> Column:
+    """How many rules of a grain a row fails, and ``OPEN`` for each whose predicate is NULL there: each is evaluated once."""
+    return reduce(Column.__add__, [F.coalesce((~r.satisfied()).cast("bigint"), F.lit(OPEN)) for r in rules if r.grain == grain], F.lit(0).cast("bigint"))
+
+
 def rule_table(rules: list[Rule], values: list[str], **more: list[int]) -> Column:
     """The rules as a constant array of structs; ``value`` is the place of the rule's column in ``values``, from 1 (0: none)."""
     extra = lambda n: [F.lit(x[n]).alias(name) for name, x in more.items()]

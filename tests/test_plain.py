@@ -37,7 +37,15 @@ def test_plans_are_bounded_and_kept(spark, monkeypatch):
     assert len(scan.headers) <= 3 and scan.fields[:: len(plain.FIELDS)] == [str(i) for i in range(10)]
 
 
-@pytest.mark.parametrize("name", ["ubl_terms", "ubl_findings"])
+@pytest.mark.parametrize("name", ["ubl_terms", "validated_summary", "ubl_findings"])
 def test_texts_are_written_and_read_once(spark, name):
     plan = getattr(run_queries, name)(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"FileScan parquet \[l_orderkey", plan)) == 1 and len(re.findall("MapInArrow ", plan)) == 1
+
+
+def test_tally_counts_what_judge_finds(spark):
+    rows = spark.createDataFrame(list(enumerate([*READ, *LEFT])), "k int, xml string")
+    got, found = ubl.tally(rows).first(), ubl.judge(rows)
+    assert (got.texts, got.findings, got.open) == (rows.count(), found.where("outcome <> 'no_verdict'").count(), found.where("outcome = 'no_verdict'").count())
+    empty = ubl.tally(rows.limit(0)).first()
+    assert (empty.texts, empty.findings, empty.open) == (0, 0, 0)
