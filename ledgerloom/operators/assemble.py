@@ -2,31 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.money import to_minor
 from ..functions.shape import value_shape
+from .evaluate import explode_codes
 
 # Document types and scenarios.
 TYPES = ("invoice", "credit_note", "debit_note", "self_billed")
 SCENARIOS = ("standard", "zero_rated", "exempt", "reverse_charge", "designated_zone", "export")
 KEY = ["file", "invoice_number"]
 GROUP = [*KEY, "accepted", "alone"]  # what ``number_rows`` exchanges rows by: an aggregate by all of these exchanges none
-SHAPE = "struct<len:int,charset:string,regex_class:string,expected:string>"
 
 
 def plain_name(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"[\s-]", "_"))
 
 
-def number_rows(rows: DataFrame, currency: str = "AED") -> DataFrame:
+def number_rows(rows: DataFrame, currency: str = "AED", within: tuple[str, ...] = ()) -> DataFrame:
     """Rows with ``accepted`` (number and ISO-shaped date present), and for these the document's currency, whether the
     row's own contradicts it (a blank one stands for the default), whether it makes a line, and the line's number. An
-    invoice's rows are one small group; a rejected row is a group of its own (``alone``)."""
+    invoice's rows are one small group; a rejected row is a group of its own (``alone``). ``within``: columns that the rows of an
+    invoice share anyway; rows that are together by these are not exchanged."""
     ok = F.col("invoice_number").isNotNull() & F.coalesce(F.col("issue_date").rlike(r"^\d{4}-\d{2}-\d{2}\z"), F.lit(False))
-    w = Window.partitionBy(*GROUP).orderBy("row_idx")
+    w = Window.partitionBy(*within, *GROUP).orderBy("row_idx")
     rows = rows.withColumn("alone", F.when(~ok, F.col("row_idx")))
     out = rows.withColumn("accepted", ok).withColumn("n", F.row_number().over(w))
     out = out.withColumn("doc_currency", F.coalesce(F.first("currency").over(w), F.lit(currency)))
@@ -73,30 +76,44 @@ def _assembled(numbered: DataFrame, *more: Column) -> DataFrame:
     return out.where(F.col("doc_type").isin(*TYPES))
 
 
-def defects(numbered: DataFrame) -> DataFrame:
-    """file, row_idx, defect_class and shape of each defect of rows, lines and documents. What can't be read has no shape; a
-    stated line number that is no number is such a defect, and its line is numbered by position."""
+def _judged(numbered: DataFrame, within: tuple[str, ...]) -> tuple[DataFrame, list[tuple[Column, str, Column | None]]]:
+    """Rows with ``bare`` (a document whose lines state no tax category), and the defects: when, class and the value that is shown;
+    what can't be read shows none."""
     kind, scene = plain_name(F.col("doc_type")), plain_name(F.col("scenario"))
-    of = lambda when, name, value: F.when(when, F.struct(F.lit(name).alias("defect_class"), value_shape(value).alias("shape")))
-    unread = lambda when: F.when(when, F.struct(F.lit("parse_error").alias("defect_class"), F.lit(None).cast(SHAPE).alias("shape")))
     nothing, known = F.lit(None).cast("string"), to_minor(F.col("line_net"), F.col("doc_currency"))
     first = F.col("accepted") & (F.col("n") == 1)
     typed = F.coalesce(kind.isin(*TYPES), F.lit(True))
-    w = Window.partitionBy(*KEY, "accepted", F.when(~F.col("accepted"), F.col("row_idx")))
-    bare = F.bool_and(F.when(F.col("admitted"), F.col("line_tax_category").isNull())).over(w)
-    found = F.array(
-        unread(~F.col("accepted")),
-        unread(F.col("admitted") & F.col("line_number").isNotNull() & F.col("line_number").try_cast("int").isNull()),
-        of(F.col("conflict"), "currency_inconsistent", F.col("own_currency")),
-        of(F.col("admitted") & ~F.coalesce(F.col("line_unit").rlike(r"^[A-Z0-9]{2,3}\z"), F.lit(True)), "unit_code_freetext", F.col("line_unit")),
-        of(F.col("admitted") & F.col("line_net").isNotNull() & (known["reason"] == "unknown_currency"), "currency_inconsistent", F.col("doc_currency")),
-        unread(first & ~typed),
-        of(first & typed & ~F.coalesce(scene.isin(*SCENARIOS), F.lit(True)), "identifier_inconsistent", F.col("scenario")),
-        of(first & typed & F.col("buyer_trn").isNull(), "trn_missing", nothing),
-        of(first & typed & F.coalesce("bare", F.lit(False)), "tax_category_unmapped", nothing),
-    )
-    kept = numbered.withColumn("bare", bare).select("file", "row_idx", F.filter(found, lambda x: x.isNotNull()).alias("found"))
-    return kept.select("file", "row_idx", F.explode("found").alias("x")).select("file", "row_idx", "x.*")
+    bare = F.bool_and(F.when(F.col("admitted"), F.col("line_tax_category").isNull())).over(Window.partitionBy(*within, *GROUP))
+    return numbered.withColumn("bare", bare), [
+        (~F.col("accepted"), "parse_error", None),
+        (F.col("admitted") & F.col("line_number").isNotNull() & F.col("line_number").try_cast("int").isNull(), "parse_error", None),
+        (F.col("conflict"), "currency_inconsistent", F.col("own_currency")),
+        (F.col("admitted") & ~F.coalesce(F.col("line_unit").rlike(r"^[A-Z0-9]{2,3}\z"), F.lit(True)), "unit_code_freetext", F.col("line_unit")),
+        (F.col("admitted") & F.col("line_net").isNotNull() & (known["reason"] == "unknown_currency"), "currency_inconsistent", F.col("doc_currency")),
+        (first & ~typed, "parse_error", None),
+        (first & typed & ~F.coalesce(scene.isin(*SCENARIOS), F.lit(True)), "identifier_inconsistent", F.col("scenario")),
+        (first & typed & F.col("buyer_trn").isNull(), "trn_missing", nothing),
+        (first & typed & F.coalesce("bare", F.lit(False)), "tax_category_unmapped", nothing),
+    ]
+
+
+def defects(numbered: DataFrame) -> DataFrame:
+    """file, row_idx, defect_class and shape of each defect of rows, lines and documents. What can't be read has no shape; a
+    stated line number that is no number is such a defect, and its line is numbered by position."""
+    rows, kinds = _judged(numbered, ())
+    values = [F.lit(None).cast("string") if value is None else value for _, _, value in kinds]
+    codes = F.array(*[F.when(when, n) for n, (when, _, _) in enumerate(kinds)])
+    hit = explode_codes(rows.select("file", "row_idx", *[v.alias(f"__v{n}") for n, v in enumerate(values)], codes.alias("__codes")))
+    at = lambda columns: F.element_at(F.array(*columns), F.col("__code") + 1)
+    value = at([F.col(f"__v{n}") for n in range(len(kinds))])
+    shape = F.when(at([F.lit(shown is not None) for _, _, shown in kinds]), value_shape(value))  # for those that are there alone
+    return hit.select("file", "row_idx", at([F.lit(name) for _, name, _ in kinds]).alias("defect_class"), shape.alias("shape"))
+
+
+def count_defects(numbered: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with ``n_defects``, how many ``defects`` a row has; nothing is exchanged or exploded for it."""
+    rows, kinds = _judged(numbered, within)
+    return rows.withColumn("n_defects", reduce(Column.__add__, [F.when(when, 1).otherwise(0) for when, _, _ in kinds]))
 
 
 def register(found: DataFrame, run: str = "file") -> DataFrame:

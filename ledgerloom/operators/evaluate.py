@@ -33,6 +33,33 @@ def weight(rules: list[Rule], grain: str) -> Column:
     return reduce(Column.__add__, [F.coalesce((~r.satisfied()).cast("bigint"), F.lit(OPEN)) for r in rules if r.grain == grain], F.lit(0).cast("bigint"))
 
 
+BITS = 62  # rules in a mask
+
+
+def row_masks(rows: DataFrame, packs: dict[str, list[Rule]]) -> DataFrame:
+    """Rows with ``warn``, ``fail`` and ``no_verdict``: masks (one for each ``BITS`` rules) of the rules that fire on a row, of
+    the pack of its ``profile`` (none for other profiles), by what is stored of them. Each rule is evaluated once."""
+    rules = list({r.id: r for rules in packs.values() for r in rules}.values())
+    check(rules)
+    rows, applies, state = with_first(rows, "k"), row_grains(), []
+    for r in rules:
+        own = F.col("profile").isin(*[p for p, pack in packs.items() if r.id in {x.id for x in pack}])
+        state.append(F.when(own & applies[r.grain], F.coalesce((~r.satisfied()).cast("int"), F.lit(2))).otherwise(0))  # 1: fails, 2: no verdict
+    places = [range(i, min(i + BITS, len(rules))) for i in range(0, len(rules), BITS)]
+
+    def masks(when) -> Column:
+        bits = lambda part: [F.when(when(rules[n], F.col("__state")[n]), 1 << (n - part[0])).otherwise(0).cast("bigint") for n in part]
+        return F.array(*[reduce(Column.bitwiseOR, bits(part)) for part in places])
+
+    kinds = {"warn": lambda r, s: s > 0 if r.severity == "warning" else F.lit(False), "fail": lambda r, s: s == 1 if r.severity != "warning" else F.lit(False), "no_verdict": lambda r, s: s == 2 if r.severity != "warning" else F.lit(False)}
+    return rows.withColumn("__state", F.array(*state)).withColumns({name: masks(when) for name, when in kinds.items()}).drop("__state")
+
+
+def mask_count(masks: Column, rules: int) -> Column:
+    """How many rules the masks hold."""
+    return reduce(Column.__add__, [F.bit_count(masks[i]) for i in range(-(-rules // BITS))])
+
+
 def rule_table(rules: list[Rule], values: list[str], **more: list[int]) -> Column:
     """The rules as a constant array of structs; ``value`` is the place of the rule's column in ``values``, from 1 (0: none)."""
     extra = lambda n: [F.lit(x[n]).alias(name) for name, x in more.items()]

@@ -65,10 +65,11 @@ def _net() -> Column:
 def _numbered(spark: SparkSession, sf_dir: str, totals: bool) -> DataFrame:
     """Lines with their number and, with ``totals``, the count and exact sum of their invoice: one exchange by invoice."""
     whole = Window.partitionBy("k")  # by the name that later steps use: a column beside it is another key to Spark, and exchanged again
-    sums = [F.count(F.lit(1)).over(whole).cast("int").alias("n_lines"), F.sum(_net()).over(whole).cast("decimal(38,2)").alias("line_sum")] if totals else []
+    totals_of = [F.count(F.lit(1)).over(whole).cast("int").alias("n_lines"), F.sum(_net()).over(whole).cast("decimal(38,2)").alias("line_sum")] if totals else []
     number = F.row_number().over(whole.orderBy(*ORDER)).alias("line")
     item = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumnRenamed("l_orderkey", "k")
-    numbered = item.select("k", number, "l_suppkey", "l_quantity", _net().alias("net"), F.col("l_returnflag").alias("flag"), *sums)
+    item = item.select("k", number, "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")  # before the sums: what is computed for these would travel too
+    numbered = item.select("k", "line", "l_suppkey", "l_quantity", _net().alias("net"), F.col("l_returnflag").alias("flag"), *totals_of)
     text = LINE_FIELDS.replace("FROM numbered", "FROM {numbered}")
     if not totals:
         return spark.sql(text, numbered=numbered)
@@ -82,9 +83,12 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order with its header fields, without totals."""
+    """One row per order with its header fields, without totals. Orders are exchanged by key as they are: the fields that
+    follow from them are several times as wide."""
     orders, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
-    return spark.sql(DOCS.format(**SPARK).replace("FROM orders o", "FROM {orders} o").replace("JOIN customer c", "JOIN {customer} c"), orders=orders, customer=customer)
+    fields, source = DOCS.format(**SPARK).split("FROM (SELECT", 1)
+    source = "SELECT" + source.replace("FROM orders o", "FROM {orders} o").replace("JOIN customer c", "JOIN {customer} c").rsplit(")", 1)[0]
+    return spark.sql(fields + "FROM {x}", x=spark.sql(source, orders=orders, customer=customer).repartition("o_orderkey"))
 
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,8 +36,13 @@ FROM {invoices} i JOIN {rows} l ON i.k = l.k
 
 def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The export's rows; each invoice's fields are on its lines already, so lines are read and exchanged once."""
-    text = re.sub(r"\b[il]\.", "x.", EXPORT.replace("{invoices} i JOIN {rows} l ON i.k = l.k", "{rows} x"))
-    return spark.sql(text.replace('"', "`"), rows=invoice_rows(spark, sf_dir))
+    return export_of(invoice_rows(spark, sf_dir))
+
+
+def export_of(rows: DataFrame, *keep: str) -> DataFrame:
+    """The same of rows that are there already, beside their own columns ``keep``."""
+    text = re.sub(r"\b[il]\.", "x.", EXPORT.replace("{invoices} i JOIN {rows} l ON i.k = l.k", "{rows} x")).replace('"', "`")
+    return rows.sparkSession.sql(text.replace("SELECT ", f"SELECT {''.join(f'x.{c}, ' for c in keep)}", 1), rows=rows)
 
 
 FIELDS = "array<struct<name:string,value:string>>"
