@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.hashing import recurrence_key
 from ..functions.shape import message, value_shape
+from ..functions.text import apart
 from ..plans.rules import DEFAULT, Rule, check
 
 
@@ -33,31 +34,42 @@ def weight(rules: list[Rule], grain: str) -> Column:
     return reduce(Column.__add__, [F.coalesce((~r.satisfied()).cast("bigint"), F.lit(OPEN)) for r in rules if r.grain == grain], F.lit(0).cast("bigint"))
 
 
-BITS = 62  # rules in a mask
+BITS = 31  # rules in a mask: the lower bits say which fail, the upper ones which have no verdict
+
+
+def pack_rules(packs: dict[str, list[Rule]]) -> list[Rule]:
+    """The rules of all packs, each once."""
+    return list({r.id: r for rules in packs.values() for r in rules}.values())
 
 
 def row_masks(rows: DataFrame, packs: dict[str, list[Rule]]) -> DataFrame:
-    """Rows with ``warn``, ``fail`` and ``no_verdict``: masks (one for each ``BITS`` rules) of the rules that fire on a row, of
-    the pack of its ``profile`` (none for other profiles), by what is stored of them. Each rule is evaluated once."""
-    rules = list({r.id: r for rules in packs.values() for r in rules}.values())
+    """Rows with ``masks`` (one for each ``BITS`` rules) of the rules that fire on a row, of the pack of its ``profile`` (none for
+    other profiles), and ``first``, whether it is its document's first line. Each rule is evaluated once."""
+    rules = pack_rules(packs)
     check(rules)
-    rows, applies, state = with_first(rows, "k"), row_grains(), []
-    for r in rules:
+    rows, applies, bits = with_first(rows, "k"), row_grains(), []
+    for n, r in enumerate(rules):
         own = F.col("profile").isin(*[p for p, pack in packs.items() if r.id in {x.id for x in pack}])
-        state.append(F.when(own & applies[r.grain], F.coalesce((~r.satisfied()).cast("int"), F.lit(2))).otherwise(0))  # 1: fails, 2: no verdict
-    places = [range(i, min(i + BITS, len(rules))) for i in range(0, len(rules), BITS)]
+        fired = F.coalesce((~r.satisfied()).cast("bigint") * (1 << n % BITS), F.lit(1 << n % BITS + BITS))
+        bits.append(F.when(own & applies[r.grain], fired).otherwise(F.lit(0).cast("bigint")))
+    masks = [reduce(Column.bitwiseOR, bits[i:i + BITS]) for i in range(0, len(rules), BITS)]
+    return rows.withColumns({"masks": F.array(*masks), "first": apart(F.col("line")) == 1})  # apart: the rules are many
+
+
+def _bits(rules: list[Rule], warning: bool) -> list[int]:
+    return [sum(1 << i for i, r in enumerate(rules[at:at + BITS]) if (r.severity == "warning") == warning) for at in range(0, len(rules), BITS)]
 
-    def masks(when) -> Column:
-        bits = lambda part: [F.when(when(rules[n], F.col("__state")[n]), 1 << (n - part[0])).otherwise(0).cast("bigint") for n in part]
-        return F.array(*[reduce(Column.bitwiseOR, bits(part)) for part in places])
 
-    kinds = {"warn": lambda r, s: s > 0 if r.severity == "warning" else F.lit(False), "fail": lambda r, s: s == 1 if r.severity != "warning" else F.lit(False), "no_verdict": lambda r, s: s == 2 if r.severity != "warning" else F.lit(False)}
-    return rows.withColumn("__state", F.array(*state)).withColumns({name: masks(when) for name, when in kinds.items()}).drop("__state")
+def mask_counts(masks: Column, rules: list[Rule]) -> dict[str, Column]:
+    """How many rules of the masks are stored as ``warn``, ``fail`` and ``no_verdict``; a warning is ``warn`` either way."""
+    count = lambda of, warning: reduce(Column.__add__, [F.bit_count(of(masks[i]).bitwiseAND(bits)) for i, bits in enumerate(_bits(rules, warning))])
+    open_ = lambda m: F.shiftrightunsigned(m, BITS)
+    return {"warn": count(lambda m: m.bitwiseOR(open_(m)), True), "fail": count(lambda m: m, False), "no_verdict": count(open_, False)}
 
 
-def mask_count(masks: Column, rules: int) -> Column:
-    """How many rules the masks hold."""
-    return reduce(Column.__add__, [F.bit_count(masks[i]) for i in range(-(-rules // BITS))])
+def failing(masks: Column, rules: list[Rule]) -> list[Column]:
+    """The masks' rules that fail and are no warnings."""
+    return [masks[i].bitwiseAND(bits) for i, bits in enumerate(_bits(rules, False))]
 
 
 def rule_table(rules: list[Rule], values: list[str], **more: list[int]) -> Column:
