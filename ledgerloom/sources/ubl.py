@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType, StructField, StructType
 
-from ..functions.text import to_decimal, xml_escape
+from ..functions.text import apart, to_decimal, xml_escape
 from ..operators.evaluate import OPEN, node_findings, weight
 from ..plans.rules import DEFAULT, Rule, check
 from . import plain
@@ -74,7 +74,7 @@ def group_lines(lines: DataFrame, *more: Column) -> DataFrame:
     amount = F.coalesce(F.concat(F.lit("<cbc:LineExtensionAmount<c>>"), xml_escape(F.col("amount")), F.lit("</cbc:LineExtensionAmount>")), F.lit(""))
     name, tax = F.col("item_name"), F.col("tax_category")
     body = (_leaf("ID", F.col("line").cast("string")), _leaf("<q>", F.col("quantity").cast("string"), "unitCode", F.col("unit")), amount, _group("Item", _leaf("Name", name), _group("ClassifiedTaxCategory", _leaf("ID", tax), there=_any(tax)), there=_any(name, tax)))
-    item = F.struct("line", F.concat(F.lit("<cac:<l>>"), *body, F.lit("</cac:<l>>")).alias("xml"), _group("TaxSubtotal", _group("TaxCategory", _leaf("ID", tax), there=_any(tax)), there=_any(tax)).alias("subtotal"))
+    item = F.struct(apart(F.col("line")).alias("line"), F.concat(F.lit("<cac:<l>>"), *body, F.lit("</cac:<l>>")).alias("xml"), _group("TaxSubtotal", _group("TaxCategory", _leaf("ID", tax), there=_any(tax)), there=_any(tax)).alias("subtotal"))
     return lines.select("*", item.alias("item")).groupBy("k").agg(F.sort_array(F.collect_list("item")).alias("items"), *more)
 
 
@@ -102,7 +102,7 @@ def document_texts(joined: DataFrame) -> DataFrame:
         _party("AccountingSupplierParty", F.col("seller_trn"), F.col("seller_name"), F.col("seller_country")), _party("AccountingCustomerParty", F.col("buyer_trn"), F.col("buyer_name"), F.col("buyer_country")),
         _group("TaxTotal", amount("TaxAmount", "tax_total"), subtotals),
         _group("LegalMonetaryTotal", amount("LineExtensionAmount", "line_total"), amount("TaxExclusiveAmount", "tax_exclusive"), amount("TaxInclusiveAmount", "tax_inclusive"), amount("PrepaidAmount", "prepaid"), amount("PayableAmount", "payable")),
-        lines, F.lit("</"), "root", F.lit(">"),
+        lines, F.lit("</"), apart(F.col("root")), F.lit(">"),
     )
     return joined.select("k", xml.alias("xml"))
 
@@ -209,8 +209,8 @@ def tally(texts: DataFrame, rules: list[Rule] = DEFAULT) -> DataFrame:
     check(rules)
     own = F.when(F.col("refused").isNull(), weight(rules, "document")).otherwise(F.lit(OPEN))
     each = _documents(parse_ubl(texts)).select(own.alias("own"), F.explode("nodes").alias("x")).select("own", "x.*")
-    whole = F.col("grain").isin("document", "refused")
-    found = each.select(whole.alias("whole"), F.when(whole, F.col("own")).when(F.col("grain") == "line", weight(rules, "line")).otherwise(weight(rules, "subtotal")).alias("w"))
+    whole = lambda grain: grain.isin("document", "refused")
+    found = each.select(whole(apart(F.col("grain"))).alias("whole"), F.when(whole(F.col("grain")), F.col("own")).when(F.col("grain") == "line", weight(rules, "line")).otherwise(weight(rules, "subtotal")).alias("w"))
     sums = [F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("w") % OPEN, F.floor(F.col("w") / OPEN))]
     return found.agg(F.count_if("whole").alias("texts"), sums[0].alias("findings"), sums[1].alias("open"))
 
